@@ -10,8 +10,9 @@ fingerprint. Equal sets give equal registers, the registers of a union are the m
 3. band the registers; a bucket's members are compared with the bucket's smallest id first, never all with all;
 4. drop candidates for which the joint likelihood of both sketches rules out the wanted similarity;
 5. confirm the others on full shingle sets and contract the links to components;
-6. buckets that still hold several components go on with their next leader, or, once few pairs are left, with all
-   remaining pairs, until no untested pair of different components shares a bucket.
+6. what is left are buckets that hold several components. Their members are packed, region by region, into blocks of
+   bounded size with registers and shingle sets, and each pair of blocks is compared in one task: pairs of different
+   components that share a band and pass the likelihood are confirmed on the sets. Only links leave the task.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ ROWS = 4  #: registers in a band: 32 bands, so a pair at similarity 0.8 is misse
 BASE = 1.001
 RATE = 20.0
 TOP = 65535
-DOUBT = 18.0  #: log-likelihood by which the wanted similarity may fall short of the best one
+DOUBT = 12.0  #: log-likelihood by which the wanted similarity may fall short of the best one
+BLOCK_BYTES = 1 << 20  #: shingles and registers in a block of the last comparison
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -203,6 +205,89 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _set_batches(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column(1)):
+                elements, at = shingles(data, offsets, k)
+                sets = [elements[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "elements"])
+
+    return run
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """One row of a block's members."""
+    sets = table.column("elements").to_pylist()
+    return pa.table(
+        {
+            "region": table.column("region").slice(0, 1),
+            "blocks": table.column("blocks").slice(0, 1),
+            "block": table.column("block").slice(0, 1),
+            "ids": pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)),
+            "parts": pa.array([table.column("part").to_pylist()], pa.list_(table.schema.field("id").type)),
+            "sketches": pa.array([b"".join(table.column("sketch").to_pylist())], pa.binary()),
+            "ends": pa.array([np.cumsum([len(x) // 8 for x in sets]).astype(np.int64).tobytes()], pa.binary()),
+            "elements": pa.array([b"".join(sets)], pa.binary()),
+        }
+    )
+
+
+def _unpack(block: dict) -> tuple:
+    ends = np.frombuffer(block["ends"], dtype=np.int64)
+    elements = np.frombuffer(block["elements"], dtype=np.uint64)
+    reg = np.frombuffer(block["sketches"], dtype=np.uint16).reshape(-1, M)
+    return block["ids"], block["parts"], reg, np.split(elements, ends[:-1])
+
+
+def _compare(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                (ia, pa_, ra, sa), (ib, pb, rb, sb) = _unpack(one.as_py()), _unpack(two.as_py())
+                ba, bb = (np.ascontiguousarray(r).view(np.uint64) for r in (ra, rb))
+                number = {p: i for i, p in enumerate(dict.fromkeys(pa_ + pb))}
+                ca, cb = (np.array([number[p] for p in q]) for q in (pa_, pb))
+                meet = np.zeros((len(ia), len(ib)), dtype=bool)
+                for band in range(M // ROWS):
+                    meet |= ba[:, band, None] == bb[None, :, band]
+                meet &= ca[:, None] != cb[None, :]
+                x, y = np.nonzero(meet)
+                na, nb = np.array([len(e) for e in sa]), np.array([len(e) for e in sb])
+                ok = np.zeros(len(x), dtype=bool)
+                for i in range(0, len(x), 2048):
+                    u, v = x[i : i + 2048], y[i : i + 2048]
+                    ok[i : i + 2048] = plausible(ra[u], rb[v], na[u], nb[v], percent / 100)
+                x, y = x[ok], y[ok]
+                if len(x):
+                    order = np.argsort(-np.concatenate([(ra[u] == rb[v]).sum(axis=1) for u, v in zip(np.array_split(x, 1 + len(x) // 4096), np.array_split(y, 1 + len(x) // 4096), strict=True)]), kind="stable")
+                    x, y = x[order], y[order]
+                root = list(range(len(number)))
+
+                def find(i: int, root: list[int] = root) -> int:
+                    while root[i] != i:
+                        root[i] = root[root[i]]
+                        i = root[i]
+                    return i
+
+                found = []
+                for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                    if (p := find(ca[u])) == (q := find(cb[v])):
+                        continue
+                    small, large = (sa[u], sb[v]) if len(sa[u]) <= len(sb[v]) else (sb[v], sa[u])
+                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    both = int((large[at] == small).sum())
+                    if 100 * both >= percent * (len(small) + len(large) - both):
+                        root[p] = q
+                        found.append((ia[u], ib[v]))
+                kind = one.type.field("ids").type.value_type
+                yield pa.record_batch(
+                    [pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["a", "b"]
+                )
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -255,45 +340,62 @@ def near_duplicates(
         )
         return materialize(full.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), pair), "links")
 
-    links, groups, first = None, None, True
-    while True:
-        state = left.withColumn("component", F.col("id"))
-        if groups is not None:
-            # Members that a link joined to one component need no further test with each other.
-            state = (
-                left.join(groups.withColumnRenamed("node", "id"), "id", "left")
-                .select("key", "id", F.coalesce("component", "id").alias("component"))
-            )
-            parts = state.groupBy("key", "component").agg(F.count("*").alias("s"))
-            open_ = (
-                parts.groupBy("key")
-                .agg(F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("q"), F.count("*").alias("c"))
-                .where("c > 1")
-                .select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2).cast("long").alias("pairs"))
-            )
-            state = materialize(state.join(open_, "key"), "open-buckets")
-            todo, members, buckets = state.agg(
-                F.sum(F.col("pairs")), F.count("*"), F.count_distinct("key")
-            ).first()
-            if not members:
-                break
-            todo = state.select("key", "pairs").distinct().agg(F.sum("pairs")).first()[0]
-            if todo <= 4 * members + 100_000:
-                one, two = state.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), state.select(
-                    "key", F.col("id").alias("b"), F.col("component").alias("cb")
-                )
-                pairs = one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-                links = links.unionByName(test(pairs))
-                groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-                break
-        lead = state.groupBy("key").agg(F.min(F.struct("id", "component")).alias("lead"))
-        rest = state.join(lead, "key").select("key", "id", "component", F.col("lead.id").alias("a"), F.col("lead.component").alias("ca"))
-        rest = materialize(rest.where("id <> a"), "followers")
-        pairs = rest.where("component <> ca").select("a", F.col("id").alias("b")).distinct()
-        found = test(pairs)
-        links = found if links is None else links.unionByName(found)
+    # Members meet their bucket's smallest id first: one pair for each membership, and most groups are whole after it.
+    lead = left.groupBy("key").agg(F.min("id").alias("a"))
+    links = test(left.join(lead, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    # Buckets that still hold several components, and what hangs together through them.
+    state = left.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("part")
+    )
+    open_ = (
+        state.groupBy("key")
+        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("id").alias("v"))
+        .where("low <> high")
+        .select("key", "v")
+    )
+    state = materialize(state.join(open_, "key"), "open")
+    if state.limit(1).count():
+        regions = components(state.select(F.col("id").alias("u"), "v"))
+        members = (
+            state.select("id", "part")
+            .distinct()
+            .join(regions.select(F.col("node").alias("id"), F.col("component").alias("region")), "id")
+            .join(firsts, "id")
+        )
+        blocks = members.groupBy("region").agg(
+            F.ceil(F.sum(8 * F.col("n") + 4 * M) / BLOCK_BYTES).cast("int").alias("blocks")
+        )
+        members = members.join(blocks, "region").select(
+            "id", "part", "region", "sketch", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+        )
+        sets = T.StructType([T.StructField("id", kind), T.StructField("elements", T.BinaryType())])
+        texts = rows.where("text is not null").join(members.select("id").distinct(), "id", "left_semi").distinct()
+        packed = members.join(texts.mapInArrow(_set_batches(k), sets), "id")
+        row = T.StructType(
+            [
+                T.StructField("region", kind),
+                T.StructField("blocks", T.IntegerType()),
+                T.StructField("block", T.IntegerType()),
+                T.StructField("ids", T.ArrayType(kind)),
+                T.StructField("parts", T.ArrayType(kind)),
+                T.StructField("sketches", T.BinaryType()),
+                T.StructField("ends", T.BinaryType()),
+                T.StructField("elements", T.BinaryType()),
+            ]
+        )
+        packed = materialize(packed.groupBy("region", "block").applyInArrow(_pack, row), "blocks")
+        body = ["ids", "parts", "sketches", "ends", "elements"]
+        one = packed.select(
+            "region", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.struct(*body).alias("one")
+        )
+        two = packed.select(
+            "region", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.struct(*body).alias("two")
+        )
+        more = one.join(two, ["region", "i", "j"]).select("one", "two").mapInArrow(_compare(percent), pair)
+        links = links.unionByName(materialize(more, "more-links"))
         groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        left = rest.select("key", "id")
 
     named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "lo", "hi", F.coalesce("component", "id").alias("component")
