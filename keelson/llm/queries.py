@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, chat, licences, repeats, topk, toxicity, vectors, warc
 from .minhash import near_duplicates
+from .mixing import mix_sources
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +24,76 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector with all others."""
+    return topk.top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes from each document, sources weighing 5, 2, 1 in turn."""
+    mix = mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
+    return mix.select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken")
+    )
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every conversation, rendered in each speaker's perspective with its loss mask."""
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of ``pages`` hold, read back from the compressed archives."""
+    records = warc.read(warc.archive(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes for every document."""
+    path = public_tokenizers.path(VOCABULARY)
+    tokens = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(tokens, path).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and components of all embeddings at cosine 0.9."""
+    return vectors.similar_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model learnt from labelled rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 50 words that an earlier one has."""
+    return repeats.removed_words(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash}
+    return {
+        f.__name__: f
+        for f in (
+            op1_minhash, op2_topk, op3_mixing, op4_chat, op5_warc, op6_bpe, op7_vectors, op8_toxicity,
+            op9_repeats, op10_licences,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_topk": topk.SQL,
+        "op4_chat": chat.SQL,
+        "op5_warc": warc.SQL,
+        "op7_vectors": vectors.SQL,
+        "op9_repeats": repeats.SQL,
+        "op10_licences": licences.SQL,
+    }
