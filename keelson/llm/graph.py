@@ -1,7 +1,10 @@
-"""Connected components by alternating star contraction, each round written to the shared folder."""
+"""Connected components by contraction inside partitions, each round written to the shared folder."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,37 +18,46 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hang every node of the partition's links under the smallest node that they connect it with."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (p := find(u)) != (q := find(v)):
+                root[max(p, q)] = min(p, q)
+    if kind is not None:
+        moved = [(x, r) for x in list(root) if (r := find(x)) != x]
+        for i in range(0, len(moved), 100_000):
+            part = moved[i : i + 100_000]
+            yield pa.record_batch([pa.array([m[j] for m in part], kind) for j in (0, 1)], names=["u", "v"])
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as ``u``, ``v``; returns ``node``, ``component`` (the smallest node).
 
-    Every round hangs each node's larger neighbours under the smallest one, then each node's smaller neighbours; stars
-    remain after about log(nodes) rounds. Sums are pre-aggregated before each shuffle and the joins are ordinary
-    sort-merge joins, so a node with a third of all links is split by adaptive execution. Nulls, loops and repeated
-    links are ignored; no links give no rows.
+    Each round brings a node's links together in one partition, contracts whatever the partition connects and hangs
+    all of it under the smallest node; stars remain after about log(diameter) rounds, and each round is written to the
+    shared folder. Before the first round every input partition is contracted where it lies, which bounds the links by
+    the nodes. Nulls, loops and repeated links are ignored; no links give no rows.
     """
-    edges = (
-        links.where("u is not null and v is not null and u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
-    edges = materialize(edges, "links")
-    mark = _mark(edges)
+    edges = links.where("u is not null and v is not null and u <> v").select("u", "v")
+    edges = materialize(edges.mapInArrow(_contract, edges.schema), "links")
+    mark = None
     for _ in range(rounds):
-        if not mark[0]:
-            break
-        # Large star: what is larger than a node moves to the node's smallest neighbour (or itself).
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        )
-        large = materialize(large, "large-star")
-        # Small star: a node and its smaller neighbours move to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
-        edges = materialize(moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), "small-star")
+        met = both.repartition("u").mapInArrow(_contract, edges.schema)
+        edges = materialize(met.distinct(), "stars")
         mark, last = _mark(edges), mark
-        if mark == last:
+        if mark == last or not mark[0]:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

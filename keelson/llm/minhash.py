@@ -7,18 +7,16 @@ fingerprint. Equal sets give equal registers, the registers of a union are the m
 
 1. sketch every text (one pass, Arrow batches);
 2. collapse equal sets to their smallest id, so copies cost one row however many there are;
-3. band the registers; a bucket's members are compared with the bucket's smallest id first, never all with all;
-4. drop candidates for which the joint likelihood of both sketches rules out the wanted similarity;
-5. confirm the others on full shingle sets and contract the links to components;
-6. what is left are buckets that hold several components. Their members are packed, region by region, into blocks of
-   bounded size with registers and shingle sets, and each pair of blocks is compared in one task: pairs of different
-   components that share a band and pass the likelihood are confirmed on the sets. Only links leave the task.
+3. band the registers; texts whose bands fall into common buckets get a common region;
+4. pack a region's registers and full shingle sets into blocks of bounded size and compare each pair of blocks in a task
+   of its own: pairs that share a band and for which the joint likelihood of both sketches leaves the wanted similarity
+   tenable are confirmed on the sets, unless links already connect them. Only a spanning forest leaves the task;
+5. contract the links to components.
 """
 
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,47 +162,6 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), ids], names=["key", "id"])
 
 
-def _likely(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, M) for c in ("sa", "sb")
-            )
-            ok = np.zeros(batch.num_rows, dtype=bool)
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            for i in range(0, len(ok), 2048):
-                s = slice(i, i + 2048)
-                ok[s] = plausible(a[s], b[s], na[s], nb[s], least)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return run
-
-
-def _confirm(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: OrderedDict[str, np.ndarray] = OrderedDict()
-
-        def of(text: str) -> np.ndarray:
-            if (found := seen.get(text)) is None:
-                data = np.frombuffer(text.encode(), dtype=np.uint8)
-                found = seen[text] = shingles(data, np.array([0, len(data)]), k)[0]
-                if len(seen) > 64:
-                    seen.popitem(last=False)
-            return found
-
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                p, q = of(x.as_py()), of(y.as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,11 +178,10 @@ def _pack(table: pa.Table) -> pa.Table:
     sets = table.column("elements").to_pylist()
     return pa.table(
         {
-            "region": table.column("region").slice(0, 1),
+            "area": table.column("area").slice(0, 1),
             "blocks": table.column("blocks").slice(0, 1),
             "block": table.column("block").slice(0, 1),
             "ids": pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)),
-            "parts": pa.array([table.column("part").to_pylist()], pa.list_(table.schema.field("id").type)),
             "sketches": pa.array([b"".join(table.column("sketch").to_pylist())], pa.binary()),
             "ends": pa.array([np.cumsum([len(x) // 8 for x in sets]).astype(np.int64).tobytes()], pa.binary()),
             "elements": pa.array([b"".join(sets)], pa.binary()),
@@ -233,57 +189,65 @@ def _pack(table: pa.Table) -> pa.Table:
     )
 
 
-def _unpack(block: dict) -> tuple:
-    ends = np.frombuffer(block["ends"], dtype=np.int64)
-    elements = np.frombuffer(block["elements"], dtype=np.uint64)
-    reg = np.frombuffer(block["sketches"], dtype=np.uint16).reshape(-1, M)
-    return block["ids"], block["parts"], reg, np.split(elements, ends[:-1])
+class _Block:
+    def __init__(self, row: dict):
+        self.ids = row["ids"]
+        self.reg = np.frombuffer(row["sketches"], dtype=np.uint16).reshape(-1, M)
+        self.bands = self.reg.view(np.uint64)
+        self.end = np.frombuffer(row["ends"], dtype=np.int64)
+        self.n = np.diff(self.end, prepend=0)
+        self.elements = np.frombuffer(row["elements"], dtype=np.uint64)
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.elements[self.end[i] - self.n[i] : self.end[i]]
+
+
+def _candidates(a: _Block, b: _Block, least: float) -> list[tuple[int, int]]:
+    """Pairs that share a band and for which the similarity is tenable, the most similar ones first."""
+    meet = np.zeros((len(a.ids), len(b.ids)), dtype=bool)
+    for band in range(M // ROWS):
+        meet |= a.bands[:, band, None] == b.bands[None, :, band]
+    x, y = np.nonzero(np.triu(meet, 1) if a is b else meet)
+    same = np.zeros(len(x), dtype=np.int64)
+    for i in range(0, len(x), 2048):
+        u, v = x[i : i + 2048], y[i : i + 2048]
+        ok = plausible(a.reg[u], b.reg[v], a.n[u], b.n[v], least)
+        same[i : i + 2048] = np.where(ok, (a.reg[u] == b.reg[v]).sum(axis=1), -1)
+    order = np.argsort(-same, kind="stable")[: int((same >= 0).sum())]
+    return list(zip(x[order].tolist(), y[order].tolist(), strict=True))
 
 
 def _compare(percent: int):
+    """Links of each row's block with itself, or of its two blocks: a spanning forest of all links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, two in zip(batch.column(0), batch.column(1), strict=True):
-                (ia, pa_, ra, sa), (ib, pb, rb, sb) = _unpack(one.as_py()), _unpack(two.as_py())
-                ba, bb = (np.ascontiguousarray(r).view(np.uint64) for r in (ra, rb))
-                number = {p: i for i, p in enumerate(dict.fromkeys(pa_ + pb))}
-                ca, cb = (np.array([number[p] for p in q]) for q in (pa_, pb))
-                meet = np.zeros((len(ia), len(ib)), dtype=bool)
-                for band in range(M // ROWS):
-                    meet |= ba[:, band, None] == bb[None, :, band]
-                meet &= ca[:, None] != cb[None, :]
-                x, y = np.nonzero(meet)
-                na, nb = np.array([len(e) for e in sa]), np.array([len(e) for e in sb])
-                ok = np.zeros(len(x), dtype=bool)
-                for i in range(0, len(x), 2048):
-                    u, v = x[i : i + 2048], y[i : i + 2048]
-                    ok[i : i + 2048] = plausible(ra[u], rb[v], na[u], nb[v], percent / 100)
-                x, y = x[ok], y[ok]
-                if len(x):
-                    order = np.argsort(-np.concatenate([(ra[u] == rb[v]).sum(axis=1) for u, v in zip(np.array_split(x, 1 + len(x) // 4096), np.array_split(y, 1 + len(x) // 4096), strict=True)]), kind="stable")
-                    x, y = x[order], y[order]
-                root = list(range(len(number)))
-
-                def find(i: int, root: list[int] = root) -> int:
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
+            kind = batch.schema.field(0).type.field("ids").type.value_type
+            for row in zip(*batch.columns, strict=True):
+                blocks = [_Block(x.as_py()) for x in row]
+                a, b = blocks[0], blocks[-1]
+                root: dict = {}
+
+                def find(x, root: dict = root):
+                    while (up := root.setdefault(x, x)) != x:
+                        root[x] = root[up]
+                        x = root[x]
+                    return x
 
                 found = []
-                for u, v in zip(x.tolist(), y.tolist(), strict=True):
-                    if (p := find(ca[u])) == (q := find(cb[v])):
+                for u, v in _candidates(a, b, percent / 100):
+                    # A pair that is connected already needs no test.
+                    if (p := find(a.ids[u])) == (q := find(b.ids[v])):
                         continue
-                    small, large = (sa[u], sb[v]) if len(sa[u]) <= len(sb[v]) else (sb[v], sa[u])
+                    small, large = a.set_of(u), b.set_of(v)
+                    if len(small) > len(large):
+                        small, large = large, small
                     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                     both = int((large[at] == small).sum())
                     if 100 * both >= percent * (len(small) + len(large) - both):
                         root[p] = q
-                        found.append((ia[u], ib[v]))
-                kind = one.type.field("ids").type.value_type
-                yield pa.record_batch(
-                    [pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["a", "b"]
-                )
+                        found.append((a.ids[u], b.ids[v]))
+                yield pa.record_batch([pa.array([f[i] for f in found], kind) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -319,83 +283,59 @@ def near_duplicates(
         live.join(classes, ["lo", "hi", "id"], "left_semi").dropDuplicates(["id", "lo", "hi"]).select("id", "n", "sketch"),
         "classes",
     )
-    pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     bands = firsts.select("id", "sketch").mapInArrow(
         _band_batches, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])
     )
     bands = materialize(bands, "bands")
-    shared = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    left = materialize(bands.join(shared, "key").select("key", "id").distinct(), "buckets")
-
-    def test(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are links."""
-        one = firsts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        two = firsts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        likely = pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "sa", "sb")
-        likely = materialize(likely.mapInArrow(_likely(percent / 100), pair), "likely").distinct()
-        needed = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        texts = materialize(rows.where("text is not null").join(needed, "id", "left_semi").distinct(), "texts")
-        full = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(
-            texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"
-        )
-        return materialize(full.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), pair), "links")
-
-    # Members meet their bucket's smallest id first: one pair for each membership, and most groups are whole after it.
-    lead = left.groupBy("key").agg(F.min("id").alias("a"))
-    links = test(left.join(lead, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # Buckets that still hold several components, and what hangs together through them.
-    state = left.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("part")
+    shared = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    buckets = materialize(bands.join(shared.select("key", "low"), "key"), "buckets")
+
+    # Buckets that hang together get one region: the smallest id two steps away. Texts that share a bucket share its region.
+    near = buckets.groupBy("id").agg(F.min("low").alias("low"))
+    region = buckets.select("key", "id").join(near, "id").groupBy("key").agg(F.min("low").alias("region"))
+    members = buckets.select("key", "id").join(region, "key").select("id", "region").distinct()
+    members = materialize(members.join(firsts, "id"), "members")
+    cost = 8 * F.col("n") + 2 * M
+    regions = members.groupBy("region").agg(F.sum(cost).alias("bytes"))
+    regions = regions.withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
+    small = regions.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
+    pools = max(1, math.ceil(small / BLOCK_BYTES))
+    # Small regions are pooled, large ones cut into blocks.
+    pool = F.concat(F.lit("pool "), F.pmod(F.xxhash64("region"), F.lit(pools)).cast("string"))
+    place = regions.select(
+        "region", "blocks", F.when(F.col("blocks") == 1, pool).otherwise(F.col("region").cast("string")).alias("area")
     )
-    open_ = (
-        state.groupBy("key")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("id").alias("v"))
-        .where("low <> high")
-        .select("key", "v")
+    members = members.join(place, "region").select(
+        "id", "area", "sketch", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     )
-    state = materialize(state.join(open_, "key"), "open")
-    if state.limit(1).count():
-        regions = components(state.select(F.col("id").alias("u"), "v"))
-        members = (
-            state.select("id", "part")
-            .distinct()
-            .join(regions.select(F.col("node").alias("id"), F.col("component").alias("region")), "id")
-            .join(firsts, "id")
-        )
-        blocks = members.groupBy("region").agg(
-            F.ceil(F.sum(8 * F.col("n") + 4 * M) / BLOCK_BYTES).cast("int").alias("blocks")
-        )
-        members = members.join(blocks, "region").select(
-            "id", "part", "region", "sketch", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
-        )
-        sets = T.StructType([T.StructField("id", kind), T.StructField("elements", T.BinaryType())])
-        texts = rows.where("text is not null").join(members.select("id").distinct(), "id", "left_semi").distinct()
-        packed = members.join(texts.mapInArrow(_set_batches(k), sets), "id")
-        row = T.StructType(
-            [
-                T.StructField("region", kind),
-                T.StructField("blocks", T.IntegerType()),
-                T.StructField("block", T.IntegerType()),
-                T.StructField("ids", T.ArrayType(kind)),
-                T.StructField("parts", T.ArrayType(kind)),
-                T.StructField("sketches", T.BinaryType()),
-                T.StructField("ends", T.BinaryType()),
-                T.StructField("elements", T.BinaryType()),
-            ]
-        )
-        packed = materialize(packed.groupBy("region", "block").applyInArrow(_pack, row), "blocks")
-        body = ["ids", "parts", "sketches", "ends", "elements"]
-        one = packed.select(
-            "region", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.struct(*body).alias("one")
-        )
-        two = packed.select(
-            "region", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.struct(*body).alias("two")
-        )
-        more = one.join(two, ["region", "i", "j"]).select("one", "two").mapInArrow(_compare(percent), pair)
-        links = links.unionByName(materialize(more, "more-links"))
-        groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sets = T.StructType([T.StructField("id", kind), T.StructField("elements", T.BinaryType())])
+    texts = rows.where("text is not null").join(members.select("id").distinct(), "id", "left_semi").distinct()
+    packed = members.join(texts.mapInArrow(_set_batches(k), sets), "id")
+    row = T.StructType(
+        [
+            T.StructField("area", T.StringType()),
+            T.StructField("blocks", T.IntegerType()),
+            T.StructField("block", T.IntegerType()),
+            T.StructField("ids", T.ArrayType(kind)),
+            T.StructField("sketches", T.BinaryType()),
+            T.StructField("ends", T.BinaryType()),
+            T.StructField("elements", T.BinaryType()),
+        ]
+    )
+    packed = materialize(packed.groupBy("area", "block").applyInArrow(_pack, row), "blocks")
+    body = F.struct("ids", "sketches", "ends", "elements")
+    large = packed.where("blocks > 1")
+    one = large.select(
+        "area", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), body.alias("one")
+    ).where("i < j")
+    two = large.select(
+        "area", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), body.alias("two")
+    ).where("i < j")
+    meetings = one.join(two, ["area", "i", "j"]).select("one", "two")
+    pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    links = packed.select(body.alias("one")).mapInArrow(_compare(percent), pair)
+    links = links.unionByName(meetings.mapInArrow(_compare(percent), pair))
+    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "lo", "hi", F.coalesce("component", "id").alias("component")
