@@ -231,7 +231,7 @@ def encode(
     return rows.mapInArrow(_encoder(ranks, pattern), schema).withColumnRenamed("id", id_col)
 
 
-def _decoder(ranks, step: int):
+def _decoder(ranks, step: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {r: e for e, r in read_ranks(ranks.value).items()}
         for batch in batches:
@@ -249,18 +249,21 @@ def _decoder(ranks, step: int):
                 if size >= ROWS_BYTES or i + 1 == batch.num_rows:
                     ids_of = batch.column(0).slice(first, len(texts))
                     counts = pa.compute.fill_null(pa.compute.list_value_length(column.slice(first, len(texts))), 0)
-                    yield pa.record_batch(
-                        [ids_of, counts.cast(pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
-                        names=["id", "n_tokens", "ids_sha256", "text"],
-                    )
+                    out = [ids_of, counts.cast(pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+                    names = ["id", "n_tokens", "ids_sha256", "text"]
+                    if keep:
+                        out, names = [*out, column.slice(first, len(texts))], [*names, "tokens"]
+                    yield pa.RecordBatch.from_arrays(out, names=names)
                     first, size, texts, digests = i + 1, 0, [], []
 
     return run
 
 
-def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", step: int = 4096) -> DataFrame:
+def decode(
+    tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", step: int = 4096, keep_tokens: bool = False
+) -> DataFrame:
     """The inverse of ``encode``: ``id_col``, ``n_tokens``, ``ids_sha256`` (of the ids as unsigned 32-bit little-endian
-    integers) and ``text``.
+    integers) and ``text``; ``keep_tokens`` passes ``tokens`` on.
 
     Tokens are turned into text ``step`` at a time; characters cut by a token or a step border are completed by the next
     one. Bytes that form no character (possible only for ids that no text encodes to) become U+FFFD; an id outside the
@@ -274,7 +277,8 @@ def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", step: int
             T.StructField("n_tokens", T.LongType()),
             T.StructField("ids_sha256", T.StringType()),
             T.StructField("text", T.StringType()),
+            *([T.StructField("tokens", T.ArrayType(T.IntegerType()))] if keep_tokens else []),
         ]
     )
     rows = tokens.select(F.col(id_col).alias("id"), "tokens")
-    return rows.mapInArrow(_decoder(ranks, step), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_decoder(ranks, step, keep_tokens), schema).withColumnRenamed("id", id_col)

@@ -215,17 +215,25 @@ def fit(
     return train(texts, np.array(y))
 
 
-def _scorer(model):
+def _scorer(model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
+            for a, b, data, offsets in chunks(batch.column(at)):
                 score = 1 / (1 + np.exp(-np.clip(log_odds(m, data, offsets), -700, 700)))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(score)], names=["id", "score"])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*batch.schema.names, "_score"])
 
     return run
 
 
+def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with the score of each whole text in a further column ``_score``; rows never move."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    return docs.mapInArrow(_scorer(shared, docs.columns.index(text_col)), schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: ``id_col``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (score >= 0.5).
 
@@ -233,13 +241,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows get equal scores; other columns are ignored; an empty table gives no rows. The model (2**BITS numbers) is
     broadcast; rows are independent and nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0, F.lit(False))
-    return rows.mapInArrow(_scorer(shared), schema).select(
+    return with_score(rows, model).select(
         F.col("id").alias(id_col),
         held.alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
     )
