@@ -155,6 +155,18 @@ class _Memory(dict):
         return out
 
 
+_MACHINES: dict[bytes, _Memory] = {}
+
+
+def _machine(data: bytes) -> _Memory:
+    """The machine of a vocabulary, kept by the worker process: later tasks go on with the moves that are known."""
+    key = hashlib.sha256(data).digest()
+    if key not in _MACHINES:
+        _MACHINES.clear()
+        _MACHINES[key] = _Memory(Transducer(read_ranks(data)))
+    return _MACHINES[key]
+
+
 class Utf8Stream:
     """Incremental UTF-8: takes bytes as they come and gives the text that is certain so far.
 
@@ -190,7 +202,7 @@ class Utf8Stream:
 
 def _encoder(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Memory(Transducer(read_ranks(ranks.value)))
+        memory = _machine(ranks.value)
         look, find = regex.compile(pattern).findall, memory.__getitem__
 
         def flush(ids: pa.Array, tokens: list[bytes]) -> pa.RecordBatch:
