@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .constants import NICKNAMES, POSITION_GROUPS, PROBABILITY_FLOOR, SUFFIXES
 
@@ -22,7 +23,7 @@ def fold(c: Column) -> Column:
     return F.translate(c, _MARKED, _PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_any(s: pd.Series) -> pd.Series:
     """Any text without combining marks (compatibility decomposition)."""
     return s.map(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_team, present
@@ -28,6 +28,11 @@ def _side(stats: DataFrame, prefix: str) -> DataFrame:
     )
 
 
+def _rows_of(counts: Column, team: Column) -> Column:
+    """Rows of one team in an array of (team, rows)."""
+    return F.aggregate(F.filter(counts, lambda x: x["t"] == team), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+
 def season_bridge(links: DataFrame, stats: DataFrame) -> DataFrame:
     """Each link with its player's stats of the season before (at the origin) and of the season (at the destination).
 
@@ -44,7 +49,7 @@ def season_bridge(links: DataFrame, stats: DataFrame) -> DataFrame:
         seen = have.select(F.col("season").alias("_s"), F.lit(True).alias(f"{side}_source_available"))
         rows = rows.join(seen, F.col(season) == F.col("_s"), "left").drop("_s")
         team = normalize_team(F.col("origin" if side == "pre" else "destination"))
-        expected = F.aggregate(F.filter(f"_{side}", lambda x, t=team: x["t"] == t), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        expected = _rows_of(F.col(f"_{side}"), team)
         count = F.coalesce(F.col(f"{side}_stat_row_count"), F.lit(0).cast("long"))
         rows = rows.withColumns(
             {
