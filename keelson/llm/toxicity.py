@@ -25,8 +25,8 @@ BITS = 17  #: 2**17 embedding rows
 WIDTH = 8
 SPAN, STRIDE = 2, 1
 SHARP = 4.0  #: of the soft maximum
-MAX_DOCS = 3000  #: labelled rows that are learnt from at most (by a hash of their id)
-MAX_BYTES = 48 << 20  #: and the bytes of their texts
+MAX_DOCS = 2500  #: labelled rows that are learnt from at most (by a hash of their id)
+MAX_BYTES = 16 << 20  #: and the bytes of their texts
 EPOCHS = 30
 DECAY = 1e-4
 _GRAM = _Powers(0x8CB92BA72F3D8DD7)
@@ -93,29 +93,46 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         return Model(np.zeros(1 << BITS), bias)
     raw = [t.encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    w = Words(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+    hashes, start, stop, count, at = [], [], [], [], 0
+    for _, _, part, offsets in chunks(pa.array(raw, pa.large_binary())):
+        w = Words(part, offsets)
+        hashes.append(w.hashes(lower=True))
+        start.append(w.start + at)
+        stop.append(w.end + at)
+        count.append(w.count)
+        at += len(part)
+    start, stop, count = (np.concatenate(x) for x in (start, stop, count))
+    del raw
     # Each different word once: its n-gram rows, all words end to end.
-    _, one, word = np.unique(w.hashes(lower=True), return_index=True, return_inverse=True)
-    length = w.end[one] - w.start[one]
+    _, one, word = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    del hashes
+    word = word.astype(np.int32)
+    length = stop[one] - start[one]
     cut = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
     vocab = np.empty(cut[-1], dtype=np.uint8)
-    vocab[:] = data[np.repeat(w.start[one] - cut[:-1], length) + np.arange(cut[-1])]
+    vocab[:] = data[np.repeat(start[one] - cut[:-1], length) + np.arange(cut[-1])]
     v = Words(vocab, cut)
     text, begin, end = _padded(vocab, v)
     row, owner = [], []
     for k in GRAMS:
-        rows, m = _rows(text, k), np.maximum(end - begin - k + 1, 0)
+        rows, m = _rows(text, k).astype(np.int32), np.maximum(end - begin - k + 1, 0)
         row.append(rows[np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(m.sum())])
-        owner.append(np.repeat(np.arange(len(one)), m))
+        owner.append(np.repeat(np.arange(len(one), dtype=np.int32), m))
     row, owner = np.concatenate(row), np.concatenate(owner)
-    used, row = np.unique(row, return_inverse=True)
-    weight = 1.0 / np.bincount(owner, minlength=len(one))[owner]
-    order = np.argsort(owner, kind="stable")
-    row, owner, weight = row[order], owner[order], weight[order].astype(np.float32)
+    del rows, vocab, v, text
+    order = np.argsort(owner, kind="stable").astype(np.int32)
+    row, owner = row[order], owner[order]
+    used = np.flatnonzero(np.bincount(row, minlength=1 << BITS))
+    number = np.zeros(1 << BITS, dtype=np.int32)
+    number[used] = np.arange(len(used))
+    row = number[row]
+    weight = (1.0 / np.bincount(owner, minlength=len(one))).astype(np.float32)[owner]
     at = np.searchsorted(owner, np.arange(len(one)))
-    back = np.argsort(row, kind="stable")
-    back_at = np.searchsorted(row[back], np.arange(len(used)))
-    doc, a, b = _spans(w.count)
+    order = np.argsort(row, kind="stable").astype(np.int32)
+    back_at = np.searchsorted(row[order], np.arange(len(used)))
+    back_owner, back_weight = owner[order], weight[order]
+    del order, owner
+    doc, a, b = _spans(count)
     share = 1.0 / (b - a)
 
     rng = np.random.default_rng(seed)
@@ -127,7 +144,8 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     mean, var = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
     for epoch in range(1, epochs + 1):
-        word_vec = np.add.reduceat(p["E"][row] * weight[:, None], at, axis=0)
+        # One dimension at a time, so that the largest temporary array has one number for an n-gram of a word.
+        word_vec = np.stack([np.add.reduceat(p["E"][:, k][row] * weight, at) for k in range(WIDTH)], axis=1)
         direction = p["W"][:, 1] - p["W"][:, 0]
         score = word_vec.astype(np.float64) @ direction
         total = np.concatenate([[0.0], np.cumsum(score[word])])
@@ -136,8 +154,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         at_span = g[doc] * part * share
         ramp = np.bincount(a, at_span, len(word) + 1) - np.bincount(b, at_span, len(word) + 1)
         at_word = np.bincount(word, np.cumsum(ramp)[: len(word)], len(one))
-        at_row = at_word.astype(np.float32)[owner] * weight
-        slope = np.add.reduceat(at_row[back], back_at)
+        slope = np.add.reduceat(at_word.astype(np.float32)[back_owner] * back_weight, back_at)
         grad = {
             "E": slope[:, None] * direction[None, :] + DECAY * p["E"],
             "W": np.outer(word_vec.T @ at_word.astype(np.float32), [-1, 1]).astype(np.float32),
@@ -186,7 +203,7 @@ def fit(
 
     Rows count only if crc32(id as text) mod 5 isn't 0; the others are held out. A null label or id isn't used; of
     several labels for an id the largest counts. The sample is fixed by a hash of the id, so reruns agree, and both
-    bounds hold before anything reaches the driver.
+    bounds hold before the sample comes together in one task, from which only the model, 2**BITS numbers, goes on.
     """
     ids = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
@@ -200,19 +217,31 @@ def fit(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where("id is not null")
         .join(F.broadcast(ids), "id")
-        .where(F.octet_length("text") <= max_bytes // 64)
+        .where(F.octet_length("text") <= max_bytes // 16)
         .orderBy(F.xxhash64("id"), "id", "text")
         .limit(max_docs)
         .select("text", "y")
     )
-    texts, y, size = [], [], 0
-    for r in rows.collect():
-        size += len(r.text.encode())
-        if size > max_bytes:
-            break
-        texts.append(r.text)
-        y.append(r.y > 0)
-    return train(texts, np.array(y))
+    r = rows.mapInArrow(_train_batches(max_bytes), "gram binary, bias double").first()
+    return Model(np.frombuffer(bytes(r.gram), dtype=np.float64), r.bias) if r else train([], np.zeros(0))
+
+
+def _train_batches(max_bytes: int):
+    """Trains on the rows of the one partition that a limit leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, size = [], [], 0
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                size += len(text.encode())
+                if size <= max_bytes:
+                    texts.append(text)
+                    y.append(label > 0)
+        if texts:
+            m = train(texts, np.array(y))
+            yield pa.record_batch([pa.array([m.gram.tobytes()], pa.binary()), pa.array([m.bias])], names=["gram", "bias"])
+
+    return run
 
 
 def _scorer(model, at: int):
