@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FOREVER = 1 << 40
-MOVES = 400_000  #: moves kept before the machine forgets and starts to determinise anew
-PIECES = 300_000  #: pieces of text whose tokens a task remembers
+MOVES = 500_000  #: moves kept before the machine forgets and starts to determinise anew
+PIECES = 250_000  #: pieces of text in a generation of those whose tokens a worker remembers
 ROWS_BYTES = 1 << 22  #: token bytes in an output batch
 
 
@@ -92,38 +92,49 @@ class Transducer:
         if (key := (left, right)) not in self.pairs:
             if len(self.pairs) > MOVES:
                 self.pairs.clear()
-            entry, ranks = self.entry, self.ranks
-            self.pairs[key] = not any(
-                (r := ranks.get(entry[a] + entry[b])) is not None and r < ends_a and r <= ends_b
-                for a, ends_a in self.edge(left, True)
-                for b, ends_b in self.edge(right, False)
-            )
+            self.pairs[key] = self._follows(left, right)
         return self.pairs[key]
 
+    def _follows(self, left: int, right: int) -> bool:
+        entry, find = self.entry, self.ranks.get
+        edge = [(entry[b], until) for b, until in self.edge(right, False)]
+        for a, until in self.edge(left, True):
+            start = entry[a]
+            for b, ends in edge:
+                if (r := find(start + b)) is not None and r < until and r <= ends:
+                    return False
+        return True
+
     def move(self, key: int) -> tuple[int, tuple[int, ...]]:
         """Determinise one move: the next state and the tokens it emits."""
         byte, live, whole = key & 255, [], None
-        for node, before, pending in self.states[key >> 8]:
-            if (to := self.child.get(node << 8 | byte)) is None:
+        child, rank_at, inner = self.child.get, self.rank_at, self.inner
+        for start in self.states[key >> 8]:
+            if (to := child(start[0] << 8 | byte)) is None:
                 continue
-            r = self.rank_at[to]
-            if r >= 0 and whole is None and (before < 0 or self.follows(before, r)):
+            _, before, pending = start
+            if whole is None and (r := rank_at[to]) >= 0 and (before < 0 or self.follows(before, r)):
                 whole = (0, r, (*pending, r))
-            if to in self.inner:
+            if to in inner:
                 live.append((to, before, pending))
         if whole is None:
             raise ValueError(f"no entry of the vocabulary ends with byte {byte}")
         live.append(whole)
-        agreed = 0
-        shortest = min(len(p) for _, _, p in live)
-        while agreed < shortest and len({p[agreed] for _, _, p in live}) == 1:
-            agreed += 1
-        state = tuple((n, b, p[agreed:]) for n, b, p in live)
+        agreed, sure = 0, live[0][2]
+        for p in live if sure else ():
+            common = 0
+            for x, y in zip(sure, p[2], strict=False):
+                if x != y:
+                    break
+                common += 1
+            sure = sure[:common]
+        agreed = len(sure)
+        state = tuple([(n, b, p[agreed:]) for n, b, p in live]) if agreed else tuple(live)
         if (to := self.number.get(state)) is None:
             to = self.number[state] = len(self.states)
             self.states.append(state)
             self.ends.append(state[-1][2])
-        self.moves[key] = out = (to, whole[2][:agreed])
+        self.moves[key] = out = (to, sure)
         return out
 
     def encode(self, piece: bytes) -> list[int]:
@@ -141,17 +152,24 @@ class Transducer:
 
 
 class _Memory(dict):
-    """Pieces of text to the little-endian bytes of their tokens."""
+    """Pieces of text to the little-endian bytes of their tokens.
+
+    There are two generations: when the younger one is full it becomes the older one, from which pieces that are seen
+    again return. What is used often is therefore never forgotten, and memory stays bounded.
+    """
 
     def __init__(self, machine: Transducer):
-        self.machine = machine
+        self.machine, self.older = machine, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.machine.encode(piece.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
-        if len(piece) <= 48:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = out
+        if (out := self.older.get(piece)) is None:
+            out = np.array(self.machine.encode(piece.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
+            if len(piece) > 48:
+                return out
+        if len(self) >= PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = out
         return out
 
 
