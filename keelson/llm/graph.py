@@ -44,8 +44,9 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as ``u``, ``v``; returns ``node``, ``component`` (the smallest node).
 
-    Each round brings a node's links together in one partition, contracts whatever the partition connects and hangs
-    all of it under the smallest node; stars remain after about log(diameter) rounds, and each round is written to the
+    Each round brings a node's links together in one partition (those to larger nodes only if it has a smaller one, so
+    a finished star never meets in one task), contracts whatever the partition connects and hangs all of it under the
+    smallest node; stars remain after about log(diameter) rounds, and each round is written to the
     shared folder. Before the first round every input partition is contracted where it lies, which bounds the links by
     the nodes. Nulls, loops and repeated links are ignored; no links give no rows.
     """
@@ -53,8 +54,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialize(edges.mapInArrow(_contract, edges.schema), "links")
     mark = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        met = both.repartition("u").mapInArrow(_contract, edges.schema)
+        # A node without a smaller neighbour has nothing to tell its larger ones: they stay where they are, however many.
+        inner = edges.select(F.col("u").alias("_u"))
+        back = edges.join(inner, F.col("v") == F.col("_u"), "left_semi").select(F.col("v").alias("u"), F.col("u").alias("v"))
+        met = edges.unionByName(back).repartition("u").mapInArrow(_contract, edges.schema)
         edges = materialize(met.distinct(), "stars")
         mark, last = _mark(edges), mark
         if mark == last or not mark[0]:

@@ -297,7 +297,7 @@ def near_duplicates(
     members = materialize(members.join(firsts, "id"), "members")
     cost = 8 * F.col("n") + 2 * M
     regions = members.groupBy("region").agg(F.sum(cost).alias("bytes"))
-    regions = regions.withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
+    regions = materialize(regions.withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")), "region-sizes")
     small = regions.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
     pools = max(1, math.ceil(small / BLOCK_BYTES))
     # Small regions are pooled, large ones cut into blocks.
@@ -305,6 +305,7 @@ def near_duplicates(
     place = regions.select(
         "region", "blocks", F.when(F.col("blocks") == 1, pool).otherwise(F.col("region").cast("string")).alias("area")
     )
+    place = materialize(place, "regions")
     members = members.join(place, "region").select(
         "id", "area", "sketch", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     )
