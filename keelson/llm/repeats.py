@@ -363,7 +363,8 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base, classes, changed = _analyse(docs, id_col, text_col)
     changed = changed.select("lo", "hi", F.col("n_removed").alias("r"), F.col("sha").alias("s"), F.col("text").alias("t")).dropDuplicates(["lo", "hi"])
-    known = classes.join(changed, ["lo", "hi"], "left")
+    # Written first, so that the join below shuffles both sides for itself and a sequence with many copies can be split.
+    known = materialize(classes.join(changed, ["lo", "hi"], "left"), "sequences-known")
     rows = base.join(known, ["lo", "hi"], "left")
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     mine = F.col("r").isNotNull() & F.col("id").isNotNull()
