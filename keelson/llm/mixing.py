@@ -72,7 +72,8 @@ def plan(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float)
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("mass"))
     goal = targets(sums.select("source", "source_size"), weights, share, cap)
     goal = _by_source(goal, sums.select("source", "mass"))
-    goal = goal.withColumn("c", F.col("target") / F.greatest("mass", F.lit(1e-9)))
+    # Tables of one row per source are written first: Spark then knows their size and broadcasts them if it is small.
+    goal = materialize(goal.withColumn("c", F.col("target") / F.greatest("mass", F.lit(1e-9))), "mix-targets")
     # The largest coefficient on a geometric, then on a linear grid, that stays within the target.
     for ratio in ([GROWTH**i for i in range(STEPS)], [1 + (GROWTH - 1) * i / FINE for i in range(FINE)]):
         tried = _by_source(rows, goal.select("source", "c"))
@@ -151,7 +152,7 @@ def mix_sources(
     narrow = narrow.where("size > 0").withColumn("weight", F.pow("size", F.lit(tilt)))
     empty = docs.select(source.alias("source")).distinct().select("source", F.lit(0).cast("long").alias("size"), F.lit(0.5).alias("u"), F.lit(0.0).alias("weight"))
     narrow = materialize(narrow.unionByName(empty), "mix-sizes")
-    table = plan(narrow, weights, share, float(cap)).select(F.struct("*").alias("_mix"))
+    table = materialize(plan(narrow, weights, share, float(cap)), "mix-plan").select(F.struct("*").alias("_mix"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), source.alias("source"), size.alias("size"), u.alias("u"))
     rows = rows.join(table, F.col("source").eqNullSafe(F.col("_mix.source")), "left")
     rows = rows.withColumn("weight", F.pow("size", F.lit(tilt))).withColumn("c", F.col("_mix.c"))
