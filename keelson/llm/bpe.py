@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import tidy
+
 FOREVER = 1 << 40
 MOVES = 500_000  #: moves kept before the machine forgets and starts to determinise anew
 PIECES = 250_000  #: pieces of text in a generation of those whose tokens a worker remembers
@@ -258,12 +260,12 @@ def encode(
         [T.StructField("id", docs.schema[id_col].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encoder(ranks, pattern), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_encoder(ranks, pattern)), schema).withColumnRenamed("id", id_col)
 
 
 def _decoder(ranks, step: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {r: e for e, r in read_ranks(ranks.value).items()}
+        table = _machine(ranks.value).machine.entry
         for batch in batches:
             first, size, texts, digests = 0, 0, [], []
             column = batch.column(1)
@@ -311,4 +313,62 @@ def decode(
         ]
     )
     rows = tokens.select(F.col(id_col).alias("id"), "tokens")
-    return rows.mapInArrow(_decoder(ranks, step, keep_tokens), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_decoder(ranks, step, keep_tokens)), schema).withColumnRenamed("id", id_col)
+
+
+def _both_ways(ranks, pattern: str, step: int, keep: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _machine(ranks.value)
+        look, find, table = regex.compile(pattern).findall, memory.__getitem__, memory.machine.entry.__getitem__
+
+        def flush(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+            n, sha, back, tokens = zip(*rows, strict=True)
+            out = [ids, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep:
+                at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                values = pa.array(np.frombuffer(b"".join(tokens), dtype="<i4"))
+                out, names = [*out, pa.ListArray.from_arrays(at, values)], [*names, "tokens"]
+            return pa.record_batch(out, names=names)
+
+        for batch in batches:
+            rows, first, size = [], 0, 0
+            for i, text in enumerate(batch.column(1)):
+                raw = b"".join(map(find, look(text.as_py() or "")))
+                ids, stream, digest = np.frombuffer(raw, dtype="<u4"), Utf8Stream(), hashlib.sha256()
+                for a in range(0, len(ids), step):
+                    digest.update(stream.feed(b"".join(map(table, ids[a : a + step].tolist()))).encode())
+                digest.update(stream.close().encode())
+                rows.append((len(ids), hashlib.sha256(raw).hexdigest(), digest.hexdigest(), raw if keep else b""))
+                size += len(raw) if keep else 256
+                if size >= ROWS_BYTES:
+                    yield flush(batch.column(0).slice(first, len(rows)), rows)
+                    rows, first, size = [], i + 1, 0
+            if rows:
+                yield flush(batch.column(0).slice(first, len(rows)), rows)
+
+    return run
+
+
+def round_trip(
+    docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step: int = 4096,
+    keep_tokens: bool = False,
+) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the texts: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` (of
+    the decoded text's bytes) and, if asked for, ``tokens``.
+
+    The ids are decoded as soon as a text is encoded, by the same streaming decoder, and never travel between two
+    workers. Rows are as in ``encode``.
+    """
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    text = T.StringType()
+    fields = [
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_sha256", text), T.StructField("decoded_sha256", text),
+    ]
+    if keep_tokens:
+        fields.append(T.StructField("tokens", T.ArrayType(T.IntegerType())))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    run = tidy(_both_ways(ranks, pattern, step, keep_tokens))
+    return rows.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .scratch import materialize
-from .words import Words, chunks, mix
+from .words import Words, chunks, mix, tidy
 
 M = 128  #: registers
 ROWS = 4  #: registers in a band: 32 bands, so a pair at similarity 0.8 is missed with probability 5e-8
@@ -276,7 +276,7 @@ def near_duplicates(
             T.StructField("sketch", T.BinaryType()),
         ]
     )
-    sketches = materialize(rows.mapInArrow(_sketch_batches(k, kind), schema), "sketches")
+    sketches = materialize(rows.mapInArrow(tidy(_sketch_batches(k, kind)), schema), "sketches")
     live = sketches.where("n > 0 and id is not null")
     classes = live.groupBy("lo", "hi").agg(F.min("id").alias("id"))
     firsts = materialize(
@@ -284,7 +284,7 @@ def near_duplicates(
         "classes",
     )
     bands = firsts.select("id", "sketch").mapInArrow(
-        _band_batches, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])
+        tidy(_band_batches), T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])
     )
     bands = materialize(bands, "bands")
     shared = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
@@ -311,7 +311,7 @@ def near_duplicates(
     )
     sets = T.StructType([T.StructField("id", kind), T.StructField("elements", T.BinaryType())])
     texts = rows.where("text is not null").join(members.select("id").distinct(), "id", "left_semi").distinct()
-    packed = members.join(texts.mapInArrow(_set_batches(k), sets), "id")
+    packed = members.join(texts.mapInArrow(tidy(_set_batches(k)), sets), "id")
     row = T.StructType(
         [
             T.StructField("area", T.StringType()),
@@ -334,8 +334,8 @@ def near_duplicates(
     ).where("i < j")
     meetings = one.join(two, ["area", "i", "j"]).select("one", "two")
     pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    links = packed.select(body.alias("one")).mapInArrow(_compare(percent), pair)
-    links = links.unionByName(meetings.mapInArrow(_compare(percent), pair))
+    links = packed.select(body.alias("one")).mapInArrow(tidy(_compare(percent)), pair)
+    links = links.unionByName(meetings.mapInArrow(tidy(_compare(percent)), pair))
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").select(

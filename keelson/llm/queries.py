@@ -51,10 +51,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes for every document."""
     path = public_tokenizers.path(VOCABULARY)
-    tokens = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.decode(tokens, path).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
-    )
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

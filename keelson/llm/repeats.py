@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import materialize
-from .words import Words, chunks, mix, windows
+from .words import Words, chunks, mix, tidy, windows
 
 WINDOW, PHRASE = 50, 16
 SHARD_PHRASES = 2048
@@ -267,7 +267,7 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
             field("sha", T.StringType()), field("prints", T.ArrayType(T.LongType())),
         ]
     )
-    base = materialize(rows.mapInArrow(_base, schema), "sequences")
+    base = materialize(rows.mapInArrow(tidy(_base), schema), "sequences")
     live = base.where(F.col("id").isNotNull() & (F.col("n") >= WINDOW))
     classes = live.groupBy("lo", "hi").agg(F.min("id").alias("first"))
     firsts = live.join(classes.select("lo", "hi", F.col("first").alias("id")), ["lo", "hi", "id"], "left_semi")
@@ -284,7 +284,7 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         ]
     )
     texts = rows.where("text is not null and id is not null").join(hits, "id").select("id", "text", "owners", "own")
-    texts = materialize(texts.mapInArrow(_candidates, schema), "candidates")
+    texts = materialize(texts.mapInArrow(tidy(_candidates), schema), "candidates")
     n_phrases, n_bytes = texts.agg(
         F.coalesce(F.sum(F.size("phrases")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text").cast("long") * F.size("owners")), F.lit(0))
     ).first()
@@ -338,7 +338,7 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         ]
     )
     changed = texts.select("id", "lo", "hi", "text").join(spans, ["id", "lo"]).select("id", "lo", "hi", "text", "spans")
-    changed = materialize(changed.mapInArrow(_cut, schema), "changed")
+    changed = materialize(changed.mapInArrow(tidy(_cut), schema), "changed")
     return base.select("id", "n", "lo", "hi", "sha"), classes, changed
 
 

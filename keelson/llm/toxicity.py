@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import _LOWER, Words, _Powers, chunks
+from .words import _LOWER, Words, _Powers, chunks, tidy
 
 GRAMS = (3, 4, 5)
 BITS = 17  #: 2**17 embedding rows
@@ -222,7 +222,7 @@ def fit(
         .limit(max_docs)
         .select("text", "y")
     )
-    r = rows.mapInArrow(_train_batches(max_bytes), "gram binary, bias double").first()
+    r = rows.mapInArrow(tidy(_train_batches(max_bytes)), "gram binary, bias double").first()
     return Model(np.frombuffer(bytes(r.gram), dtype=np.float64), r.bias) if r else train([], np.zeros(0))
 
 
@@ -260,7 +260,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """``docs`` with the score of each whole text in a further column ``_score``; rows never move."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_scorer(shared, docs.columns.index(text_col)), schema)
+    return docs.mapInArrow(tidy(_scorer(shared, docs.columns.index(text_col))), schema)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

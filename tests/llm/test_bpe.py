@@ -60,7 +60,11 @@ def test_operator_round_trip(spark, docs):
     for r in out:
         assert r.n_tokens == len(r.tokens)
         assert r.ids_sha256 == hashlib.sha256(np.array(r.tokens, dtype="<u4").tobytes()).hexdigest()
-    assert bpe.encode(docs([]), PATH, P.PATTERN).collect() == []
+    both = bpe.round_trip(docs(texts), PATH, P.PATTERN, step=3, keep_tokens=True).collect()
+    key = {(repr(r.doc_id), r.ids_sha256, hashlib.sha256(r.text.encode()).hexdigest()): r.tokens for r in out}
+    assert {(repr(r.doc_id), r.ids_sha256, r.decoded_sha256): r.tokens for r in both} == key and len(both) == len(texts)
+    assert [r.n_tokens for r in bpe.round_trip(docs([(1, None)]), PATH, P.PATTERN).collect()] == [0]
+    assert bpe.encode(docs([]), PATH, P.PATTERN).collect() == bpe.round_trip(docs([]), PATH, P.PATTERN).collect() == []
 
 
 def test_unknown_ids_fail(spark):
