@@ -45,10 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document, decoded again: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``tokens``."""
     path = public_tokenizers.path(VOCABULARY)
-    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return bpe.decode(tokens, path, keep_tokens=True).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "tokens"
-    )
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep_tokens=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
