@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -88,16 +89,22 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A fingerprint of each word; ``lower`` folds A-Z only."""
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
         table = _TABLE[_LOWER] if lower else _TABLE
-        up, down = _BYTES.upto(len(self.data))
-        total = np.empty(len(self.data) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(table[self.data] * up, out=total[1:])
-        # The length keeps words apart whose polynomials agree.
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        out = np.empty(len(self.start), dtype=np.uint64)
+        i = 0
+        while i < len(out):
+            # A segment of whole words at a time, so that one very long text needs no longer tables of powers.
+            a = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.start, a + SEGMENT_BYTES)))
+            start, end = self.start[i:j] - a, self.end[i:j] - a
+            up, down = _BYTES.upto(int(end[-1]))
+            total = np.empty(len(up) + 1, dtype=np.uint64)
+            total[0] = 0
+            np.cumsum(table[self.data[a : a + len(up)]] * up, out=total[1:])
+            # The length keeps words apart whose polynomials agree.
+            out[i:j] = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+            i = j
+        return out
 
     def text_of(self) -> np.ndarray:
         """The text's number for each word."""

@@ -50,6 +50,15 @@ def test_words_are_those_of_the_pattern(texts):
     assert len({(x, y) for x, y in zip(found, h.tolist(), strict=True)}) == len(set(found)) == len(set(h.tolist()))
 
 
+def test_long_texts_hash_in_segments(monkeypatch):
+    from keelson.llm import words
+
+    data = np.frombuffer(b" ".join(b"word%d" % (i % 37) for i in range(500)), dtype=np.uint8)
+    whole = Words(data, np.array([0, len(data)])).hashes()
+    monkeypatch.setattr(words, "SEGMENT_BYTES", 50)
+    assert (Words(data, np.array([0, len(data)])).hashes() == whole).all()
+
+
 def test_windows_depend_on_content_only():
     h = np.arange(100, dtype=np.uint64) % np.uint64(10)
     w = windows(h, 10)
