@@ -158,11 +158,9 @@ def _locate(id_type: pa.DataType):
             shared = docs.column("salts")[0].as_py() > 1
             second = firsts.num_rows > 0
             ids = docs.column("id").to_pylist()
-            rank = np.argsort(np.argsort(np.array(ids, dtype=object), kind="stable"), kind="stable")
             number = {v: i for i, v in enumerate(sorted(set(ids)))}
             values = list(number)
             hashes, owner, place, lengths = [], [], [], []
-            del rank
             if len(automaton):
                 automaton.make_automaton()
                 for d, text in enumerate(docs.column("text").to_pylist()):
@@ -313,7 +311,6 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
             field("salt", T.IntegerType()), field("hash", T.LongType()), field("first", kind),
         ]
     )
-    parts = max(1, shards)
 
     def located(docs_: DataFrame, other: DataFrame) -> DataFrame:
         left, right = docs_.groupBy("shard", "salt"), other.groupBy("shard", "salt")
@@ -329,7 +326,6 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         again = again.select("shard", "salt", "phrase", *nothing).unionByName(known)
         more = materialize(located(routed.where("salts > 1"), again), "found-again")
         spans = spans.unionByName(more.where("spans is not null").select("id", "lo", "spans"))
-    del parts
     spans = spans.groupBy("id", "lo").agg(F.collect_list("spans").alias("spans"))
     schema = T.StructType(
         [

@@ -63,7 +63,7 @@ def link_brute(rows, cosine):
         if e and all(x is not None and math.isfinite(x) for x in e) and any(e):
             v = np.array(e, dtype=np.float64)
             ok[k] = v / math.sqrt(float(v @ v))
-    n, root = [0] * len(rows), {i: i for i, _ in rows if i is not None}
+    n = [0] * len(rows)
     groups = list(range(len(rows)))
 
     def find(x):
@@ -81,7 +81,6 @@ def link_brute(rows, cosine):
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(i, least.get(find(k), i))
-    del root
     return sorted((repr(i), n[k], None if i is None else least[find(k)]) for k, (i, _) in enumerate(rows))
 
 
