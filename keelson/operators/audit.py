@@ -11,7 +11,8 @@ from ..functions.scalars import share
 
 
 def accounting(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows, resolved, held out (neither resolved nor unresolved) and resolved rate, per group or in all."""
+    """Rows, resolved, held out (ambiguous, for review or unresolved) and resolved rate (null without rows), per group or
+    in all."""
     held = F.col("status").isin("ambiguous", "review", "unresolved")
     return (
         rows.groupBy(*by)

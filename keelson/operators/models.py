@@ -102,7 +102,7 @@ def calibration_fit(logit: np.ndarray, y: np.ndarray, steps: int = 40, tol: floa
 
 
 def calibration(rows: DataFrame, by: list[str], label: str, p: str) -> DataFrame:
-    """Calibration intercept and slope per group, on one row per different probability (weights are repeated rows)."""
+    """Calibration intercept and slope per group; a group's labels and probabilities, two numbers a row, meet in one task."""
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

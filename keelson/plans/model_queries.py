@@ -140,10 +140,6 @@ def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("holdout_year", "model_group", "n", "paired_n", *[F.round(c, 4).alias(c) for c in ("historical_mae", "paired_historical_mae", "returning_mae")])
 
 
-def _with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.modelling(spark, sf_dir)
-
-
 @query("e02_rolling_ridge")
 def rolling_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling folds: penalty by inner years, ridge, both baselines, errors and skills per fold."""
