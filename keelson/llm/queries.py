@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licences, repeats, topk, toxicity, vectors, warc
+from . import bpe, chat, licences, minhash, repeats, topk, toxicity, vectors, warc
 from .minhash import near_duplicates
 from .mixing import mix_sources
 
@@ -87,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": minhash.SQL,
         "op2_topk": topk.SQL,
         "op4_chat": chat.SQL,
         "op5_warc": warc.SQL,
