@@ -2,9 +2,10 @@
 
 The tokens of a text's prefixes determine each other: the prefix that ends at byte *i* ends with the one token *t* that
 may follow the last token of the prefix ending at *i* - \\|t\\|. The machine reads bytes left to right and holds, for every
-start from which a vocabulary entry may still be growing, the entry's place in a trie and the tokens that lead there.
-Tokens on which all starts agree are emitted at once, so the lookahead never exceeds the longest entry. These
-configurations are numbered on first sight and their moves kept, which makes later reading a table walk.
+start from which a vocabulary entry may still be growing, the entry's place in a trie and the token before the start.
+These configurations are numbered on first sight and their moves kept, which makes later reading a table walk. Each move
+gives the last token of the prefix so far. Tokens are certain where the chains of last tokens of all starts meet, which
+is never further back than the longest entries reach, so long pieces are emitted as they are read.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import tidy
+from .words import KEPT, tidy
 
 FOREVER = 1 << 40
-MOVES = 500_000  #: moves kept before the machine forgets and starts to determinise anew
-PIECES = 250_000  #: pieces of text in a generation of those whose tokens a worker remembers
+RANK_BITS = 20
+RANK_MASK = (1 << RANK_BITS) - 1
+EMIT_BYTES = 4096  #: read before certain tokens are emitted
+MOVES = 300_000  #: moves kept before the machine forgets and starts to determinise anew
+PIECES = 150_000  #: pieces of text in a generation of those whose tokens a worker remembers
 ROWS_BYTES = 1 << 22  #: token bytes in an output batch
 
 
@@ -39,7 +43,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.entry = ranks, {r: e for e, r in ranks.items()}
         self.child: dict[int, int] = {}
-        self.rank_at, self.inner = [-1], {0}
+        self.rank_at, self.inner, self.depth = [-1], {0}, [0]
         for e, r in ranks.items():
             node = 0
             for b in e:
@@ -47,19 +51,20 @@ class Transducer:
                 if (to := self.child.get(key)) is None:
                     to = self.child[key] = len(self.rank_at)
                     self.rank_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                     self.inner.add(node)
                 node = to
             self.rank_at[node] = r
+        self.size = {r: len(e) for e, r in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        start = ((0, -1, ()),)
+        self.moves: dict[int, int] = {}  # state and byte to next state and last token
+        start = ((0, -1),)
         self.states, self.number = [start], {start: 0}
-        self.ends: list[tuple[int, ...]] = [()]
 
     def split(self, rank: int) -> tuple[int, int] | None:
         """The two entries whose merge makes this one; None for a single byte."""
@@ -107,49 +112,64 @@ class Transducer:
                     return False
         return True
 
-    def move(self, key: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one move: the next state and the tokens it emits."""
-        byte, live, whole = key & 255, [], None
+    def move(self, key: int) -> int:
+        """Determinise one move: the next state and the last token of what has been read."""
+        byte, live, last = key & 255, [], -1
         child, rank_at, inner = self.child.get, self.rank_at, self.inner
         for start in self.states[key >> 8]:
             if (to := child(start[0] << 8 | byte)) is None:
                 continue
-            _, before, pending = start
-            if whole is None and (r := rank_at[to]) >= 0 and (before < 0 or self.follows(before, r)):
-                whole = (0, r, (*pending, r))
+            before = start[1]
+            if last < 0 and (r := rank_at[to]) >= 0 and (before < 0 or self.follows(before, r)):
+                last = r
             if to in inner:
-                live.append((to, before, pending))
-        if whole is None:
+                live.append((to, before))
+        if last < 0:
             raise ValueError(f"no entry of the vocabulary ends with byte {byte}")
-        live.append(whole)
-        agreed, sure = 0, live[0][2]
-        for p in live if sure else ():
-            common = 0
-            for x, y in zip(sure, p[2], strict=False):
-                if x != y:
-                    break
-                common += 1
-            sure = sure[:common]
-        agreed = len(sure)
-        state = tuple([(n, b, p[agreed:]) for n, b, p in live]) if agreed else tuple(live)
+        state = (*live, (0, last))
         if (to := self.number.get(state)) is None:
             to = self.number[state] = len(self.states)
             self.states.append(state)
-            self.ends.append(state[-1][2])
-        self.moves[key] = out = (to, sure)
+        self.moves[key] = out = to << RANK_BITS | last
         return out
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.moves) > MOVES:
             self.forget()
-        moves, state, out = self.moves, 0, []
+        moves, state, last, out, size = self.moves, 0, [], [], self.size
         for b in piece:
             key = state << 8 | b
             found = moves.get(key)
-            state, tokens = found if found is not None else self.move(key)
-            if tokens:
-                out += tokens
-        out += self.ends[state]
+            if found is None:
+                found = self.move(key)
+            state = found >> RANK_BITS
+            last.append(found & RANK_MASK)
+            if len(last) >= EMIT_BYTES:
+                out += self.certain(state, last)
+        back, i = [], len(last)
+        while i:
+            t = last[i - 1]
+            back.append(t)
+            i -= size[t]
+        back.reverse()
+        return out + back if out else back
+
+    def certain(self, state: int, last: list[int]) -> list[int]:
+        """Takes the tokens off the front of ``last`` on which all starts of a state agree."""
+        size = self.size
+        ends = {len(last) - self.depth[node] for node, _ in self.states[state]}
+        while len(ends) > 1:
+            far = max(ends)
+            ends.remove(far)
+            ends.add(far - size[last[far - 1]])
+        (meet,) = ends
+        out, i = [], meet
+        while i:
+            t = last[i - 1]
+            out.append(t)
+            i -= size[t]
+        out.reverse()
+        del last[:meet]
         return out
 
 
@@ -175,16 +195,13 @@ class _Memory(dict):
         return out
 
 
-_MACHINES: dict[bytes, _Memory] = {}
-
-
 def _machine(data: bytes) -> _Memory:
     """The machine of a vocabulary, kept by the worker process: later tasks go on with the moves that are known."""
     key = hashlib.sha256(data).digest()
-    if key not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[key] = _Memory(Transducer(read_ranks(data)))
-    return _MACHINES[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = _Memory(Transducer(read_ranks(data)))
+    return KEPT[key]
 
 
 class Utf8Stream:
@@ -260,7 +277,7 @@ def encode(
         [T.StructField("id", docs.schema[id_col].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(_encoder(ranks, pattern)), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_encoder(ranks, pattern), keeps=True), schema).withColumnRenamed("id", id_col)
 
 
 def _decoder(ranks, step: int, keep: bool):
@@ -313,7 +330,7 @@ def decode(
         ]
     )
     rows = tokens.select(F.col(id_col).alias("id"), "tokens")
-    return rows.mapInArrow(tidy(_decoder(ranks, step, keep_tokens)), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_decoder(ranks, step, keep_tokens), keeps=True), schema).withColumnRenamed("id", id_col)
 
 
 def _both_ways(ranks, pattern: str, step: int, keep: bool):
@@ -370,5 +387,5 @@ def round_trip(
     if keep_tokens:
         fields.append(T.StructField("tokens", T.ArrayType(T.IntegerType())))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    run = tidy(_both_ways(ranks, pattern, step, keep_tokens))
+    run = tidy(_both_ways(ranks, pattern, step, keep_tokens), keeps=True)
     return rows.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)

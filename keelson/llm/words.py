@@ -146,10 +146,17 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run``, after which the worker gives freed memory back: workers live on and wait beside those of later stages."""
+#: What a worker process keeps for later tasks of the same operator.
+KEPT: dict = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable:
+    """``run`` as a good neighbour: workers live on and wait beside those of later stages, so freed memory is given back
+    at the end, and what another operator has kept is dropped at the start (unless ``run`` uses it)."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            KEPT.clear()
         try:
             yield from run(batches)
         finally:

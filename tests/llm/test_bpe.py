@@ -35,12 +35,20 @@ def test_long_pieces_and_forgetting(monkeypatch):
     assert encode(words) == REFERENCE.encode_ordinary(words)
 
 
-def test_tokens_come_after_bounded_lookahead():
-    """However long the piece, no state waits for more bytes than the longest entry has."""
-    longest = max(map(len, RANKS))
-    machine = bpe.Transducer(RANKS)
-    machine.encode(b"internationalization" * 50)
-    assert max(sum(len(machine.entry[t]) for t in p) for s in machine.states for _, _, p in s) <= 2 * longest
+def test_tokens_come_after_bounded_lookahead(monkeypatch):
+    """However long the piece, little more than the longest entry waits for more bytes."""
+    longest, waiting, certain = max(map(len, RANKS)), [], bpe.Transducer.certain
+
+    def watched(self, state, last):
+        out = certain(self, state, last)
+        waiting.append(len(last))
+        return out
+
+    monkeypatch.setattr(bpe.Transducer, "certain", watched)
+    monkeypatch.setattr(bpe, "EMIT_BYTES", 3 * longest)
+    piece = "internationalization" * 500 + "ab" * 3000
+    assert encode(piece) == REFERENCE.encode_ordinary(piece)
+    assert len(waiting) > 20 and max(waiting) <= 2 * longest
 
 
 @settings(max_examples=200, deadline=None)
