@@ -25,8 +25,8 @@ BITS = 17  #: 2**17 embedding rows
 WIDTH = 8
 SPAN, STRIDE = 2, 1
 SHARP = 4.0  #: of the soft maximum
-MAX_DOCS = 2500  #: labelled rows that are learnt from at most (by a hash of their id)
-MAX_BYTES = 16 << 20  #: and the bytes of their texts
+MAX_DOCS = 1500  #: labelled rows that are learnt from at most (by a hash of their id)
+MAX_BYTES = 8 << 20  #: and the bytes of their texts
 EPOCHS = 30
 DECAY = 1e-4
 _GRAM = _Powers(0x8CB92BA72F3D8DD7)
@@ -217,7 +217,7 @@ def fit(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where("id is not null")
         .join(F.broadcast(ids), "id")
-        .where(F.octet_length("text") <= max_bytes // 16)
+        .where(F.octet_length("text") <= max_bytes // 8)
         .orderBy(F.xxhash64("id"), "id", "text")
         .limit(max_docs)
         .select("text", "y")
