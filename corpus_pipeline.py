@@ -12,22 +12,31 @@ from keelson.llm import bpe, minhash, mixing, repeats, toxicity
 from keelson.llm.scratch import materialize
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Rows that travel to a Python worker at once: texts are long, and 10,000 of them (Spark's default) fill tens of MB.
+ARROW_ROWS = 1000
+
+
+def _arrow_rows(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by a model learnt from the labelled rows among them. Rows are never moved."""
+    _arrow_rows(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.with_score(docs, model).where("_score < 0.5").drop("_score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest id. Rows with a null id stay."""
+    _arrow_rows(spark)
     gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words that an earlier document has; others are unchanged, none is dropped."""
+    _arrow_rows(spark)
     found = repeats.removed_words(docs).where("n_removed > 0")
     found = found.groupBy("doc_id").agg(F.first("kept_text").alias("_kept"))
     rows = docs.join(found, "doc_id", "left")
@@ -44,6 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document, decoded again: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``tokens``."""
+    _arrow_rows(spark)
     path = public_tokenizers.path(VOCABULARY)
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep_tokens=True)
 
