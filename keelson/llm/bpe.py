@@ -369,13 +369,14 @@ def _both_ways(ranks, pattern: str, step: int, keep: bool):
 
 def round_trip(
     docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step: int = 4096,
-    keep_tokens: bool = False,
+    keep_tokens: bool = False, keep_machine: bool = True,
 ) -> DataFrame:
     """``encode`` and ``decode`` in one pass over the texts: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` (of
     the decoded text's bytes) and, if asked for, ``tokens``.
 
     The ids are decoded as soon as a text is encoded, by the same streaming decoder, and never travel between two
-    workers. Rows are as in ``encode``.
+    workers. Rows are as in ``encode``. Without ``keep_machine`` a task's machine goes with the task: later tasks begin
+    anew, and workers that wait beside other stages hold no memory for it.
     """
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -387,5 +388,5 @@ def round_trip(
     if keep_tokens:
         fields.append(T.StructField("tokens", T.ArrayType(T.IntegerType())))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    run = tidy(_both_ways(ranks, pattern, step, keep_tokens), keeps=True)
+    run = tidy(_both_ways(ranks, pattern, step, keep_tokens), keeps=keep_machine)
     return rows.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)

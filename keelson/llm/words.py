@@ -160,6 +160,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
         try:
             yield from run(batches)
         finally:
+            if not keeps:
+                KEPT.clear()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:
