@@ -55,7 +55,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document, decoded again: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``tokens``."""
     _arrow_rows(spark)
     path = public_tokenizers.path(VOCABULARY)
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep_tokens=True)
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep_tokens=True, keep_machine=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
