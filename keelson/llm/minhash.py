@@ -104,7 +104,12 @@ def registers(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
-    """Whether similarity ``least`` or more is tenable, judged by the joint likelihood of all registers of both sides."""
+    """Whether similarity ``least`` or more is tenable, judged by the sizes and the joint likelihood of all registers.
+
+    The size test is made on whole numbers, so that a set of exactly the wanted share of another isn't lost to rounding;
+    the ratio in floating point only bounds the similarities whose likelihoods are compared.
+    """
+    fits = 100 * np.minimum(na, nb) >= round(100 * least, 6) * np.maximum(na, nb)
     above, below = (a > b).sum(axis=1), (a < b).sum(axis=1)
     na, nb = na.astype(np.float64), nb.astype(np.float64)
     u, v = na / (na + nb), nb / (na + nb)
@@ -120,7 +125,7 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, leas
     same = np.clip(1 - up - down, 1e-12, 1)
     ll = above[:, None] * np.log(up) + below[:, None] * np.log(down) + (M - above - below)[:, None] * np.log(same)
     high = np.where(grid[None, :] >= least, ll, -np.inf).max(axis=1)
-    return (most >= least) & (high >= ll.max(axis=1) - DOUBT)
+    return fits & (high >= ll.max(axis=1) - DOUBT)
 
 
 def _sketch_batches(k: int, id_type: pa.DataType):

@@ -118,6 +118,39 @@ def test_large_groups_are_compared_in_blocks(spark, docs, monkeypatch):
     assert got == brute(rows, 5, 80)
 
 
+def test_sizes_at_the_border_are_kept():
+    """A text and one that contains its whole set, of sizes 4k and 5k: the sizes leave exactly 80 % tenable, and not 81 %."""
+    from keelson.llm.words import mix
+
+    for n in (4, 8, 80, 400):
+        e = mix(np.arange(n * 5 // 4, dtype=np.uint64) + np.uint64(n * 1000))
+        r = minhash.registers(np.concatenate([e[:n], e]), np.array([0, n, n + len(e)]))
+        sizes = np.array([n]), np.array([len(e)])
+        for (i, j), (a, b) in (((0, 1), sizes), ((1, 0), sizes[::-1])):
+            assert minhash.plausible(r[i : i + 1], r[j : j + 1], a, b, 0.80)[0]
+            assert not minhash.plausible(r[i : i + 1], r[j : j + 1], a, b, 0.81)[0]
+    # No size pair (4k, 5k) is refused, and each pair that is one shingle further apart is.
+    k = np.arange(1, 10_001)
+    same = np.broadcast_to(r[:1], (len(k), minhash.M))
+    assert minhash.plausible(same, same, 4 * k, 5 * k, 0.8).all() and minhash.plausible(same, same, 5 * k, 4 * k, 0.8).all()
+    assert not minhash.plausible(same, same, 4 * k - 1, 5 * k, 0.8).any()
+
+
+def test_border_groups_equal_brute_force(spark, docs):
+    """Pairs of Jaccard similarity exactly 4/5 and 80/100, and ones just below, in both orders of size."""
+    rows = []
+    for g in range(20):
+        w = sentence(g, 8, salt=g)
+        rows += [(10 * g + g % 2, " ".join(w[:7])), (10 * g + 1 - g % 2, " ".join(w))]
+        w = sentence(100 + g, 104, salt=g)
+        cut = 83 if g < 15 else 82
+        rows += [(10 * g + 5 + g % 2, " ".join(w[:cut])), (10 * g + 6 - g % 2, " ".join(w[:103]))]
+    want = brute(rows, 4, 80)
+    assert sum(i != c for i, c in want.items()) == 35
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs(rows), k=4, percent=80).collect()}
+    assert got == {i: (c, i == c) for i, c in want.items()}
+
+
 def test_empty_table(spark, docs):
     out = minhash.near_duplicates(docs([]))
     assert out.collect() == [] and out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
