@@ -86,7 +86,7 @@ def block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w01_r01_rank", f"WITH {RESOLVE_SQL} SELECT entry_key, best_id, round(score, 5) AS score, round(second_score, 5) AS second_score, candidate_count FROM ranked WHERE y = 2024")
 def rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = resolve.rank(resolve.score(resolve.block(entries(spark, sf_dir), roster(spark, sf_dir)), edit_ratio))
+    t = resolve.ranked(entries(spark, sf_dir), roster(spark, sf_dir), edit_ratio)
     return t.select("entry_key", "best_id", F.round("score", 5).alias("score"), F.round("second_score", 5).alias("second_score"), "candidate_count")
 
 

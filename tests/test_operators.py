@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,41 @@ def test_margins_and_candidates(spark):
     assert len(scores) == 5 and scores == sorted(scores, reverse=True) and got.candidate_count == 8
 
 
+def test_names_of_a_team_are_compared_once(spark):
+    """All candidates' ranks are those of the pairs, but no pair of entry and roster row is made for them."""
+    rng = np.random.default_rng(5)
+    first, last, pos = ["Mike", "Michael", "Ann", "Bo", ""], ["Lee", "Lee Jr.", "Day", "Moe"], ["QB", "WR", "CB", None]
+    pick = lambda x: x[rng.integers(len(x))]
+    e = [(f"e{i}", 2024, pick(first), pick(last), pick([*pos, "K"]), pick(["Texas", "texas", "Texas", "Rice", "Nowhere", None])) for i in range(300)]
+    r = [(pick([str(i), str(i // 2), None]), 2024, pick(["Texas", "TEXAS", "Rice"]), pick(first), pick(last), pick(pos), 1) for i in range(300)]
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        asked.add(len(a))
+        return pd.Series([float(x == y) / 2 for x, y in zip(a, b, strict=True)])
+
+    e, r = spark.createDataFrame(e, ENTRY), spark.createDataFrame(r, ROSTER)
+    pairs = resolve.block(e, r)
+    n = pairs.count()
+    want = {x.entry_key: x for x in resolve.rank(resolve.score(pairs, lambda a, b: (a == b).cast("double") / 2)).collect()}
+    got = {x.entry_key: x for x in resolve.resolve(e, r, ratio).collect()}
+    names = pairs.select("season", "e_team", "e_first", "e_last", "e_group", "r_first", "r_last", "r_group").distinct().count()
+    assert n > 5 * names and 0 < asked.value <= 2 * names
+    assert len(got) == 300 and {k for k, x in got.items() if x.candidate_count} == set(want)
+    for k, x in want.items():
+        assert (x.score, x.second_score, x.candidate_count, x.top_candidates) == (got[k].score, got[k].second_score, got[k].candidate_count, got[k].top_candidates)
+    assert {x.entry_key: x for x in resolve.ranked(e, r, lambda a, b: (a == b).cast("double") / 2).collect()} == want
+    # By hand: the pairs of an entry, their number and its exact ids.
+    brute = {}
+    for p in resolve.score(pairs, lambda a, b: (a == b).cast("double") / 2).collect():
+        brute.setdefault(p.entry_key, []).append((-p.score, p.player_id or "", p.exact_name))
+    for k, rows in brute.items():
+        rows.sort()
+        assert [(c.score, c.player_id) for c in want[k].top_candidates] == [(-s, i) for s, i, _ in rows[:5]]
+        assert want[k].candidate_count == len(rows) and want[k].exact_ids == len({i for _, i, x in rows if x and i})
+
+
 def test_fallback(spark):
     entries = [("Ann", "Lee", "QB", "Texas"), ("Chris", "Jones", "DB", "Texas"), ("Bo", "Day", "QB", "Rice")]
     roster = [
