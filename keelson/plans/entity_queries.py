@@ -16,7 +16,7 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as entries: the name's words are first and last name, the brand is the team, the type the position."""
     p = table(spark, sf_dir, "part")
     words = F.split("p_name", " ")
@@ -28,11 +28,16 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_partkey") % 13 != 0, F.element_at(F.split("p_type", " "), -1)).alias("position"),
         F.when(F.col("p_partkey") % 17 != 0, F.col("p_brand")).alias("destination"),
         F.concat(F.lit("o"), F.col("p_size") % 5).alias("origin"),
-    ).where(F.expr("cast(substr(entry_key, 2) as bigint) % 4 = 1"))
+    )
 
 
-def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 4 in (1, 2) and p_partkey % 3 <> 0")
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that ``RESOLVE_SQL`` resolves: every fourth one."""
+    return all_entries(spark, sf_dir).where("cast(substr(entry_key, 2) as bigint) % 4 = 1")
+
+
+def all_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
     words = F.split("p_name", " ")
     return p.select(
         F.col("p_partkey").cast("string").alias("player_id"),
@@ -44,6 +49,11 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roster of ``RESOLVE_SQL``: a third of the rows."""
+    return all_roster(spark, sf_dir).where("cast(player_id as bigint) % 4 in (1, 2) and cast(player_id as bigint) % 3 <> 0")
+
+
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _RATIO = "CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END"
 RESOLVE_SQL = f"""e AS (
@@ -102,7 +112,7 @@ def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r03_resolve")
 def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve(entries(spark, sf_dir), roster(spark, sf_dir))
+    return resolve.resolve(all_entries(spark, sf_dir), all_roster(spark, sf_dir))
 
 
 _STATES = f"""WITH {RESOLVE_SQL}, a AS (SELECT * FROM decided WHERE y = 2024), b AS (SELECT * FROM decided WHERE y = 2025),
@@ -124,6 +134,12 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("entry_key", "same_season_status", "same_season_reason", "fallback_status", "status", "match_strategy", "roster_match_season", "player_id")
 
 
+@query("r04_resolve_fallback_all")
+def fallback_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as an entry, against every part as a roster row."""
+    return resolve.resolve_with_fallback(all_entries(spark, sf_dir), all_roster(spark, sf_dir), edit_ratio)
+
+
 _ACC = "count(*) AS n, CAST(count(*) FILTER (status = 'resolved') AS BIGINT) AS resolved, CAST(count(*) FILTER (status <> 'resolved') AS BIGINT) AS held_out"
 
 

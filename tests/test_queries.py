@@ -46,3 +46,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_parts_are_resolved(spark, duck):
+    """Each part is an entry, and the candidates of all entries are counted over all parts."""
+    want = duck.execute("""
+      with p as (select p_partkey as k, p_brand as b, p_size > 40 as later, case when p_partkey % 13 <> 0 then split_part(p_type, ' ', -1) end as g, split_part(p_type, ' ', -1) as rg from part),
+      c as (select e.k, count(*) filter (r.rg = e.g) as same, count(r.k) as n from p e left join p r on r.b = e.b and not r.later and e.k % 17 <> 0 group by e.k)
+      select 'e' || k, case when same > 0 then same else n end from c""").fetchall()
+    assert len(want) == duck.execute("select count(*) from part").fetchone()[0]
+    assert sorted((r.entry_key, r.candidate_count) for r in QUERIES["r03_resolve"](spark, DIR).collect()) == sorted(want)
+    assert QUERIES["r04_resolve_fallback_all"](spark, DIR).count() == len(want)
