@@ -138,7 +138,14 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s05_s07_log", "SELECT event_type AS endpoint, CAST(row_number() OVER (ORDER BY ts, event_id) AS INTEGER) AS id, event_id FROM events WHERE user_id < 5")
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events").where("user_id < 5").select(F.col("event_type").alias("endpoint"), "event_id", "ts")
-    return archive.with_ids(t, ["ts", "event_id"]).select("endpoint", "id", "event_id").orderBy("id")
+    return archive.with_ids(t, ["ts", "event_id"]).select("endpoint", F.col("id").cast("int").alias("id"), "event_id").orderBy("id")
+
+
+@query("s05_s07_log_all", "SELECT event_type AS endpoint, row_number() OVER (ORDER BY ts, event_id) AS id, event_id FROM events")
+def log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log, numbered."""
+    t = table(spark, sf_dir, "events").select(F.col("event_type").alias("endpoint"), "event_id", "ts")
+    return archive.with_ids(t, ["ts", "event_id"]).select("endpoint", "id", "event_id")
 
 
 @query("s06_latest", "SELECT user_id, event_type, arg_max(props, event_id) AS props, max(event_id) AS event_id FROM events GROUP BY ALL")
@@ -157,6 +164,11 @@ def valid_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_id < 1000").select("event_id", archive.valid_root(F.col("props")).alias("ok"))
 
 
+@query("s02_valid_root_all", "SELECT event_id, true AS ok FROM events")
+def valid_root_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", archive.valid_root(F.col("props")).alias("ok"))
+
+
 @query("s14_union_of_fields", "SELECT n_nationkey AS k, n_name, n_regionkey, NULL::VARCHAR AS r_name FROM nation UNION ALL SELECT r_regionkey, NULL, NULL, r_name FROM region")
 def union(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import union_of_fields

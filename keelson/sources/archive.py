@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .scratch import materialize
+
 # The endpoints that can be ingested.
 ENDPOINTS = ("portal", "roster", "player_stats", "returning", "team_stats", "records")
 
@@ -88,8 +90,20 @@ def latest_object(log: DataFrame, endpoint: str, season: int | None = None, para
 
 
 def with_ids(entries: DataFrame, order: list[str], first: int = 1) -> DataFrame:
-    """Numbers entries of one ingestion batch in order, from ``first``."""
-    return entries.withColumn("id", F.row_number().over(Window.orderBy(*order)) + (first - 1))
+    """Numbers entries in order, from ``first``.
+
+    Sorted ranges are written with each row's place in its range; a range then starts where the ones before it end, so
+    only one number per range meets in a task, however long the log.
+    """
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = entries.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # The upper bits of _at are the range, the lower 33 the place in it.
+    rows = materialize(ranges, "log").withColumn("_range", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(starts), "_range").withColumn("id", F.col("_start") + place + first).drop("_range", "_start", "_at")
 
 
 def parsed_params(log: DataFrame, schema: str = "map<string,string>") -> DataFrame:

@@ -318,6 +318,20 @@ def test_labels_of_the_scored_year_change_nothing_before_it(spark):
     assert [(r.prevalence, r.l2, r.probability) for r in a] == [(r.prevalence, r.l2, r.probability) for r in b]
 
 
+def test_log_is_numbered_in_ranges(spark, monkeypatch):
+    """Ids follow the order without gaps, and no task sorts the whole log."""
+    written, write = [], archive.materialize
+    monkeypatch.setattr(archive, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    t = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 97).alias("ts")).repartition(7)
+    out = archive.with_ids(t, ["ts", "k"], 10)
+    got = sorted((r.id, r.ts, r.k) for r in out.collect())
+    want = sorted((k * 7919 % 97, k) for k in range(5000))
+    assert got == [(10 + i, *x) for i, x in enumerate(want)] and out.columns == ["k", "ts", "id"]
+    sizes = [r.n for r in written[0].groupBy(F.shiftright("_at", 33)).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 2500
+    assert archive.with_ids(t.limit(0), ["ts", "k"]).collect() == []
+
+
 def test_gates(spark):
     t = spark.createDataFrame([("a", "pre", 1), ("b", "post", None)], "k string, phase string, n int")
     gates.enforce(t, "k", 2, {"phase": F.col("phase").isin("pre", "post")})
