@@ -290,6 +290,32 @@ def test_logistic(spark):
     assert s > 0.9 and models.calibration_fit(np.zeros(5), y[:5]) == (None, None)
 
 
+def test_logistic_fits_are_sums(spark, monkeypatch):
+    """All groups' fits equal those on whole arrays, and no group's rows meet in a Python frame."""
+    rng = np.random.default_rng(3)
+    rows = [(g, [1.0, float(a), float(a * a)], int(rng.random() < 1 / (1 + np.exp(-a))) if g != "one" else 1, l) for g, l, n in (("a", 1.0, 400), ("b", 10.0, 90), ("one", 1.0, 5)) for a in rng.normal(size=n)]
+    t = spark.createDataFrame(rows, "g string, x array<double>, y int, l2 double")
+    score = [(g, y, float(1 / (1 + np.exp(-x[1])))) for g, x, y, _ in rows] + [("flat", 0, 0.5), ("flat", 1, 0.5), ("apart", 0, 0.2), ("apart", 1, 0.8)]
+    s = spark.createDataFrame(score, "g string, y int, p double")
+
+    def met(self, *args, **kw):
+        raise AssertionError("a group in one frame")
+
+    monkeypatch.setattr(type(t.groupBy("g")), "applyInPandas", met)
+    got = {r.g: r for r in models.fit_logistic(t, ["g"], "x", "y", "l2").collect()}
+    assert set(got) == {"a", "b"}
+    for g, r in got.items():
+        mine = [(x, y, l) for k, x, y, l in rows if k == g]
+        want = models.logistic_newton(np.array([x for x, _, _ in mine]), np.array([y for _, y, _ in mine], dtype=float), mine[0][2])
+        assert r.train_rows == len(mine) and np.allclose(r.beta, want, atol=1e-9)
+    fit = {r.g: r for r in models.calibration(s, ["g"], "y", "p").collect()}
+    assert set(fit) == {"a", "b", "one", "flat", "apart"} and fit["flat"].n == 2 and fit["flat"].slope is None and fit["one"].intercept is None
+    for g in ("a", "b"):
+        q = np.array([p for k, _, p in score if k == g])
+        want = models.calibration_fit(np.log(q / (1 - q)), np.array([y for k, y, _ in score if k == g], dtype=float))
+        assert np.allclose((fit[g].intercept, fit[g].slope), want, atol=1e-9)
+
+
 def fold_rows(spark, n, seasons, group="RB"):
     rng = np.random.default_rng(2)
     rows = []
