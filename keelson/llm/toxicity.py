@@ -25,8 +25,8 @@ BITS = 17  #: 2**17 embedding rows
 WIDTH = 8
 SPAN, STRIDE = 2, 1
 SHARP = 4.0  #: of the soft maximum
-MAX_DOCS = 1500  #: labelled rows that are learnt from at most (by a hash of their id)
-MAX_BYTES = 8 << 20  #: and the bytes of their texts
+MAX_DOCS = 2500  #: labelled rows that are learnt from at most (by a hash of their id)
+MAX_BYTES = 16 << 20  #: and the bytes of their texts
 EPOCHS = 30
 DECAY = 1e-4
 _GRAM = _Powers(0x8CB92BA72F3D8DD7)
@@ -233,8 +233,9 @@ def _train_batches(max_bytes: int):
         texts, y, size = [], [], 0
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size += len(text.encode())
-                if size <= max_bytes:
+                more = len(text.encode())
+                if size + more <= max_bytes:
+                    size += more
                     texts.append(text)
                     y.append(label > 0)
         if texts:

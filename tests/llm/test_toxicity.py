@@ -64,6 +64,17 @@ def test_degenerate_training():
         assert np.isfinite(z).all()
 
 
+def test_a_refused_text_takes_no_room(monkeypatch):
+    """A text beyond the bound is passed over; shorter ones after it are still learnt from."""
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda t, y: seen.append((t, y.tolist())) or toxicity.Model(np.zeros(1), 0.0))
+    batch = pa.record_batch([pa.array(["a" * 60, "b" * 60, "c" * 30, "d" * 10, "e"]), pa.array([0, 0, 1, 1, 1])], names=["text", "y"])
+    list(toxicity._train_batches(100)(iter([batch])))
+    assert seen == [(["a" * 60, "c" * 30, "d" * 10], [False, True, True])]
+
+
 def test_operator(spark, docs):
     rows, y = texts(260, seed=2)
     table = [(i, t) for i, t in enumerate(rows)] + [(900, None), (901, ""), (None, rows[0]), (0, rows[0])]
