@@ -1,17 +1,20 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and its streaming inverse.
 
 The tokens of a text's prefixes determine each other: the prefix that ends at byte *i* ends with the one token *t* that
-may follow the last token of the prefix ending at *i* - \\|t\\|. The machine reads bytes left to right and holds, for every
-start from which a vocabulary entry may still be growing, the entry's place in a trie and the token before the start.
-These configurations are numbered on first sight and their moves kept, which makes later reading a table walk. Each move
-gives the last token of the prefix so far. Tokens are certain where the chains of last tokens of all starts meet, which
-is never further back than the longest entries reach, so long pieces are emitted as they are read.
+may follow the last token of the prefix ending at *i* - \\|t\\|. The machine reads bytes left to right. Its states are sets
+of places in the vocabulary's trie, one for every start from which an entry may still be growing; they are determinised
+on first sight and their moves kept, which makes later reading a table walk. A move tells which entries end at the byte,
+and what the last tokens within reach of the longest entry were tells which of them is the token there. Tokens are certain
+where the chains of last tokens of all starts meet, which is never further back than the longest entries reach, so long
+pieces are emitted as they are read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +28,9 @@ from .words import KEPT, tidy
 
 FOREVER = 1 << 40
 RANK_BITS = 20
-RANK_MASK = (1 << RANK_BITS) - 1
+START = (1 << RANK_BITS) - 1  #: stands before the first token of a piece
 EMIT_BYTES = 4096  #: read before certain tokens are emitted
-MOVES = 300_000  #: moves kept before the machine forgets and starts to determinise anew
+MOVES = 300_000  #: moves, and pairs of neighbours, kept before the machine forgets and starts anew
 PIECES = 150_000  #: pieces of text in a generation of those whose tokens a worker remembers
 ROWS_BYTES = 1 << 22  #: token bytes in an output batch
 
@@ -38,33 +41,34 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes one piece of text (bytes) at a time into ranks."""
+    """Encodes one piece of text (bytes) at a time into ranks.
+
+    Its tables hold small numbers and few tuples, so they stay small and the garbage collector has little to visit.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.entry = ranks, {r: e for e, r in ranks.items()}
-        self.child: dict[int, int] = {}
-        self.rank_at, self.inner, self.depth = [-1], {0}, [0]
+        self.ranks = ranks
+        self.entry = {r: e for e, r in ranks.items()}
+        self.child: dict[int, int] = {}  # place << 8 | byte to place << 8
+        self.rank_at, self.depth = array("i", [-1]), array("i", [0])
         for e, r in ranks.items():
             node = 0
             for b in e:
-                key = node << 8 | b
-                if (to := self.child.get(key)) is None:
-                    to = self.child[key] = len(self.rank_at)
+                if (to := self.child.get(node | b)) is None:
+                    to = self.child[node | b] = len(self.rank_at) << 8
                     self.rank_at.append(-1)
-                    self.depth.append(self.depth[node] + 1)
-                    self.inner.add(node)
+                    self.depth.append(self.depth[node >> 8] + 1)
                 node = to
-            self.rank_at[node] = r
+            self.rank_at[node >> 8] = r
         self.size = {r: len(e) for e, r in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.edges: dict[int, list[tuple[bytes, int]]] = {}
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.moves: dict[int, int] = {}  # state and byte to next state and last token
-        start = ((0, -1),)
-        self.states, self.number = [start], {start: 0}
+        self.moves: dict[int, tuple[int, tuple]] = {}  # state << 8 | byte to (next state << 8, tokens that may end here)
+        self.states, self.number = [(0,)], {(0,): 0}
 
     def split(self, rank: int) -> tuple[int, int] | None:
         """The two entries whose merge makes this one; None for a single byte."""
@@ -78,12 +82,12 @@ class Transducer:
             self.halves[rank] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
         return self.halves[rank]
 
-    def edge(self, rank: int, right: bool) -> list[tuple[int, int]]:
+    def edge(self, rank: int, right: bool) -> list[tuple[bytes, int]]:
         """What stands at an entry's right or left edge while it is merged: (entry, rank of the merge that ends it)."""
-        if (key := (rank, right)) not in self.edges:
+        if (key := rank << 1 | right) not in self.edges:
             out, until, now = [], FOREVER, rank
             while True:
-                out.append((now, until))
+                out.append((self.entry[now], until))
                 if (parts := self.split(now)) is None:
                     break
                 until, now = now, parts[right]
@@ -96,59 +100,59 @@ class Transducer:
         It doesn't if two entries that meet at the border at some time merge before either is merged elsewhere; of two
         equal merges the left one comes first.
         """
-        if (key := (left, right)) not in self.pairs:
-            if len(self.pairs) > MOVES:
-                self.pairs.clear()
-            self.pairs[key] = self._follows(left, right)
-        return self.pairs[key]
-
-    def _follows(self, left: int, right: int) -> bool:
-        entry, find = self.entry, self.ranks.get
-        edge = [(entry[b], until) for b, until in self.edge(right, False)]
-        for a, until in self.edge(left, True):
-            start = entry[a]
+        if left == START:
+            return True
+        find, edge = self.ranks.get, self.edge(right, False)
+        for start, until in self.edge(left, True):
             for b, ends in edge:
                 if (r := find(start + b)) is not None and r < until and r <= ends:
                     return False
         return True
 
-    def move(self, key: int) -> int:
-        """Determinise one move: the next state and the last token of what has been read."""
-        byte, live, last = key & 255, [], -1
-        child, rank_at, inner = self.child.get, self.rank_at, self.inner
-        for start in self.states[key >> 8]:
-            if (to := child(start[0] << 8 | byte)) is None:
-                continue
-            before = start[1]
-            if last < 0 and (r := rank_at[to]) >= 0 and (before < 0 or self.follows(before, r)):
-                last = r
-            if to in inner:
-                live.append((to, before))
-        if last < 0:
+    def pair(self, key: int) -> bool:
+        """``follows`` of a pair of tokens, kept."""
+        if len(self.pairs) > MOVES:
+            self.pairs.clear()
+        out = self.pairs[key] = self.follows(key >> RANK_BITS, key & START)
+        return out
+
+    def move(self, key: int) -> tuple[int, tuple]:
+        """Determinise one move: the next state, and (token, length) of all entries that end here, longest first."""
+        byte, ends, state = key & 255, [], []
+        for place in self.states[key >> 8]:
+            if (to := self.child.get(place | byte)) is not None:
+                state.append(to)
+                if (r := self.rank_at[to >> 8]) >= 0:
+                    ends.append((r, self.size[r]))
+        if not ends:
             raise ValueError(f"no entry of the vocabulary ends with byte {byte}")
-        state = (*live, (0, last))
-        if (to := self.number.get(state)) is None:
-            to = self.number[state] = len(self.states)
+        state = (*state, 0)
+        if (number := self.number.get(state)) is None:
+            number = self.number[state] = len(self.states)
             self.states.append(state)
-        self.moves[key] = out = to << RANK_BITS | last
+        out = self.moves[key] = number << 8, tuple(ends)
         return out
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.moves) > MOVES:
             self.forget()
-        moves, state, last, out, size = self.moves, 0, [], [], self.size
-        for b in piece:
-            key = state << 8 | b
-            found = moves.get(key)
-            if found is None:
-                found = self.move(key)
-            state = found >> RANK_BITS
-            last.append(found & RANK_MASK)
-            if len(last) >= EMIT_BYTES:
-                out += self.certain(state, last)
-        back, i = [], len(last)
+        move, pair, state, last, out, size = self.moves.get, self.pairs.get, 0, [START], [], self.size
+        for a in range(0, len(piece), EMIT_BYTES):
+            if a:
+                out += self.certain(state >> 8, last)
+            for b in piece[a : a + EMIT_BYTES]:
+                state, ends = move(state | b) or self.move(state | b)
+                i = len(last)
+                for token, length in ends:
+                    key = last[i - length] << RANK_BITS | token
+                    if (ok := pair(key)) or (ok is None and self.pair(key)):
+                        break
+                else:
+                    raise ValueError("the vocabulary can't be merged to this text")
+                last.append(token)
+        back, i = [], len(last) - 1
         while i:
-            t = last[i - 1]
+            t = last[i]
             back.append(t)
             i -= size[t]
         back.reverse()
@@ -156,16 +160,16 @@ class Transducer:
 
     def certain(self, state: int, last: list[int]) -> list[int]:
         """Takes the tokens off the front of ``last`` on which all starts of a state agree."""
-        size = self.size
-        ends = {len(last) - self.depth[node] for node, _ in self.states[state]}
+        size, n = self.size, len(last) - 1
+        ends = {n - self.depth[place >> 8] for place in self.states[state]}
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
-            ends.add(far - size[last[far - 1]])
+            ends.add(far - size[last[far]])
         (meet,) = ends
         out, i = [], meet
         while i:
-            t = last[i - 1]
+            t = last[i]
             out.append(t)
             i -= size[t]
         out.reverse()
@@ -173,6 +177,14 @@ class Transducer:
         return out
 
 
+def _packed(tokens: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", tokens)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Memory(dict):
     """Pieces of text to the little-endian bytes of their tokens.
 
@@ -185,7 +197,7 @@ class _Memory(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if (out := self.older.get(piece)) is None:
-            out = np.array(self.machine.encode(piece.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
+            out = _packed(self.machine.encode(piece.encode("utf-8", "surrogatepass")))
             if len(piece) > 48:
                 return out
         if len(self) >= PIECES:
