@@ -51,6 +51,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     the nodes. Nulls, loops and repeated links are ignored; no links give no rows.
     """
     edges = links.where("u is not null and v is not null and u <> v").select("u", "v")
+    # Written before they are contracted: whatever finds the links then shares no stage, and no workers, with what follows.
+    edges = materialize(edges, "links")
     edges = materialize(edges.mapInArrow(_contract, edges.schema), "links")
     mark = None
     for _ in range(rounds):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .names import every, fresh
 from .scratch import materialize
 
 CELLS = 4096
@@ -106,16 +107,18 @@ def plan(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float)
         goal = materialize(goal.withColumn("before", F.coalesce("before", F.lit(0.0))), "mix-cut")
         near = goal.where(F.col(level).isNotNull()).select(F.col("source").alias("_s"), F.col(level).alias("_c"))
         cells = cells.join(near, cells["source"].eqNullSafe(near["_s"]) & (cells[level] == near["_c"])).drop("_s", "_c")
-    last = _by_source(cells, goal.select("source", "open", "before"))
+    # Rows of one rank count as a group, however many they are; the first group that isn't taken whole is cut inside.
+    last = cells.groupBy("source", "rank", "size").agg(F.count("*").alias("n"))
+    last = _by_source(last, goal.select("source", "open", "before"))
     upto = Window.partitionBy("source").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("cum", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    last = last.where(F.col("cum") + F.col("size") / 2 <= F.col("open")).groupBy("source").agg(F.max("rank").alias("last"))
+    last = last.withColumn("cum", F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(upto), F.lit(0)))
+    fits = F.floor((F.col("open") - F.col("cum")) / F.col("size") + 0.5)
+    last = last.withColumn("take", F.greatest(F.least(fits, F.col("n")), F.lit(0))).where(F.col("take") < F.col("n"))
+    last = last.groupBy("source").agg(F.min(F.struct("rank", "size", "take", "n")).alias("cut"))
     goal = _by_source(goal, last)
     # Ranks lie in [0, 1]: without a cut, every document is in.
-    below = F.when(F.col("cell").isNull(), F.lit(2.0)).otherwise(F.col("fine") / float(CELLS * CELLS))
-    return goal.select(
-        "source", "source_size", "target", "c", F.coalesce(below, F.lit(2.0)).alias("below"), F.coalesce("last", F.lit(-1.0)).alias("last")
-    )
+    below = F.when(F.col("cell").isNull(), F.lit(2.0)).otherwise((F.col("fine") + 1) / float(CELLS * CELLS))
+    return goal.select("source", "source_size", "target", "c", F.coalesce(below, F.lit(2.0)).alias("below"), "cut")
 
 
 def with_rank(rows: DataFrame, cap: float) -> DataFrame:
@@ -137,13 +140,15 @@ def mix_sources(
     cap: int = 2,
     tilt: float = 0.5,
     seed: int = 20,
+    name: str = "mix",
 ) -> DataFrame:
-    """``docs`` with ``copies`` (0 to ``cap``), ``size``, ``source_size`` and ``target`` added in a struct ``mix``.
+    """``docs`` with ``copies`` (0 to ``cap``), ``size``, ``source_size`` and ``target`` added in a last column, a struct ``name``.
 
     A source's taken words differ from its target by half a document at most. Draws depend on the seed, the id and the
-    text only, so reruns and other layouts of the table agree; equal rows are taken or left together. Null sources form
-    one source, the last one. Null and empty texts have size 0 and no copies. An empty table gives an empty result. The
-    columns of ``docs`` are kept as they are, whatever their names (but for a column ``mix``, which is replaced).
+    text only, so reruns and other layouts of the table agree; where the cut falls among equal rows, as many of them are
+    taken as fit. Null sources form one source, the last one. Null and empty texts have size 0 and no copies. An empty
+    table gives an empty result. The columns of ``docs`` are kept as they are; where one is called ``name`` already, the
+    struct's name gets underscores in front.
     """
     size, source = words(F.col(text_col)), F.col(source_col)
     u = _uniform(seed, F.col(id_col).cast("string"), F.col(text_col))
@@ -151,12 +156,30 @@ def mix_sources(
     narrow = narrow.where("size > 0").withColumn("weight", F.pow("size", F.lit(tilt)))
     empty = docs.select(source.alias("source")).distinct().select("source", F.lit(0).cast("long").alias("size"), F.lit(0.5).alias("u"), F.lit(0.0).alias("weight"))
     narrow = materialize(narrow.unionByName(empty), "mix-sizes")
-    table = materialize(plan(narrow, weights, share, float(cap)), "mix-plan").select(F.struct("*").alias("_mix"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), source.alias("source"), size.alias("size"), u.alias("u"))
-    rows = rows.join(table, F.col("source").eqNullSafe(F.col("_mix.source")), "left")
+    table = materialize(plan(narrow, weights, share, float(cap)), "mix-plan")
+    split = table.where("cut.take > 0").limit(1).count() > 0
+    rows = docs.select(F.struct(*every(docs)).alias("_doc"), source.alias("source"), size.alias("size"), u.alias("u"))
+    rows = rows.join(table.select(F.struct("*").alias("_mix")), F.col("source").eqNullSafe(F.col("_mix.source")), "left")
     rows = rows.withColumn("weight", F.pow("size", F.lit(tilt))).withColumn("c", F.col("_mix.c"))
     rows = with_rank(rows, float(cap))
-    extra = (F.col("certain") < cap) & ((F.col("rank") < F.col("_mix.below")) | (F.col("rank") <= F.col("_mix.last")))
+    here, cut = F.struct("rank", "size"), F.struct("_mix.cut.rank", "_mix.cut.size")
+    inside = (F.col("rank") < F.col("_mix.below")) & (F.col("_mix.cut").isNull() | (here < cut))
+    if split:
+        # Few rows stand at a cut that falls among equal rows: they are numbered, partition by partition.
+        at_cut = F.coalesce((here == cut) & (F.col("_mix.cut.take") > 0) & (F.col("certain") < cap) & (F.col("size") > 0), F.lit(False))
+        equal = materialize(rows.where(at_cut).withColumn("_part", F.spark_partition_id()), "mix-equal")
+        parts = equal.groupBy("source", "_part").count()
+        before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select(
+            F.col("source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
+        )
+        equal = equal.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+        place = F.col("_before") + F.row_number().over(Window.partitionBy("source", "_part").orderBy(F.lit(0)))
+        equal = equal.withColumn("_in", place <= F.col("_mix.cut.take")).select(*rows.columns, "_in")
+        rows = rows.where(~at_cut).withColumn("_in", inside).unionByName(equal)
+    else:
+        rows = rows.withColumn("_in", inside)
+    extra = (F.col("certain") < cap) & F.col("_in")
     copies = F.when(F.col("size") > 0, F.col("certain") + extra.cast("int")).otherwise(F.lit(0)).cast("int")
     mix = F.struct(copies.alias("copies"), "size", F.col("_mix.source_size").alias("source_size"), F.col("_mix.target").alias("target"))
-    return rows.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c != "mix"], mix.alias("mix"))
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in docs.columns], mix.alias(fresh(docs, name)))

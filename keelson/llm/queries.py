@@ -67,7 +67,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages of 50 words that an earlier one has."""
-    return repeats.removed_words(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return repeats.removed_words(_table(spark, sf_dir, "documents")).drop("kept_text", "text_hash")
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

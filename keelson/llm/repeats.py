@@ -99,8 +99,9 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(hi),
                     pa.array(sha, pa.string()),
                     pa.ListArray.from_arrays(pa.array(counts), pa.array(flat)),
+                    batch.column(2).slice(a, b - a),
                 ],
-                names=["id", "n", "lo", "hi", "sha", "prints"],
+                names=["id", "n", "lo", "hi", "sha", "prints", "text_hash"],
             )
 
 
@@ -262,10 +263,10 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     schema = T.StructType(
         [
             field("id", kind), field("n", T.LongType()), field("lo", T.LongType()), field("hi", T.LongType()),
-            field("sha", T.StringType()), field("prints", T.ArrayType(T.LongType())),
+            field("sha", T.StringType()), field("prints", T.ArrayType(T.LongType())), field("text_hash", T.LongType()),
         ]
     )
-    base = materialize(rows.mapInArrow(tidy(_base), schema), "sequences")
+    base = materialize(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(tidy(_base), schema), "sequences")
     live = base.where(F.col("id").isNotNull() & (F.col("n") >= WINDOW))
     classes = live.groupBy("lo", "hi").agg(F.min("id").alias("first"))
     firsts = live.join(classes.select("lo", "hi", F.col("first").alias("id")), ["lo", "hi", "id"], "left_semi")
@@ -335,7 +336,7 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     )
     changed = texts.select("id", "lo", "hi", "text").join(spans, ["id", "lo"]).select("id", "lo", "hi", "text", "spans")
     changed = materialize(changed.mapInArrow(tidy(_cut), schema), "changed")
-    return base.select("id", "n", "lo", "hi", "sha"), classes, changed
+    return base.select("id", "n", "lo", "hi", "sha", "text_hash"), classes, changed
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -348,8 +349,8 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` (null where nothing
-    is removed).
+    """One row per input row: ``id_col``, ``n_words``, ``n_removed``, ``kept_sha256``, ``kept_text`` (null where nothing
+    is removed) and ``text_hash`` (Spark's ``xxhash64`` of the text, to join rows with their texts where ids repeat).
 
     A word is removed if a window of 50 words that covers it also starts in a document of smaller id; windows are judged
     on the input. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have no words. Rows with a null id
@@ -370,6 +371,7 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(copy, F.col("n")).when(mine, F.col("r")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(copy, F.lit(_EMPTY)).when(mine, F.col("s")).otherwise(F.col("sha")).alias("kept_sha256"),
         F.when(copy, F.lit("")).when(mine, F.col("t")).alias("kept_text"),
+        "text_hash",
     )
 
 

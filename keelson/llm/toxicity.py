@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import fresh
 from .words import _LOWER, Words, _Powers, chunks, tidy
 
 GRAMS = (3, 4, 5)
@@ -25,8 +26,10 @@ BITS = 17  #: 2**17 embedding rows
 WIDTH = 8
 SPAN, STRIDE = 2, 1
 SHARP = 4.0  #: of the soft maximum
-MAX_DOCS = 2500  #: labelled rows that are learnt from at most (by a hash of their id)
-MAX_BYTES = 16 << 20  #: and the bytes of their texts
+MAX_DOCS = 4000  #: labelled rows that are learnt from at most (by a hash of their id)
+MAX_BYTES = 16 << 20  #: and the bytes of their texts, half of them for each class
+TEXT_BYTES = 2 << 20  #: longer labelled texts aren't learnt from
+BLOCK_WORDS = 1 << 17  #: words of the documents that a training step takes at once
 EPOCHS = 30
 DECAY = 1e-4
 _GRAM = _Powers(0x8CB92BA72F3D8DD7)
@@ -84,56 +87,70 @@ def _pool(z: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return np.where(total > 0, top + np.log(np.maximum(total, 1e-300)) / SHARP, 0.0), e / np.maximum(total[text], 1e-300)
 
 
+def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts as numbers, the number of words of each text, and the bytes and ends of each different word.
+
+    Texts are read in chunks, so that only the words' numbers and the different words are held as a whole.
+    """
+    local, names, lengths, spelled, count = [], [], [], [], []
+    for _, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
+        w = Words(data, offsets)
+        name, one, number = np.unique(w.hashes(lower=True), return_index=True, return_inverse=True)
+        length = w.end[one] - w.start[one]
+        spelled.append(data[np.repeat(w.start[one] - (np.cumsum(length) - length), length) + np.arange(length.sum())])
+        local.append(number.astype(np.int32))
+        names.append(name)
+        lengths.append(length)
+        count.append(w.count)
+    _, one, number = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    word, at = [], 0
+    for part, name in zip(local, names, strict=True):
+        word.append(number[at : at + len(name)].astype(np.int32)[part])
+        at += len(name)
+    lengths = np.concatenate(lengths)
+    begin, length = (np.cumsum(lengths) - lengths)[one], lengths[one]
+    letters = np.concatenate(spelled)[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+    return np.concatenate(word), np.concatenate(count), letters, np.concatenate([[0], np.cumsum(length)])
+
+
+def _gram_rows(letters: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of the n-grams of different words, word by word, and the number of each word's."""
+    text, begin, end = _padded(letters, Words(letters, ends))
+    many = [np.maximum(end - begin - k + 1, 0) for k in GRAMS]
+    total = sum(many)
+    row, at = np.empty(int(total.sum()), dtype=np.int32), np.cumsum(total) - total
+    for k, m in zip(GRAMS, many, strict=True):
+        step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        row[np.repeat(at, m) + step] = _rows(text, k)[np.repeat(begin, m) + step]
+        at = at + m
+    return row, total
+
+
 def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fit embeddings and softmax together. With no rows or a single class the scores are that class's smoothed rate."""
+    """Fit embeddings and softmax together. With no rows or a single class the scores are that class's smoothed rate.
+
+    Besides the texts, memory holds one number for each word, and one for each n-gram of a different word.
+    """
     n, y = len(texts), np.asarray(toxic, dtype=np.float64)
     prior = (y.sum() + 0.5) / (n + 1)
     bias = float(np.log(prior / (1 - prior)))
     if not n or y.min() == y.max():
         return Model(np.zeros(1 << BITS), bias)
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    hashes, start, stop, count, at = [], [], [], [], 0
-    for _, _, part, offsets in chunks(pa.array(raw, pa.large_binary())):
-        w = Words(part, offsets)
-        hashes.append(w.hashes(lower=True))
-        start.append(w.start + at)
-        stop.append(w.end + at)
-        count.append(w.count)
-        at += len(part)
-    start, stop, count = (np.concatenate(x) for x in (start, stop, count))
-    del raw
-    # Each different word once: its n-gram rows, all words end to end.
-    _, one, word = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    del hashes
-    word = word.astype(np.int32)
-    length = stop[one] - start[one]
-    cut = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-    vocab = np.empty(cut[-1], dtype=np.uint8)
-    vocab[:] = data[np.repeat(start[one] - cut[:-1], length) + np.arange(cut[-1])]
-    v = Words(vocab, cut)
-    text, begin, end = _padded(vocab, v)
-    row, owner = [], []
-    for k in GRAMS:
-        rows, m = _rows(text, k).astype(np.int32), np.maximum(end - begin - k + 1, 0)
-        row.append(rows[np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(m.sum())])
-        owner.append(np.repeat(np.arange(len(one), dtype=np.int32), m))
-    row, owner = np.concatenate(row), np.concatenate(owner)
-    del rows, vocab, v, text
-    order = np.argsort(owner, kind="stable").astype(np.int32)
-    row, owner = row[order], owner[order]
+    word, count, letters, ends = _vocabulary(texts)
+    row, grams = _gram_rows(letters, ends)
+    del letters
     used = np.flatnonzero(np.bincount(row, minlength=1 << BITS))
     number = np.zeros(1 << BITS, dtype=np.int32)
     number[used] = np.arange(len(used))
     row = number[row]
-    weight = (1.0 / np.bincount(owner, minlength=len(one))).astype(np.float32)[owner]
-    at = np.searchsorted(owner, np.arange(len(one)))
-    order = np.argsort(row, kind="stable").astype(np.int32)
-    back_at = np.searchsorted(row[order], np.arange(len(used)))
-    back_owner, back_weight = owner[order], weight[order]
-    del order, owner
-    doc, a, b = _spans(count)
-    share = 1.0 / (b - a)
+    at, share = np.cumsum(grams) - grams, (1.0 / grams).astype(np.float32)
+    # Documents in blocks: [first document, end document) and where their words begin.
+    first = np.concatenate([[0], np.cumsum(count)])
+    blocks, i = [], 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + BLOCK_WORDS, side="right")) - 1)
+        blocks.append((i, j))
+        i = j
 
     rng = np.random.default_rng(seed)
     p = {
@@ -145,20 +162,26 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
     for epoch in range(1, epochs + 1):
         # One dimension at a time, so that the largest temporary array has one number for an n-gram of a word.
-        word_vec = np.stack([np.add.reduceat(p["E"][:, k][row] * weight, at) for k in range(WIDTH)], axis=1)
+        word_vec = np.stack([np.add.reduceat(p["E"][:, k][row], at) * share for k in range(WIDTH)], axis=1)
         direction = p["W"][:, 1] - p["W"][:, 0]
-        score = word_vec.astype(np.float64) @ direction
-        total = np.concatenate([[0.0], np.cumsum(score[word])])
-        z, part = _pool((total[b] - total[a]) * share, doc, n)
-        g = (1 / (1 + np.exp(-(z + p["c"][0]))) - y) * balance
-        at_span = g[doc] * part * share
-        ramp = np.bincount(a, at_span, len(word) + 1) - np.bincount(b, at_span, len(word) + 1)
-        at_word = np.bincount(word, np.cumsum(ramp)[: len(word)], len(one))
-        slope = np.add.reduceat(at_word.astype(np.float32)[back_owner] * back_weight, back_at)
+        score = np.einsum("ij,j->i", word_vec, direction)
+        at_word, pull = np.zeros(len(grams)), 0.0
+        for i, j in blocks:
+            mine, words_of = word[first[i] : first[j]], count[i:j]
+            doc, a, b = _spans(words_of)
+            total = np.concatenate([[0.0], np.cumsum(score[mine], dtype=np.float64)])
+            z, part = _pool((total[b] - total[a]) / (b - a), doc, j - i)
+            g = (1 / (1 + np.exp(-(z + p["c"][0]))) - y[i:j]) * balance[i:j]
+            pull += g.sum()
+            at_span = g[doc] * part / (b - a)
+            ramp = np.bincount(a, at_span, len(mine) + 1) - np.bincount(b, at_span, len(mine) + 1)
+            at_word += np.bincount(mine, np.cumsum(ramp)[: len(mine)], len(grams))
+        at_word = at_word.astype(np.float32)
+        slope = np.bincount(row, np.repeat(at_word * share, grams), len(used)).astype(np.float32)
         grad = {
             "E": slope[:, None] * direction[None, :] + DECAY * p["E"],
-            "W": np.outer(word_vec.T @ at_word.astype(np.float32), [-1, 1]).astype(np.float32),
-            "c": np.array([g.sum()], dtype=np.float32),
+            "W": np.outer(np.einsum("ij,i->j", word_vec, at_word), [-1, 1]).astype(np.float32),
+            "c": np.array([pull], dtype=np.float32),
         }
         rate = 0.08 * min(1.0, 4 * (1 - (epoch - 1) / epochs))
         for k, x in p.items():
@@ -166,7 +189,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
             var[k] += 0.01 * (grad[k] ** 2 - var[k])
             x -= rate * (mean[k] / (1 - 0.9**epoch)) / (np.sqrt(var[k] / (1 - 0.99**epoch)) + 1e-8)
     gram = np.zeros(1 << BITS)
-    gram[used] = p["E"].astype(np.float64) @ (p["W"][:, 1] - p["W"][:, 0]).astype(np.float64)
+    gram[used] = np.einsum("ij,j->i", p["E"].astype(np.float64), (p["W"][:, 1] - p["W"][:, 0]).astype(np.float64))
     return Model(gram, float(p["c"][0]))
 
 
@@ -198,12 +221,16 @@ def fit(
     label_col: str = "toxic",
     max_docs: int = MAX_DOCS,
     max_bytes: int = MAX_BYTES,
+    max_text_bytes: int = TEXT_BYTES,
 ) -> Model:
-    """Learn from at most ``max_docs`` labelled rows whose whole texts have at most ``max_bytes`` bytes together.
-
-    Rows count only if crc32(id as text) mod 5 isn't 0; the others are held out. A null label or id isn't used; of
-    several labels for an id the largest counts. The sample is fixed by a hash of the id, so reruns agree, and both
-    bounds hold before the sample comes together in one task, from which only the model, 2**BITS numbers, goes on.
+    """Learn from a bounded sample of labelled rows: at most ``max_docs`` of them, none longer than ``max_text_bytes``, and
+    of each class whole texts of at most ``max_bytes / 2`` bytes together. All bounds hold for learning only; scoring
+    covers every text, whatever its length.
+
+    Rows count only if crc32(id as text) mod 5 isn't 0; the others are held out. A null label, id or text isn't used; of
+    several labels for an id the largest counts; rows that share an id are separate texts. The sample is fixed by a hash
+    of the id, so reruns agree, and the bounds hold before it comes together in one task, from which only the model,
+    2**BITS numbers, goes on. Without usable rows (an empty table, or no labels) every score is 0.5.
     """
     ids = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
@@ -217,7 +244,7 @@ def fit(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where("id is not null")
         .join(F.broadcast(ids), "id")
-        .where(F.octet_length("text") <= max_bytes // 8)
+        .where(F.octet_length("text") <= max_text_bytes)
         .orderBy(F.xxhash64("id"), "id", "text")
         .limit(max_docs)
         .select("text", "y")
@@ -230,14 +257,15 @@ def _train_batches(max_bytes: int):
     """Trains on the rows of the one partition that a limit leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, y, size = [], [], 0
+        texts, y, size = [], [], [0, 0]
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label in zip(*batch.columns, strict=True):
+                toxic, text = label.as_py() > 0, text.as_py()
                 more = len(text.encode())
-                if size + more <= max_bytes:
-                    size += more
+                if size[toxic] + more <= max_bytes // 2:
+                    size[toxic] += more
                     texts.append(text)
-                    y.append(label > 0)
+                    y.append(toxic)
         if texts:
             m = train(texts, np.array(y))
             yield pa.record_batch([pa.array([m.gram.tobytes()], pa.binary()), pa.array([m.bias])], names=["gram", "bias"])
@@ -252,16 +280,23 @@ def _scorer(model, at: int):
             for a, b, data, offsets in chunks(batch.column(at)):
                 score = 1 / (1 + np.exp(-np.clip(log_odds(m, data, offsets), -700, 700)))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*batch.schema.names, "score"])
 
     return run
 
 
-def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with the score of each whole text in a further column ``_score``; rows never move."""
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """``docs`` with the score of each whole text in a further, last column; rows never move.
+
+    Null and empty texts get the score of the bias. Where ``docs`` has a column ``score_col`` already, the new one's name
+    gets underscores in front.
+    """
+    score_col = fresh(docs, score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(tidy(_scorer(shared, docs.columns.index(text_col))), schema)
+    # Numbered on the way, as names may hold characters that an Arrow function can't take.
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(tidy(_scorer(shared, docs.columns.index(text_col))), schema).toDF(*docs.columns, score_col)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

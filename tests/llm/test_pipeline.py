@@ -49,3 +49,53 @@ def test_stages_and_their_decisions(spark, tmp_path):
     source = {r.doc_id: r.text for r in out["repeated passages"]}
     assert all(source[r.doc_id] == r.text for r in out["mixing"])
     assert max(ids["mixing"].count(i) for i in set(ids["mixing"])) <= 2
+
+
+EXTRA = ", _score string, _kept int, _copy int, mix string, _mix int, id string, doc_id_ long, `a.b` string"
+
+
+def run_stages(spark, docs, sf, tmp_path, name):
+    out = []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, sf).write.parquet(path := str(tmp_path / f"{name}{k}"))
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return out
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls in all columns, repeated rows and ids, empty and long texts; further columns pass through all stages."""
+    long = " ".join(f"w{k % 977}" for k in range(40_000))
+    rows = [(i, f"plain words number {i} stand here {i * 7}", "en", f"s{i % 2}", 30) for i in range(40)]
+    rows += [(None, None, None, None, None), (50, None, "en", None, None), (51, "", "en", "s0", 0), (52, long, "en", "s1", len(long))]
+    rows += [(3, rows[3][1], "en", "s1", 30)] * 3 + [(4, "another text under a known id", "de", "s0", 29), (None, "words without an id", "en", "s0", 19)]
+    extra = ("x", 1, 2, "m", 3, "i", 4, "dotted")
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], DOCS + EXTRA)
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = run_stages(spark, docs, str(tmp_path), tmp_path, "odd")
+    for df in out[:4]:
+        assert df.columns == docs.columns
+        assert {tuple(r[5:]) for r in df.collect()} == {extra}
+    assert {r.doc_id for r in out[1].where("text is null or text = ''").collect()} <= {None, 50, 51}
+    both = cp.drop_repeats(spark, spark.createDataFrame([(1, long, "en", "s", 9), (2, long + " tail", "en", "s", 9), (2, "short", "en", "s", None)], DOCS), "").collect()
+    assert sorted((r.doc_id, len(r.text), r.n_chars) for r in both if r.text != "short") == [(1, len(long), 9), (2, 4, 4)]
+    assert [(r.text, r.n_chars) for r in both if r.text == "short"] == [("short", None)]
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = run_stages(spark, spark.createDataFrame([], DOCS), str(tmp_path), tmp_path, "none")
+    assert [df.count() for df in out] == [0] * 5
+
+
+def test_run_leaves_only_the_stages_tables(spark, tmp_path):
+    import os
+
+    spark.createDataFrame([(i, f"word{i} and more {i}", "en", "s", 9) for i in range(20)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    from keelson.llm.scratch import shared_dir
+
+    folder = os.path.join(shared_dir(spark).removeprefix("file:"), "keelson")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert cp.run(spark, str(tmp_path)).count() > 0
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == sorted(f"stage-{n.replace(' ', '-')}" for n, _ in cp.STAGES)
