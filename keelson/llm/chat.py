@@ -6,10 +6,18 @@ the loss mask covers the speaker's own words. System messages are context in eve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.archive import with_ids
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: How a mark within a text or a name begins, and what it is written as, so that no message can forge a turn.
+MARK, ESCAPED = "<|im_", "<\\|im_"
+
+
+def _plain(c: Column) -> Column:
+    return F.replace(c, F.lit(MARK), F.lit(ESCAPED))
 
 
 def rotate(
@@ -25,15 +33,17 @@ def rotate(
 
     Segments of a perspective in turn order are the rendered dialogue. Messages are joined with their conversation's
     distinct speakers, so no conversation is gathered into one row, and a conversation that holds a third of all
-    messages is split over tasks. Null speakers are the participant ``unknown``; null texts are empty; messages with a
+    messages is split over tasks. Marks within texts and names are escaped, and line breaks in a name become blanks, so
+    that neither can forge a turn or move a mask. Null speakers are the participant ``unknown``; null texts are empty; messages with a
     null conversation form one conversation; a conversation of system messages only has no perspective; equal rows
-    stay. Other columns are ignored, whatever their names.
+    stay. Messages of one turn have no order of their own: ``dialogues`` sorts them by their segments. Other columns are
+    ignored, whatever their names.
     """
     rows = messages.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
     )
     people = (
         rows.where(F.col("speaker") != system)
@@ -44,7 +54,8 @@ def rotate(
     own, is_system = F.col("speaker") == F.col("perspective"), F.col("speaker") == system
     role = F.when(is_system, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
     name = F.when(~own & ~is_system, F.col("speaker"))
-    head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    shown = _plain(F.translate(name, "\n\r", "  "))
+    head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), shown), F.lit("")), F.lit("\n"))
     return rows.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).select(
         "conv_id",
         "perspective",
@@ -58,15 +69,22 @@ def rotate(
 
 
 def dialogues(segments: DataFrame, max_messages: int = 4096) -> DataFrame:
-    """Whole dialogues from ``rotate``: ``conv_id``, ``perspective``, ``text`` and ``mask``, an array of character spans.
+    """Whole dialogues from ``rotate``: ``conv_id``, ``perspective``, ``part``, ``text`` and ``mask``, an array of character
+    spans of the text.
 
-    Conversations of more than ``max_messages`` messages can't be one training row and stay with their segments.
+    Messages stand in the order of their turns, then of their segments. A dialogue of more than ``max_messages`` messages
+    makes several rows, ``part`` 0, 1, ... of consecutive messages; their texts one after the other are the dialogue, so
+    no row grows with the table and no message is left out. Messages are numbered in sorted ranges for that, never in one
+    task. No segments give no dialogues.
     """
-    size = segments.groupBy("conv_id", "perspective").agg(F.count("*").alias("n")).where(F.col("n") <= max_messages)
-    size = size.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"))
-    rows = segments.join(size, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")), "left_semi")
-    parts = rows.groupBy("conv_id", "perspective").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "segment", "mask_start", "mask_end"))).alias("m")
+    rows = segments.select("conv_id", "perspective", "turn", "segment", "mask_start", "mask_end")
+    rows = with_ids(rows, ["conv_id", "perspective", "turn", "segment", "mask_start"])
+    first = rows.groupBy("conv_id", "perspective").agg(F.min("id").alias("first"))
+    first = first.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), "first")
+    rows = rows.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")))
+    part = F.floor((F.col("id") - F.col("first")) / max_messages).cast("long")
+    parts = rows.groupBy("conv_id", "perspective", part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("id", "segment", "mask_start", "mask_end"))).alias("m")
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask"))
     folded = F.aggregate(
@@ -80,20 +98,20 @@ def dialogues(segments: DataFrame, max_messages: int = 4096) -> DataFrame:
         ),
     )
     return parts.select(
-        "conv_id", "perspective", F.array_join(F.transform("m", lambda x: x["segment"]), "").alias("text"), folded["mask"].alias("mask")
+        "conv_id", "perspective", "part", F.array_join(F.transform("m", lambda x: x["segment"]), "").alias("text"), folded["mask"].alias("mask")
     )
 
 
 SQL = f"""
 WITH m AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '{MARK}', '{ESCAPED}') AS text FROM conversations
 ), p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM m WHERE speaker <> 'system'),
 r AS (
   SELECT conv_id, perspective, turn, text,
     CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
     CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name
   FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.c
-), h AS (SELECT *, '{OPEN}' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM r)
+), h AS (SELECT *, '{OPEN}' || role || coalesce(' name=' || replace(translate(name, chr(10) || chr(13), '  '), '{MARK}', '{ESCAPED}'), '') || chr(10) AS head FROM r)
 SELECT conv_id, perspective, turn, role, name, head || text || '{CLOSE.strip()}' || chr(10) AS segment,
   CASE WHEN role = 'assistant' THEN length(head) END AS mask_start,
   CASE WHEN role = 'assistant' THEN length(head) + length(text) END AS mask_end

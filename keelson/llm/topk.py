@@ -20,14 +20,15 @@ from pyspark.sql.window import Window
 
 from .scratch import materialize
 
-BLOCK = 8192  #: rows in a block
-QUERIES = 1024  #: queries in a block
+BLOCK = 16384  #: rows in a block
+QUERIES = 4096  #: queries in a block
+LIMIT = 1 << 62  #: quantised components stop there
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps (dimensions x digits x words) of integer rows, and what was subtracted from each dimension."""
     low = values.min(axis=0)
-    shifted = (values - low).astype(np.uint64)
+    shifted = values.astype(np.uint64) - low.astype(np.uint64)  # modulo 2**64, where every difference fits
     digits = max(1, int(shifted.max()).bit_length())
     words = -(-len(values) // 64)
     bits = np.zeros((values.shape[1], digits, words * 64), dtype=np.uint8)
@@ -127,21 +128,42 @@ def block_top(bits: np.ndarray, low: np.ndarray, ids: np.ndarray, query: np.ndar
         mask[mine] = 1
         rows &= ~np.packbits(mask, bitorder="little").view(np.uint64)
     found = _positions(highest(sums, rows, k))
-    score = np.zeros(len(found), dtype=np.int64)
+    score = np.zeros(len(found), dtype=np.int64 if len(sums) < 62 else object)
     for i, s in enumerate(sums):
-        score += ((s[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << i
-    score += int(query @ low) - offset
-    order = np.lexsort((ids[found], -score))[:k]
-    return ids[found][order], score[order]
+        score += ((s[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(score.dtype) << i
+    # Whole numbers of any length until the scores are known; a score beyond 64 bits stops there.
+    base = sum(a * b for a, b in zip(query.tolist(), low.tolist(), strict=True)) - offset
+    best = sorted(zip((-(int(s) + base) for s in score), ids[found].tolist(), strict=True))[:k]
+    top = np.iinfo(np.int64).max
+    return np.array([i for _, i in best], dtype=np.int64), np.array([max(-top - 1, min(top, -s)) for s, _ in best], dtype=np.int64)
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    rows = np.stack([np.frombuffer(x, dtype=np.int32) for x in table.column("values").to_pylist()])
+def _values(table: pa.Table) -> np.ndarray:
+    return np.stack([np.frombuffer(x, dtype=np.int64) for x in table.column("values").to_pylist()])
+
+
+def _pack_index(table: pa.Table) -> pa.Table:
+    """A block of rows as its stored index: slices, lows and ids."""
+    bits, low = slices(_values(table))
+    return pa.table(
+        {
+            "dim": table.column("dim").slice(0, 1),
+            "block": table.column("block").slice(0, 1),
+            "ids": pa.array([table.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+            "bits": pa.array([bits.tobytes()], pa.binary()),
+            "low": pa.array([low.tobytes()], pa.binary()),
+            "digits": pa.array([bits.shape[1]], pa.int32()),
+        }
+    )
+
+
+def _pack_queries(table: pa.Table) -> pa.Table:
     return pa.table(
         {
+            "dim": table.column("dim").slice(0, 1),
             "block": table.column("block").slice(0, 1),
             "ids": pa.array([table.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
-            "rows": pa.array([rows.tobytes()], pa.binary()),
+            "rows": pa.array([_values(table).tobytes()], pa.binary()),
         }
     )
 
@@ -153,7 +175,7 @@ def _quantise(scale: float):
             for x in batch.column(1):
                 v = np.array(x.as_py(), dtype=np.float64) if x.is_valid and x.values.null_count == 0 else np.array([np.nan])
                 ok = len(v) and np.isfinite(v).all()
-                out.append(np.floor(scale * v).astype(np.int32).tobytes() if ok else None)
+                out.append(np.clip(np.floor(scale * v), -LIMIT, LIMIT).astype(np.int64).tobytes() if ok else None)
             ids = batch.column(0)
             yield pa.record_batch([ids, pa.array(out, pa.binary())], names=["id", "values"])
 
@@ -163,11 +185,11 @@ def _quantise(scale: float):
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qi, qr, bi, br in zip(*batch.columns, strict=True):
-                asked, ids = (np.frombuffer(x.as_py(), dtype=np.int64) for x in (qi, bi))
-                queries = np.frombuffer(qr.as_py(), dtype=np.int32).reshape(len(asked), -1).astype(np.int64)
-                values = np.frombuffer(br.as_py(), dtype=np.int32).reshape(len(ids), -1).astype(np.int64)
-                bits, low = slices(values)
+            for row in zip(*batch.columns, strict=True):
+                asked, queries, ids, bits, low, digits = (x.as_py() for x in row)
+                asked, ids, low = (np.frombuffer(x, dtype=np.int64) for x in (asked, ids, low))
+                queries = np.frombuffer(queries, dtype=np.int64).reshape(len(asked), -1)
+                bits = np.frombuffer(bits, dtype=np.uint64).reshape(len(low), digits, -1)
                 q, v, s = [], [], []
                 for a, w in zip(asked, queries, strict=True):
                     best, score = block_top(bits, low, ids, w, a, k)
@@ -191,10 +213,11 @@ def top_inner_products(
     ``score``; ties go to the smaller id. Queries are the rows whose id is divisible by ``every``; candidates are all
     rows of another id.
 
-    Rows are dealt into blocks of about ``BLOCK`` rows by their place in the scan, so no key can make one large; every
-    block of queries meets every block of rows in a task of its own, and only ``k`` rows of each meeting move on. Null
-    ids, null or empty vectors and vectors with null or non-finite components take no part; all others must have one
-    length. Rows that share an id and are queries are asked once (the smaller vector); as candidates they count as
+    Rows are dealt into blocks of about ``BLOCK`` rows by their place in the scan, so no key can make one large. A block's
+    slices are made once and stored; they are smaller than the rows. Every block of queries meets every block of rows in
+    a task of its own, and only ``k`` rows of each meeting move on. Null
+    ids, null or empty vectors and vectors with null or non-finite components take no part; a query is compared with
+    the rows of its own length. Components stop at 2**62 and scores at the range of a long. Rows that share an id and are queries are asked once (the smaller vector); as candidates they count as
     rows. No valid query gives an empty result. Other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
@@ -202,24 +225,26 @@ def top_inner_products(
     rows = materialize(rows.mapInArrow(_quantise(scale), schema).where("values is not null"), "quantised")
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("values").alias("values"))
     total, asked = rows.count(), queries.count()
-    row = "block int, ids binary, rows binary"
 
-    def blocks(df: DataFrame, n: int) -> DataFrame:
-        dealt = df.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
-        return dealt.groupBy("block").applyInArrow(_pack, row)
+    def blocks(df: DataFrame, n: int, pack, more: str) -> DataFrame:
+        dim = (F.octet_length("values") / 8).cast("int")
+        dealt = df.select("id", "values", dim.alias("dim"), F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int").alias("block"))
+        return dealt.groupBy("dim", "block").applyInArrow(pack, f"dim int, block int, ids binary, {more}")
 
     nr, nq = max(1, math.ceil(total / BLOCK)), max(1, math.ceil(asked / QUERIES))
     # A block of rows for each block of queries and the other way round: an equi-join, one pair to a row.
-    right = blocks(rows, nr).select(
-        F.col("block").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), "ids", "rows"
+    index = materialize(blocks(rows, nr, _pack_index, "bits binary, low binary, digits int"), "bit-slices")
+    right = index.select(
+        "dim", F.col("block").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), "ids", "bits", "low", "digits"
     )
-    left = blocks(queries.select("id", "values"), nq).select(
+    left = blocks(queries, nq, _pack_queries, "rows binary").select(
+        "dim",
         F.col("block").alias("q"),
         F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("r"),
         F.col("ids").alias("asked"),
         F.col("rows").alias("queries"),
     )
-    pairs = left.join(right, ["q", "r"]).select("asked", "queries", "ids", "rows")
+    pairs = left.join(right, ["dim", "q", "r"]).select("asked", "queries", "ids", "bits", "low", "digits")
     best = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -47,6 +47,14 @@ def test_top_few_and_none(spark):
     assert topk.top_inner_products(frame(spark, [])).collect() == []
 
 
+def test_large_components_and_unequal_lengths(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e8, 1.0]), (2, [3.0, 4.0]), (3, [1.0, 2.0, 3.0]), (50, [5.0, 6.0, 7.0]), (100, [1.0]), (4, [1e30, -1e30])]
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_inner_products(frame(spark, rows)).collect()}
+    # 1e30 stops at 2**62: 256 * 2**62 - 512 * 2**62 is below a long's range.
+    large = 256 * 25_600_000_000 + 512 * 256
+    assert got == {(0, 1, 1, large), (0, 2, 2, 256 * 256 * 11), (0, 3, 4, -(2**63)), (50, 1, 3, 256 * 256 * 38)}
+
+
 def test_bit_slices_sum_exactly():
     rng = np.random.default_rng(4)
     x, w = rng.integers(-300, 300, (130, 9)), rng.integers(-300, 300, 9)

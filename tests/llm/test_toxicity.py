@@ -5,6 +5,8 @@ import pytest
 
 from keelson.llm import toxicity
 
+from .conftest import WORD
+
 BAD = ["grobnax", "fwilkor", "zuntrep"]
 
 
@@ -65,14 +67,14 @@ def test_degenerate_training():
 
 
 def test_a_refused_text_takes_no_room(monkeypatch):
-    """A text beyond the bound is passed over; shorter ones after it are still learnt from."""
+    """A text beyond its class's bound is passed over; shorter ones after it are still learnt from."""
     import pyarrow as pa
 
     seen = []
     monkeypatch.setattr(toxicity, "train", lambda t, y: seen.append((t, y.tolist())) or toxicity.Model(np.zeros(1), 0.0))
     batch = pa.record_batch([pa.array(["a" * 60, "b" * 60, "c" * 30, "d" * 10, "e"]), pa.array([0, 0, 1, 1, 1])], names=["text", "y"])
-    list(toxicity._train_batches(100)(iter([batch])))
-    assert seen == [(["a" * 60, "c" * 30, "d" * 10], [False, True, True])]
+    list(toxicity._train_batches(200)(iter([batch])))
+    assert seen == [(["a" * 60, "c" * 30, "d" * 10, "e"], [False, True, True, True])]
 
 
 def test_operator(spark, docs):
@@ -90,3 +92,28 @@ def test_operator(spark, docs):
     again = {(r.doc_id, r.score) for r in toxicity.score(df, toxicity.fit(df, flipped)).collect()}
     assert again == {(r.doc_id, r.score) for r in out}
     assert toxicity.score(docs([]), toxicity.fit(docs([]), labels)).collect() == []
+
+
+def test_scores_against_brute_force():
+    """A word is the mean of its n-grams' numbers, a passage the mean of two words, a text the soft maximum of passages."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 3, 1 << toxicity.BITS), -0.7)
+
+    def row(gram: bytes) -> int:
+        return int(toxicity._rows(np.frombuffer(gram, dtype=np.uint8), len(gram))[0])
+
+    def word(w: bytes) -> float:
+        w = b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in w) + b" "
+        rows = [model.gram[row(w[i : i + n])] for n in toxicity.GRAMS for i in range(len(w) - n + 1)]
+        return sum(rows) / len(rows)
+
+    def brute(text: str) -> float:
+        words = [word(w.encode()) for w in WORD.findall(text)]
+        z = [np.mean(words[i : i + 2]) for i in range(max(len(words) - 1, 1))] if words else []
+        return model.bias + (np.log(sum(np.exp(toxicity.SHARP * x) for x in z)) / toxicity.SHARP if z else 0.0)
+
+    texts_ = ["", "one", "A b", "Some Words, and  naïve\tones", "漢字 x", "long " * 300, "a"]
+    raw = [t.encode() for t in texts_]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = toxicity.log_odds(model, np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
+    assert np.allclose(got, [brute(t) for t in texts_], atol=1e-9)
