@@ -13,27 +13,50 @@ from pyspark.sql import types as T
 
 from .constants import NICKNAMES, POSITION_GROUPS, PROBABILITY_FLOOR, SUFFIXES
 
-#: Latin letters with marks and what is left of them without.
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+def _without_marks(x: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+
+
+def _ranges(codes: list[int]) -> str:
+    """A character class of code points."""
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+_CODES = [c for c in range(0x80, 0x1E000) if not 0xD800 <= c < 0xE000]
+#: Characters whose compatibility decomposition is one letter or digit of a-z, A-Z, 0-9 once marks are gone.
+_ONE = {chr(c): x for c in _CODES if len(x := _without_marks(chr(c))) == 1 and x.isascii() and x.isalnum()}
+#: Ligatures and other letters that stand for several.
+_SEVERAL = {chr(c): x for c in _CODES if chr(c).isalpha() and len(x := _without_marks(chr(c)).casefold()) > 1 and x.isascii() and x.isalpha()}
+_MARKS = _ranges([c for c in _CODES if unicodedata.combining(chr(c))])
 
 
 def fold(c: Column) -> Column:
-    """Latin letters without their marks. Other scripts: ``fold_any``."""
-    return F.translate(c, _MARKED, _PLAIN)
+    """Letters without their marks, composed or not; ligatures as the letters they stand for. Texts of ASCII only, told by
+    their length in bytes, are left alone. Characters that are several but no letters (fractions) stay: ``fold_any``."""
+    several = c
+    for x, letters in _SEVERAL.items():
+        several = F.replace(several, F.lit(x), F.lit(letters))
+    whole = F.when(c.rlike("[" + "".join(_SEVERAL) + "]"), several).otherwise(c)
+    plain = F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), _MARKS, "")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(plain)
 
 
 @F.pandas_udf(T.StringType())
 def fold_any(s: pd.Series) -> pd.Series:
     """Any text without combining marks (compatibility decomposition)."""
-    return s.map(
-        lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
-    )
+    return s.map(lambda x: None if x is None else _without_marks(x))
 
 
 def normalize_token(c: Column) -> Column:
     """Folded, lower case, runs of anything but a-z and 0-9 one blank; null gives an empty text."""
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(F.replace(fold(c), F.lit("ß"), F.lit("ss"))), "[^a-z0-9]+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(fold(c)), "[^a-z0-9]+", " ")), F.lit(""))
 
 
 normalize_team = normalize_token
@@ -56,16 +79,21 @@ def first_name_alias(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | same)
 
 
+def _code(c: Column) -> Column:
+    """A raw code normalised: "D/T" is DT."""
+    return F.upper(F.replace(normalize_token(c), F.lit(" "), F.lit("")))
+
+
 def position_group(c: Column) -> Column:
     """The group of a raw code; unknown codes are their own group."""
-    raw = F.upper(F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit("")))
+    raw = _code(c)
     table = F.create_map(*[F.lit(x) for pair in POSITION_GROUPS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, raw), raw)
 
 
 def model_position_group(c: Column) -> Column:
     """Like ``position_group``, with kickers, punters and snappers apart; an empty code is OTHER."""
-    raw = F.upper(F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit("")))
+    raw = _code(c)
     return (
         F.when(raw.isin("K", "PK"), F.lit("K")).when(raw.isin("P", "LS"), raw).when(raw == "", F.lit("OTHER")).otherwise(position_group(c))
     )
@@ -81,16 +109,50 @@ def first_value(*cols: Column) -> Column:
     return F.coalesce(*[c.cast("string") for c in cols])
 
 
-def identity_key(fields: dict[str, Column]) -> Column:
-    """SHA-256 of the compact JSON of text fields in key order; nulls count as empty texts."""
+def identity_key(fields: dict[str, Column], numbers: tuple[str, ...] = ()) -> Column:
+    """SHA-256 of the compact JSON of fields in key order: texts, but for those that ``numbers`` names. A null counts as an
+    empty text, or as 0."""
     parts: list[Column] = []
     for i, name in enumerate(sorted(fields)):
+        if name in numbers:
+            parts += [F.lit(("{" if i == 0 else ",") + f'"{name}":'), F.coalesce(fields[name].cast("string"), F.lit("0"))]
+            continue
         value = F.coalesce(fields[name].cast("string"), F.lit(""))
         value = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
         parts += [F.lit(("{" if i == 0 else ",") + f'"{name}":"'), value, F.lit('"')]
     return F.sha2(F.concat(*parts, F.lit("}")), 256)
 
 
+def entry_identity(columns: list[str]) -> dict[str, Column]:
+    """The ten canonical fields of an entry, from a table that has them in snake or camel case; absent ones are empty."""
+
+    def text(*names: str) -> Column:
+        return F.coalesce(first_present(columns, *names).cast("string"), F.lit(""))
+
+    def amount(name: str) -> Column:
+        # A zero counts as absent.
+        c = first_present(columns, name)
+        return F.when(c.try_cast("double") == 0, F.lit("")).otherwise(text(name))
+
+    return {
+        "season": F.coalesce(first_present(columns, "season").cast("int"), F.lit(0)),
+        "first_name": normalize_token(text("first_name", "firstName")),
+        "last_name": normalize_last_name(text("last_name", "lastName")),
+        "position": position_group(text("position")),
+        "origin": normalize_team(text("origin")),
+        "destination": normalize_team(text("destination")),
+        "transfer_date": normalize_token(text("transfer_date", "transferDate")),
+        "rating": amount("rating"),
+        "stars": amount("stars"),
+        "eligibility": normalize_token(text("eligibility")),
+    }
+
+
+def entry_key(columns: list[str]) -> Column:
+    """The key of an entry: ``identity_key`` of its ten fields, the season a number."""
+    return identity_key(entry_identity(columns), ("season",))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Matching-blocks ratio of two texts, 0 if either is empty; not symmetric, the first is the one looked up."""
 

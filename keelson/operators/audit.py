@@ -43,37 +43,31 @@ def stratified_sample(rows: DataFrame, key: str, strata: list[str], k: int = AUD
     )
 
 
+# The columns of the label sheet.
 LABEL_COLUMNS = (
-    "entry_key", "entry_season", "first_name", "last_name", "position", "origin", "destination", "status", "reason",
-    "predicted_player_id", "score", "score_margin", "expected_player_id", "label_outcome", "label_notes",
+    "portal_key", "season", "first_name", "last_name", "position", "origin", "destination",
+    "predicted_status", "predicted_player_id", "predicted_score", "expected_player_id",
+    "label_outcome", "split", "reviewer", "notes",
 )
 
 
 def label_template(rows: DataFrame) -> DataFrame:
-    """The sheet that auditors fill in: fifteen fixed columns, unknown ones blank."""
-    have = set(rows.columns)
-    source = {"predicted_player_id": "player_id", "entry_season": "season"}
-    cols = []
-    for c in LABEL_COLUMNS:
-        name = source.get(c, c)
-        cols.append((F.coalesce(F.col(name).cast("string"), F.lit("")) if name in have else F.lit("")).alias(c))
-    return rows.select(*cols)
+    """The sheet that auditors fill in: fifteen fixed columns. What auditors decide is blank, as is what ``rows`` lacks."""
+    source = {"portal_key": "entry_key", "predicted_status": "status", "predicted_player_id": "player_id", "predicted_score": "score"}
+    blank = ("expected_player_id", "label_outcome", "split", "reviewer", "notes")
+    known = {c: source.get(c, c) for c in LABEL_COLUMNS if c not in blank and source.get(c, c) in rows.columns}
+    return rows.select(*[F.coalesce(F.col(known[c]).cast("string"), F.lit("")).alias(c) if c in known else F.lit("").alias(c) for c in LABEL_COLUMNS])
 
 
 def labelled_accuracy(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows, correct, false positives and false negatives; unlabelled rows don't count.
 
-    Labels and rows meet on ``entry_key``, or, for labels without one, on season, name, origin and destination. Two
-    blanks are correct nowhere: they fall in none of the counts but the first.
+    Labels and rows meet on ``entry_key`` without blanks around it, or, for labels without one, on season, name, origin and
+    destination, these without blanks around them and in lower case. Two blanks are correct nowhere: they fall in none
+    of the counts but the first.
     """
-    fields = ("season", "first_name", "last_name", "origin", "destination")
-    composite = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
-    blank = F.coalesce(F.trim("entry_key"), F.lit("")) == ""
-    key = F.when(blank, F.concat(F.lit("c:"), composite)).otherwise(F.concat(F.lit("k:"), F.col("entry_key")))
-    expected = labels.select(key.alias("_key"), F.coalesce("expected_player_id", F.lit("")).alias("expected"), "ordinal")
-    expected = expected.groupBy("_key").agg(F.max_by("expected", "ordinal").alias("expected"))
+    both = _labelled(rows, labels)
     found = F.coalesce("player_id", F.lit(""))
-    both = rows.withColumn("_key", key).join(expected, "_key")
     flags = {
         "correct": (found == F.col("expected")) & (found != ""),
         "false_positive": (found != "") & (found != F.col("expected")),
@@ -83,6 +77,23 @@ def labelled_accuracy(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("accuracy", share(F.col("correct"), F.col("labelled")))
 
 
+def labelled_status(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """How many of the rows that ``labelled_accuracy`` counts have each status."""
+    return _labelled(rows, labels).groupBy(F.coalesce("status", F.lit("")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows that have a label, with what it expects; of several labels for a key the last one counts."""
+    fields = [F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in ("first_name", "last_name", "origin", "destination")]
+    # Each field with its length, so that no two lists of fields look alike.
+    composite = F.concat(F.coalesce(F.col("season").cast("string"), F.lit("")), *[x for f in fields for x in (F.lit("|"), F.length(f).cast("string"), F.lit(":"), f)])
+    name = F.trim(F.coalesce(F.col("entry_key").cast("string"), F.lit("")))
+    key = F.when(name == "", F.concat(F.lit("c:"), composite)).otherwise(F.concat(F.lit("k:"), name))
+    expected = labels.select(key.alias("_key"), F.coalesce("expected_player_id", F.lit("")).alias("expected"), "ordinal")
+    expected = expected.groupBy("_key").agg(F.max_by("expected", "ordinal").alias("expected"))
+    return rows.withColumn("_key", key).join(expected, "_key")
+
+
 def wilson(p: Column, n: Column, z: float = WILSON_Z) -> tuple[Column, Column]:
     """The Wilson interval of a rate, within [0, 1]; null for n of 0."""
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)

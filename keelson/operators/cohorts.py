@@ -97,18 +97,31 @@ def negative_control(rows: DataFrame, history: DataFrame, first_season: int) ->
     return rows.withColumns({"exclusion_reason": reason, "prior_change": F.col("pre_anchor") - F.col("s2_anchor")})
 
 
-def observability(rows: DataFrame, last_season: int) -> DataFrame:
-    """Whether the target is observed (1/0) for same-season links of supported groups up to a season; no later column is
-    carried along."""
-    reason = first_reason(
-        [
-            ("not_same_season_link", F.col("match_strategy") != "same_season"),
-            ("season_after_design", F.col("season") > last_season),
-            ("post_outcome_right_censored", F.col("post_outcome_right_censored")),
-            ("unsupported_position_target", F.col("target_metric").isNull()),
-        ]
-    )
-    flagged = rows.withColumns({"exclusion_reason": reason, "target_observed": F.col("post_anchor").isNotNull().cast("int")})
+def observability(rows: DataFrame, last_season: int = 2025, first_season: int = 2021, groups: tuple[str, ...] = C.SCOREABLE) -> DataFrame:
+    """Whether the target is observed (1/0) for same-season links of the scoreable groups in the design's seasons.
+
+    Every row is kept with the first reason that excludes it. Where the table tells (``post_has_player_stats``,
+    ``post_has_destination_stats``, ``has_features``), flags say whether anything at all, or anything at the destination,
+    was observed, and rows without features are excluded. No later column is carried along.
+    """
+    have = set(rows.columns)
+    source = F.col("post_stats_source_available") if "post_stats_source_available" in have else ~F.col("post_outcome_right_censored")
+    reasons = [
+        ("outside_seasons", ~F.coalesce(F.col("season").between(first_season, last_season), F.lit(False))),
+        ("not_same_season_roster_link", ~F.coalesce(F.col("match_strategy") == "same_season", F.lit(False))),
+        ("post_stats_source_unavailable", ~F.coalesce(source, F.lit(False))),
+        ("unsupported_position", ~F.coalesce(F.col("model_group").isin(*groups), F.lit(False))),
+    ]
+    if "has_features" in have:
+        reasons.append(("missing_feature_row", ~F.coalesce(F.col("has_features"), F.lit(False))))
+    target = F.col("post_anchor").isNotNull().cast("int")
+    added = {"exclusion_reason": first_reason(reasons), "target_observed": target}
+    if "post_has_player_stats" in have:
+        seen = F.coalesce(F.col("post_has_player_stats"), F.lit(False)).cast("int")
+        added |= {"any_stat_observed": seen, "any_stat_no_target": seen * (1 - target), "no_any_stat": 1 - seen}
+    if "post_has_destination_stats" in have:
+        added["destination_stat_observed"] = F.coalesce(F.col("post_has_destination_stats"), F.lit(False)).cast("int")
+    flagged = rows.withColumns(added)
     return flagged.drop(*[c for c in flagged.columns if c.startswith("post_")])
 
 

@@ -213,6 +213,23 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.labelled_accuracy(resolve.resolve(e, roster(spark, sf_dir), edit_ratio), known)
 
 
+@query(
+    "a21_j09_by_name",
+    """SELECT 'odd' AS status, count(*) FILTER (o_orderkey % 2 = 1) AS n FROM orders UNION ALL SELECT 'even', count(*) FILTER (o_orderkey % 2 = 0) FROM orders""",
+)
+def accuracy_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels without a key: names meet whatever their case and the blanks around them."""
+    o = table(spark, sf_dir, "orders").select(
+        F.lit(" ").alias("entry_key"), F.lit(2024).alias("season"), F.concat(F.lit(" Name "), "o_orderkey").alias("first_name"), F.lit("Last ").alias("last_name"),
+        F.lit(None).cast("string").alias("origin"), F.lit("TEAM").alias("destination"), F.col("o_orderkey").cast("string").alias("player_id"),
+        F.when(F.col("o_orderkey") % 2 == 1, F.lit("odd")).otherwise(F.lit("even")).alias("status"),
+    )
+    known = o.withColumns(
+        {"first_name": F.upper("first_name"), "last_name": F.lit("last"), "destination": F.lit(" team "), "expected_player_id": F.col("player_id"), "ordinal": F.lit(1)}
+    )
+    return audit.labelled_status(o, known)
+
+
 @query("g09_label_conflicts", "SELECT CAST(count(*) FILTER (o_orderkey % 31 = 0) AS BIGINT) AS unknown_outcome, CAST(count(*) FILTER (o_orderkey % 31 <> 0 AND o_orderkey % 5 = 0) AS BIGINT) AS correct_but_different, CAST(0 AS BIGINT) AS uncertain_with_id FROM orders")
 def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
@@ -301,10 +318,10 @@ _LONG = f"""{_STATS}, j AS (
 _PIVOT = ", ".join(f"max({s}) FILTER (phase = '{p}' AND lower(category) = '{c}') AS {p}_{c}_{s}" for p in ("pre", "post") for c in ("f", "o", "p") for s in ("amt",))
 
 
-@query("p02_linked_stats", f"WITH {_LONG} SELECT phase, category, count(*) * 2 AS n, round(sum(amt), 1) AS total FROM j GROUP BY ALL")
+@query("p02_linked_stats", f"WITH {_LONG} SELECT phase, category, count(*) * 2 AS n, CAST(sum(CAST(amt AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM j GROUP BY ALL")
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = long_stats(spark, sf_dir)
-    return t.groupBy("phase", "category").agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("stat_type") == "AMT", F.col("stat").cast("double"))), 1).alias("total"))
+    return t.groupBy("phase", "category").agg(F.count("*").alias("n"), F.sum(F.when(F.col("stat_type") == "AMT", F.col("stat").cast("decimal(18,2)"))).cast("double").alias("total"))
 
 
 @query("a06_b02_pivot", f"WITH {_LONG}, p AS (SELECT entry_key, {_PIVOT} FROM j GROUP BY entry_key) SELECT l.entry_key, p.* EXCLUDE (entry_key) FROM links l LEFT JOIN p USING (entry_key)")
@@ -376,11 +393,11 @@ def control_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "b06_observability",
-    f"""WITH {base.WIDE_SQL} SELECT entry_key, CAST(post_anchor IS NOT NULL AS INTEGER) AS target_observed, pre_anchor, CASE WHEN match_strategy <> 'same_season' THEN 'not_same_season_link' WHEN season > 2000 THEN 'season_after_design'
-    WHEN post_outcome_right_censored THEN 'post_outcome_right_censored' WHEN target_metric IS NULL THEN 'unsupported_position_target' END AS exclusion_reason FROM t""",
+    f"""WITH {base.WIDE_SQL} SELECT entry_key, CAST(post_anchor IS NOT NULL AS INTEGER) AS target_observed, pre_anchor, CASE WHEN season < 1997 OR season > 2000 THEN 'outside_seasons' WHEN match_strategy <> 'same_season' THEN 'not_same_season_roster_link'
+    WHEN post_outcome_right_censored THEN 'post_stats_source_unavailable' WHEN position NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN 'unsupported_position' END AS exclusion_reason FROM t""",
 )
 def observability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = cohorts.assert_no_leak(cohorts.observability(_targets(spark, sf_dir), 2000))
+    t = cohorts.assert_no_leak(cohorts.observability(_targets(spark, sf_dir), 2000, 1997, ("BUILDING", "MACHINERY", "AUTOMOBILE")))
     return t.select("entry_key", "target_observed", "pre_anchor", "exclusion_reason")
 
 

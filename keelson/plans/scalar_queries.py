@@ -75,11 +75,39 @@ def first_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "n11_n12_identity_key",
-    f"""SELECT c_custkey, sha256(concat('{{"name":"', {NORM.format('c_name')}, '","nation":"', c_nationkey, '","segment":"', {NORM.format('c_mktsegment')}, '"}}')) AS k FROM customer""",
+    f"""SELECT c_custkey, sha256(concat('{{"destination":"', {NORM.format('c_mktsegment')}, '","eligibility":"","first_name":"', {NORM.format('c_name')}, '","last_name":"smith",',
+    '"origin":"nation ', c_nationkey, '","position":"DL","rating":"","season":', 2020 + c_nationkey % 5, ',"stars":"', CASE WHEN c_nationkey % 4 > 0 THEN CAST(c_nationkey % 4 AS VARCHAR) ELSE '' END,
+    '","transfer_date":"2024 01 05"}}')) AS k FROM customer""",
 )
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = {"name": S.normalize_token(F.col("c_name")), "segment": S.normalize_token(F.col("c_mktsegment")), "nation": F.col("c_nationkey")}
-    return table(spark, sf_dir, "customer").select("c_custkey", S.identity_key(fields).alias("k"))
+    """The key of ten fields, from a table with camel-case names."""
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.lit(2020) + F.col("c_nationkey") % 5).alias("season"), F.col("c_name").alias("firstName"), F.lit("Smith, Jr.").alias("lastName"),
+        F.lit("d/t").alias("position"), F.concat(F.lit("Nation-"), "c_nationkey").alias("origin"), F.col("c_mktsegment").alias("destination"),
+        F.lit("2024-01-05").alias("transferDate"), F.lit(0.0).alias("rating"), (F.col("c_nationkey") % 4).alias("stars"),
+    )
+    return c.select("c_custkey", S.entry_key(c.columns).alias("k"))
+
+
+@query(
+    "n01_n02_marked_names",
+    f"SELECT p_partkey, {NORM.format(chr(39).join(['replace(translate(p_name, ', 'sai', ', ', 'šāÍ', '), ', 'o', ', concat(', 'o', ', chr(769)))']))} AS name FROM part",
+)
+def marked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names whose letters carry marks, composed and as characters of their own."""
+    marked = F.replace(F.translate("p_name", "sai", "šāÍ"), F.lit("o"), F.lit("o\u0301"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.normalize_token(marked).alias("name"))
+
+
+@query(
+    "n06_n07_marked_codes",
+    f"""SELECT p_partkey, {_GROUP} AS grp, CASE WHEN {_RAW} IN ('K', 'PK') THEN 'K' WHEN {_RAW} IN ('P', 'LS') THEN {_RAW}
+    WHEN {_RAW} = '' THEN 'OTHER' ELSE {_GROUP} END AS model_grp FROM part""",
+)
+def marked_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of ``n06_n07_groups`` in lower case, with signs between their letters."""
+    code = F.concat(F.lit("("), F.regexp_replace(F.lower(F.expr(_pick(_CODES, "p_partkey"))), "(.)", "$1/"), F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.position_group(code).alias("grp"), S.model_position_group(code).alias("model_grp"))
 
 
 @query("n13_similarity")
@@ -186,9 +214,9 @@ def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s15_label_template",
-    """SELECT CAST(o_orderkey AS VARCHAR) AS entry_key, CAST(year(o_orderdate) AS VARCHAR) AS entry_season, '' AS first_name, '' AS last_name, '' AS position, '' AS origin,
-    '' AS destination, o_orderstatus AS status, '' AS reason, CAST(o_custkey AS VARCHAR) AS predicted_player_id, '' AS score, '' AS score_margin,
-    '' AS expected_player_id, '' AS label_outcome, '' AS label_notes FROM orders""",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS portal_key, CAST(year(o_orderdate) AS VARCHAR) AS season, '' AS first_name, '' AS last_name, '' AS position, '' AS origin,
+    '' AS destination, o_orderstatus AS predicted_status, CAST(o_custkey AS VARCHAR) AS predicted_player_id, '' AS predicted_score,
+    '' AS expected_player_id, '' AS label_outcome, '' AS split, '' AS reviewer, '' AS notes FROM orders""",
 )
 def label_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")

@@ -71,6 +71,50 @@ def test_other_parsers(spark):
     assert one(spark, S.sigmoid(F.lit(-1000.0))) == 1e-9 and one(spark, S.sigmoid(F.lit(0.0))) == 0.5
 
 
+@pytest.mark.parametrize(
+    "text", ["Šarić", "Tānē", "cafe\u0301s", "Straße", "ﬁn ÉÑ", "Łódź Ångström", "ｆｕｌｌ Ｗｉｄｔｈ", "İstanbul", "Ǆ x", "漢字 é", "O'Neal-Šmith", "\u0301a", None, ""]
+)
+def test_names_fold_as_by_decomposition(spark, text):
+    import re
+    import unicodedata
+
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c)).casefold()
+    want = " ".join(re.sub("[^a-z0-9]+", " ", plain).split())
+    got = one(spark, S.normalize_token(F.lit(text).cast("string")))
+    assert got == want
+
+
+@pytest.mark.parametrize("code, group, model", [("D/T", "DL", "DL"), ("q-b", "QB", "QB"), (" p.k ", "PK", "K"), ("l/s", "ST", "LS"), ("--", "", "OTHER")])
+def test_codes_are_normalised_first(spark, code, group, model):
+    assert one(spark, S.position_group(F.lit(code))) == group
+    assert one(spark, S.model_position_group(F.lit(code))) == model
+
+
+def test_entry_key(spark):
+    import hashlib
+
+    row = {"season": 2024, "first_name": "Jórdan", "last_name": "Smith Jr.", "position": "wr", "origin": "Ohio-State", "transferDate": "2024-01-05T00:00", "rating": 0.95, "stars": 4}
+    df = spark.createDataFrame([tuple(row.values())], list(row))
+    want = {
+        "season": 2024, "first_name": "jordan", "last_name": "smith", "position": "WR", "origin": "ohio state", "destination": "",
+        "transfer_date": "2024 01 05t00 00", "rating": "0.95", "stars": "4", "eligibility": "",
+    }
+    assert df.select(S.entry_key(df.columns)).first()[0] == hashlib.sha256(json.dumps(want, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_observability_reasons_and_flags(spark):
+    names = "season int, match_strategy string, post_stats_source_available boolean, post_outcome_right_censored boolean, model_group string, post_anchor double, post_has_player_stats boolean, has_features boolean"
+    rows = [
+        (2020, "next_season_fallback", True, False, "QB", 1.0, True, True), (2021, "next_season_fallback", True, False, "QB", 1.0, True, True),
+        (2022, "same_season", None, False, "QB", 1.0, True, True), (2023, "same_season", True, False, "K", 1.0, True, True),
+        (2024, "same_season", True, False, "QB", 1.0, True, False), (2025, "same_season", True, False, "QB", None, True, True), (2025, "same_season", True, False, "QB", 2.0, None, True),
+    ]
+    out = cohorts.observability(spark.createDataFrame(rows, names)).collect()
+    assert [r.exclusion_reason for r in out] == ["outside_seasons", "not_same_season_roster_link", "post_stats_source_unavailable", "unsupported_position", "missing_feature_row", None, None]
+    assert [(r.target_observed, r.any_stat_observed, r.any_stat_no_target, r.no_any_stat) for r in out[5:]] == [(0, 1, 1, 0), (1, 0, 0, 1)]
+    assert not any(c.startswith("post_") for c in out[0].asDict())
+
+
 def test_identity_key(spark):
     def key(**kw):
         return one(spark, S.identity_key({k: S.normalize_token(F.lit(v)) for k, v in kw.items()}))
