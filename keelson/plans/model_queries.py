@@ -170,6 +170,19 @@ def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("entry_key", F.round("signal", 3).alias("signal"))
 
 
+@query(
+    "a10_j08_known_keys",
+    f"""WITH {base.MODEL_SQL}, tr AS (SELECT * FROM m WHERE season < 1999 AND model_group <> 'MACHINERY'), k AS (SELECT model_group, rating > 5000 AS r, avg(target) AS a FROM tr GROUP BY ALL)
+    SELECT entry_key, round(coalesce(k.a, (SELECT avg(target) FROM tr)), 3) AS signal FROM (SELECT * FROM m WHERE season = 1999) x
+    LEFT JOIN k ON k.model_group = x.model_group AND k.r = (x.rating > 5000)""",
+)
+def known_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that training has seen get their own mean, those of one segment, which it hasn't, the mean of all."""
+    m = base.modelling(spark, sf_dir).withColumn("k", F.concat_ws("|", "model_group", F.col("rating") > 5000))
+    t = M.target_encoding(m.where("season = 1999"), m.where("season < 1999 and model_group <> 'MACHINERY'"), "k", "target")
+    return t.select("entry_key", F.round("signal", 3).alias("signal"))
+
+
 @query("e03_negative_control")
 def negative_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation with a predictor that can't know the outcome: the encoded segment of earlier rows."""
