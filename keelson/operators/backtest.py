@@ -6,12 +6,14 @@ years and the grid of penalties are further short tables, so that all fits of an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..sources.scratch import materialize
 from . import metrics as M
 from . import models
 
@@ -43,23 +45,26 @@ def folds(rows: DataFrame, years: list[int]) -> DataFrame:
 
 
 def fold_status(folded: DataFrame, gates: Gates, label: str | None = None) -> DataFrame:
-    """One row per year and group that occurs: row counts and ``evaluated`` or ``skipped_low_sample``; skipped folds stay."""
+    """One row per year and group that occurs: row counts and ``evaluated``, ``skipped_low_sample`` or, with a label,
+    ``skipped_low_train_class_count``; skipped folds stay."""
     train, hold = F.col("part") == "train", F.col("part") == "holdout"
     aggs = [F.sum(train.cast("long")).alias("train_rows"), F.sum(hold.cast("long")).alias("holdout_rows")]
     ok = (F.col("train_rows") >= gates.train) & (F.col("holdout_rows") >= gates.holdout)
+    classes = F.lit(True)
     if label:
         aggs += [F.sum((train & (F.col(label) == v)).cast("long")).alias(f"train_{n}") for n, v in (("positives", 1), ("negatives", 0))]
-        ok &= (F.col("train_positives") >= gates.each_class) & (F.col("train_negatives") >= gates.each_class)
+        classes = (F.col("train_positives") >= gates.each_class) & (F.col("train_negatives") >= gates.each_class)
     t = folded.groupBy("holdout_year", "model_group").agg(*aggs)
-    return t.withColumn("status", F.when(ok, F.lit("evaluated")).otherwise(F.lit("skipped_low_sample")))
+    return t.withColumn("status", F.when(~ok, F.lit("skipped_low_sample")).when(~classes, F.lit("skipped_low_train_class_count")).otherwise(F.lit("evaluated")))
 
 
-def baselines(folded: DataFrame, status: DataFrame, target: str, prior: str) -> DataFrame:
-    """Holdout rows of evaluated folds with the historical mean of their fold and the prior value (null where missing)."""
+def baselines(folded: DataFrame, status: DataFrame, target: str, prior: str | None) -> DataFrame:
+    """Holdout rows of evaluated folds with the historical mean of their fold and the prior value (null where missing, or
+    where no column is named)."""
     good = status.where(F.col("status") == "evaluated").select("holdout_year", "model_group")
     rows = folded.join(good, ["holdout_year", "model_group"], "left_semi")
     mean = rows.where("part = 'train'").groupBy("holdout_year", "model_group").agg(F.avg(target).alias("historical_mean"))
-    return rows.where("part = 'holdout'").join(mean, ["holdout_year", "model_group"]).withColumn("returning", F.col(prior))
+    return rows.where("part = 'holdout'").join(mean, ["holdout_year", "model_group"]).withColumn("returning", F.col(prior) if prior else F.lit(None).cast("double"))
 
 
 def baseline_metrics(held: DataFrame, target: str) -> DataFrame:
@@ -81,8 +86,13 @@ def _vectors(folded: DataFrame, keys: list[str], columns: list[str], flags: bool
     return t.withColumn("x", models.vector(columns, flags))
 
 
+#: Adds predictors to folded rows of given keys that are learnt from a fold's training rows.
+Prepare = Callable[[DataFrame, list[str]], DataFrame]
+
+
 def choose_alpha(rows: DataFrame, years: list[int], columns: list[str], target: str, gates: Gates, flags: bool = True,
-                 grid: tuple[float, ...] = C.RIDGE_GRID, default: float = C.RIDGE_DEFAULT, keys: tuple[str, ...] = ("model_group",)) -> DataFrame:
+                 grid: tuple[float, ...] = C.RIDGE_GRID, default: float = C.RIDGE_DEFAULT, keys: tuple[str, ...] = ("model_group",),
+                 prepare: Prepare | None = None) -> DataFrame:
     """The penalty of lowest pooled MAE over expanding inner years, per key; the default where no inner year qualifies."""
     inner = folds(rows, years)
     group = [*keys, "holdout_year"]
@@ -90,7 +100,10 @@ def choose_alpha(rows: DataFrame, years: list[int], columns: list[str], target:
         F.sum((F.col("part") == "train").cast("long")).alias("t"), F.sum((F.col("part") == "holdout").cast("long")).alias("v")
     )
     good = counts.where((F.col("t") >= gates.inner_train) & (F.col("v") >= gates.inner_valid)).select(*group)
-    inner = _vectors(inner.join(good, group, "left_semi"), group, columns, flags)
+    inner = inner.join(good, group, "left_semi")
+    # Folds and vectors are written: the statistics, the fits and the scores each read them again.
+    inner = materialize(prepare(inner, group) if prepare else inner, "inner-folds")
+    inner = materialize(_vectors(inner, group, columns, flags).select(*group, "part", "x", target), "inner-vectors")
     tried = inner.where("part = 'train'").withColumn("_try", F.explode(F.array(*[F.lit(a) for a in grid])))
     beta = models.fit_ridge(tried, group, "x", target, F.col("_try"))
     scored = inner.where("part = 'holdout'").join(beta, group)
@@ -101,12 +114,14 @@ def choose_alpha(rows: DataFrame, years: list[int], columns: list[str], target:
     return everyone.join(best, list(keys), "left").withColumn("alpha", F.coalesce("alpha", F.lit(default)))
 
 
-def rolling_ridge(rows: DataFrame, years: list[int], columns: list[str], target: str, prior: str, gates: Gates = ROLLING,
-                  flags: bool = True, default: float = C.RIDGE_DEFAULT) -> DataFrame:
+def rolling_ridge(rows: DataFrame, years: list[int], columns: list[str], target: str, prior: str | None, gates: Gates = ROLLING,
+                  flags: bool = True, default: float = C.RIDGE_DEFAULT, prepare: Prepare | None = None) -> DataFrame:
     """Predictions of holdout rows of evaluated folds with both baselines.
 
-    For each outer year the penalty is chosen on earlier seasons only.
+    For each outer year the penalty is chosen on earlier seasons only. ``prepare`` is applied to every fold anew, inner ones
+    included.
     """
+    rows = materialize(rows, "fold-rows")
     folded = folds(rows, years)
     status = fold_status(folded, gates)
     held = baselines(folded, status, target, prior)
@@ -115,9 +130,11 @@ def rolling_ridge(rows: DataFrame, years: list[int], columns: list[str], target:
     outer = ["holdout_year", "model_group"]
     past = folded.where("part = 'train'").withColumnRenamed("holdout_year", "outer_year").drop("part")
     seasons = [y for y in range(min(years) - 10, max(years))]
-    alpha = choose_alpha(past, seasons, columns, target, gates, flags, default=default, keys=("outer_year", "model_group"))
+    alpha = choose_alpha(past, seasons, columns, target, gates, flags, default=default, keys=("outer_year", "model_group"), prepare=prepare)
     alpha = alpha.select(F.col("outer_year").alias("holdout_year"), "model_group", "alpha")
-    vectors = _vectors(folded, outer, columns, flags)
+    folded = materialize(prepare(folded, outer) if prepare else folded, "folds")
+    vectors = materialize(_vectors(folded, outer, columns, flags).select("entry_key", *outer, "part", "x", target), "vectors")
+    alpha = materialize(alpha, "alpha")
     train = vectors.where("part = 'train'").join(alpha.withColumnRenamed("alpha", "_try"), outer)
     beta = models.fit_ridge(train, outer, "x", target, F.col("_try"))
     hold = vectors.where("part = 'holdout'").join(beta, outer)
@@ -145,11 +162,36 @@ def evaluate(predictions: DataFrame, target: str) -> DataFrame:
     )
 
 
+def negative_control(panel: DataFrame, year: int, columns: list[str], key: str, target: str = "prior_change", gates: Gates = CONTROL) -> tuple[DataFrame, DataFrame]:
+    """Whether what is only known later predicts a change that came before: predictions and one row per group.
+
+    ``panel`` has the kept rows of ``cohorts.negative_control``. Predictors are ``signal``, the mean change of the rows of the
+    same ``key`` (encoded from each fold's training rows alone, inner folds included), and ``columns``. A group shows a
+    signal if the model's error is below that of the training mean and its R2 above 0; skipped groups stay, without figures.
+    """
+
+    def encode(folded: DataFrame, by: list[str]) -> DataFrame:
+        return M.encode_in_folds(folded, by, key, target)
+
+    outer = ["holdout_year", "model_group"]
+    columns = ["signal", *columns]
+    panel = materialize(panel, "panel")
+    predictions = rolling_ridge(panel, [year], columns, target, None, gates, flags=False, default=min(C.RIDGE_GRID), prepare=encode)
+    predictions = materialize(predictions.drop("returning"), "control")
+    model = M.regression(predictions, outer, target, "prediction")
+    mean = M.regression(predictions, outer, target, "historical_mean").select(*outer, F.col("mae").alias("baseline_mae"))
+    alpha = predictions.select(*outer, "alpha").distinct()
+    result = fold_status(folds(panel, [year]), gates).join(model.join(mean, outer).join(alpha, outer), outer, "left")
+    found = F.when(F.col("status") == "evaluated", (F.col("mae") < F.col("baseline_mae")) & (F.coalesce("r2", F.lit(0.0)) > 0))
+    return predictions, result.withColumns({"mae_skill": M.skill(F.col("mae"), F.col("baseline_mae")), "signal_detected": found})
+
+
 def rolling_logistic(rows: DataFrame, years: list[int], columns: list[str], label: str, gates: Gates = OBSERVABILITY,
                      grid: tuple[float, ...] = C.LOGIT_GRID, default: float = C.LOGIT_DEFAULT) -> DataFrame:
     """Probabilities of holdout rows of evaluated folds with the training prevalence; the penalty of lowest pooled Brier
     score on expanding inner years of the training part, the default where none qualifies."""
     outer = ["holdout_year", "model_group"]
+    rows = materialize(rows, "fold-rows")
     folded = folds(rows, years)
     good = fold_status(folded, gates, label).where("status = 'evaluated'").select(*outer)
     folded = folded.join(good, outer, "left_semi")
@@ -163,14 +205,15 @@ def rolling_logistic(rows: DataFrame, years: list[int], columns: list[str], labe
     enough = counts.where(
         (F.col("t") >= gates.inner_train) & (F.col("v") >= gates.inner_valid) & (F.col("p") >= gates.inner_class) & (F.col("q") >= gates.inner_class)
     )
-    inner = _vectors(inner.join(enough.select(*group), group, "left_semi"), group, columns, True)
+    inner = materialize(_vectors(materialize(inner.join(enough.select(*group), group, "left_semi"), "inner-folds"), group, columns, True), "inner-vectors")
     tried = inner.where("part = 'train'").withColumn("l2", F.explode(F.array(*[F.lit(a) for a in grid])))
     beta = _fit_grid(tried, group, label)
     scored = inner.where("part = 'holdout'").join(beta, group)
     p = M.clamp(1 / (1 + F.exp(-models.dot(F.col("x"), F.col("beta")))))
     pooled = scored.groupBy("outer_year", "model_group", "l2").agg(F.avg((p - F.col(label)) * (p - F.col(label))).alias("brier"))
     best = M.best_of_grid(pooled, ["outer_year", "model_group"], "l2", "brier").withColumnRenamed("outer_year", "holdout_year")
-    vectors = _vectors(folded, outer, columns, True)
+    vectors = materialize(_vectors(materialize(folded, "folds"), outer, columns, True), "vectors")
+    best = materialize(best, "penalties")
     train = vectors.where("part = 'train'").join(best.select(*outer, "l2"), outer, "left").withColumn("l2", F.coalesce("l2", F.lit(default)))
     prevalence = train.groupBy(*outer).agg(F.avg(F.col(label).cast("double")).alias("prevalence"), F.first("l2").alias("l2"))
     beta = _fit_grid(train, outer, label).drop("l2", "train_rows")
@@ -180,6 +223,25 @@ def rolling_logistic(rows: DataFrame, years: list[int], columns: list[str], labe
     )
 
 
+def evaluate_probabilities(rows: DataFrame, predictions: DataFrame, years: list[int], label: str, gates: Gates = OBSERVABILITY) -> DataFrame:
+    """One row per fold and group: status, counts, all probability metrics of the model, the Brier score of the training
+    prevalence and the skill against it. Skipped folds stay, without figures."""
+    outer = ["holdout_year", "model_group"]
+    predictions = materialize(predictions, "probabilities")
+    both = M.bundle(predictions, outer, label, "probability", "entry_key").drop("n", "positives")
+    plain = M.probability(predictions, outer, label, "prevalence").select(*outer, F.col("brier").alias("baseline_brier"), F.col("log_loss").alias("baseline_log_loss"))
+    chosen = predictions.select(*outer, "l2", F.col("prevalence").alias("train_prevalence")).distinct()
+    t = fold_status(folds(rows, years), gates, label).join(both.join(plain, outer).join(chosen, outer), outer, "left")
+    return t.withColumns({"brier_skill": M.skill(F.col("brier"), F.col("baseline_brier")), "beats_prevalence": F.col("brier") < F.col("baseline_brier")})
+
+
+def pooled_probabilities(predictions: DataFrame, label: str) -> DataFrame:
+    """All probability metrics over the predictions of all folds together: a row for the model, one for the prevalence."""
+    predictions = materialize(predictions, "probabilities")
+    rows = [M.bundle(predictions, [], label, c, "entry_key").select(F.lit(n).alias("forecast"), "*") for n, c in (("model", "probability"), ("prevalence", "prevalence"))]
+    return rows[0].unionByName(rows[1])
+
+
 def _fit_grid(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     t = rows.withColumn("_l2", F.col("l2"))
     return models.fit_logistic(t, [*by, "l2"], "x", label, "_l2")

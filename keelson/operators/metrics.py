@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.constants import PROBABILITY_FLOOR
+from ..sources.scratch import materialize
+from . import models
 
 
 def regression(rows: DataFrame, by: list[str], actual: str, predicted: str) -> DataFrame:
@@ -47,14 +49,34 @@ def probability(rows: DataFrame, by: list[str], label: str, p: str) -> DataFrame
     )
 
 
+def running_sums(rows: DataFrame, by: list[str], order: list[Column], sums: list[str]) -> DataFrame:
+    """Adds ``_sum_<c>`` for each column of ``sums``: its sum over a group's rows up to and including this one.
+
+    Rows are sorted into ranges, which are written; a range's sums start where the ranges before it end. So a group of
+    any size is spread over tasks, and only one row per range and group meets in a window. Nulls are a group.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = materialize(rows.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()), "running")
+    ends = t.groupBy("_range", *by).agg(*[F.sum(c).alias(f"_end_{c}") for c in sums])
+    w = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_by_{c}") for c in by], *[F.coalesce(F.sum(f"_end_{c}").over(w), F.lit(0)).alias(f"_end_{c}") for c in sums])
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({f"_sum_{c}": F.sum(c).over(inside) for c in sums}).join(before, same)
+    t = t.withColumns({f"_sum_{c}": F.col(f"_sum_{c}") + F.col(f"_end_{c}") for c in sums})
+    return t.drop("_range", "_r", *[f"_by_{c}" for c in by], *[f"_end_{c}" for c in sums])
+
+
 def roc_auc(rows: DataFrame, by: list[str], label: str, p: str) -> DataFrame:
     """Area under the ROC curve by average ranks; null where one class is missing.
 
-    Rows are aggregated to one per different score first, so ties and common scores cost one row in the window.
+    Rows are aggregated to one per different score first, so ties and common scores cost one row in the ranks.
     """
     t = rows.groupBy(*by, p).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    t = running_sums(t, by, [F.col(p)], ["n"]).withColumn("_rank", F.col("_sum_n") - F.col("n") + (F.col("n") + 1) / 2)
     t = t.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("n").alias("n"), F.sum(F.col("pos") * F.col("_rank")).alias("_r"))
     pos, neg = F.col("positives"), F.col("n") - F.col("positives")
     auc = F.when((pos > 0) & (neg > 0), (F.col("_r") - pos * (pos + 1) / 2) / (pos * neg))
@@ -64,18 +86,38 @@ def roc_auc(rows: DataFrame, by: list[str], label: str, p: str) -> DataFrame:
 def average_precision(rows: DataFrame, by: list[str], label: str, p: str, ordinal: str) -> DataFrame:
     """Average precision over rows by descending score; equal scores keep the order of ``ordinal``; constant scores give the
     prevalence; null without positives."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.col(p).desc(), ordinal)
-    y = F.col(label).cast("long")
-    t = rows.select(*by, p, y.alias("_y"), F.row_number().over(w).alias("_k"), F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_tp"))
+    t = rows.select(*by, p, ordinal, F.col(label).cast("long").alias("_y"), F.lit(1).cast("long").alias("_k"))
+    t = running_sums(t, by, [F.col(p).desc(), F.col(ordinal)], ["_y", "_k"])
     t = t.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("_y").alias("positives"), F.min(p).alias("_lo"), F.max(p).alias("_hi"),
-        F.sum(F.when(F.col("_y") == 1, F.col("_tp") / F.col("_k"))).alias("_s"),
+        F.sum(F.when(F.col("_y") == 1, F.col("_sum__y") / F.col("_sum__k"))).alias("_s"),
     )
     flat = F.col("positives") / F.col("n")
     ap = F.when(F.col("positives") == 0, None).when(F.col("_lo") == F.col("_hi"), flat).otherwise(F.col("_s") / F.col("positives"))
     return t.select(*by, "n", "positives", ap.alias("average_precision"))
 
 
+def bundle(rows: DataFrame, by: list[str], label: str, p: str, ordinal: str) -> DataFrame:
+    """All probability metrics per group: ``probability``, ``roc_auc``, ``average_precision`` and the calibration's
+    ``intercept`` and ``slope``, of probabilities kept away from 0 and 1. Without ``by`` one row over all; no row for no rows.
+    """
+    keys = by or ["_all"]
+    t = rows if by else rows.withColumn("_all", F.lit(1))
+    t = materialize(t.select(*keys, ordinal, F.col(label).cast("int").alias("_label"), clamp(F.col(p)).alias("_p")), "scored")
+    out = probability(t, keys, "_label", "_p")
+    for other in (
+        roc_auc(t, keys, "_label", "_p").select(*keys, "roc_auc"),
+        average_precision(t, keys, "_label", "_p", ordinal).select(*keys, "average_precision"),
+        models.calibration(t, keys, "_label", "_p").select(*keys, "intercept", "slope"),
+    ):
+        other = other.select(*[F.col(c).alias(f"_by_{c}") if c in keys else c for c in other.columns])
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        out = out.join(other, same, "left").drop(*[f"_by_{c}" for c in keys])
+    return out if by else out.drop("_all")
+
+
 def reliability(rows: DataFrame, label: str, p: str, bins: int = 10) -> DataFrame:
     """Mean probability and observed rate per bin of equal width; empty bins are kept, a probability of 1 is in the last."""
     spark = rows.sparkSession
@@ -137,3 +179,17 @@ def target_encoding(rows: DataFrame, train: DataFrame, key: str, target: str) ->
     whole = train.agg(F.avg(target).alias("_all")).withColumn("_one", F.lit(1))
     t = rows.join(means, key, "left").withColumn("_one", F.lit(1)).join(whole, "_one", "left")
     return t.withColumn("signal", F.coalesce("_mean", "_all")).drop("_mean", "_all", "_one")
+
+
+def encode_in_folds(folded: DataFrame, by: list[str], key: str, target: str) -> DataFrame:
+    """Adds ``signal``: the mean of a row's key among its group's training rows (``part`` train), or of all of these where
+    the key is blank or training hasn't seen it. Keys match whatever their case and the blanks around them.
+
+    Means are pre-aggregated per key, so a hot key is one row of the join. A group without training rows gets null.
+    """
+    named = folded.withColumn("_key", F.lower(F.trim(F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    sums = named.where("part = 'train'").groupBy(*by, "_key").agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    means = sums.where("_key <> ''").select(*by, "_key", (F.col("_s") / F.col("_n")).alias("_mean"))
+    whole = sums.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("_whole"))
+    t = named.join(means, [*by, "_key"], "left").join(whole, by, "left")
+    return t.withColumn("signal", F.coalesce("_mean", "_whole")).drop("_key", "_mean", "_whole")

@@ -16,7 +16,7 @@ SEASONS_SQL = """seasons AS (
   FROM orders GROUP BY 1, 2
 )"""
 WIDE_SQL = f"""{SEASONS_SQL}, wide AS (
-  SELECT concat(s.cust, '-', s.season) AS entry_key, CAST(s.cust AS VARCHAR) AS player_id, s.season, c_mktsegment AS position, c_acctbal AS rating,
+  SELECT concat(s.cust, '-', s.season) AS entry_key, CAST(s.cust AS VARCHAR) AS player_id, s.season, c_mktsegment AS position, c_acctbal AS rating, CAST(c_nationkey AS VARCHAR) AS destination,
     p.amt AS pre_amt, p.cnt AS pre_cnt, s.amt AS post_amt, s.cnt AS post_cnt, s.season >= {CENSORED} AS post_outcome_right_censored,
     CASE WHEN s.cust % 10 = 3 THEN 'next_season_fallback' ELSE 'same_season' END AS match_strategy
   FROM seasons s JOIN customer ON c_custkey = s.cust LEFT JOIN seasons p ON p.cust = s.cust AND p.season = s.season - 1
@@ -44,7 +44,7 @@ def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = seasons(spark, sf_dir)
     prior = s.select("cust", (F.col("season") + 1).alias("season"), F.col("amt").alias("pre_amt"), F.col("cnt").alias("pre_cnt"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("position"), F.col("c_acctbal").alias("rating"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("position"), F.col("c_acctbal").alias("rating"), F.col("c_nationkey").cast("string").alias("destination"))
     t = s.join(c, "cust").join(prior, ["cust", "season"], "left")
     return t.select(
         F.concat_ws("-", "cust", "season").alias("entry_key"),
@@ -52,6 +52,7 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "season",
         "position",
         "rating",
+        "destination",
         "pre_amt",
         "pre_cnt",
         F.col("amt").alias("post_amt"),

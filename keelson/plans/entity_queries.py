@@ -16,7 +16,7 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def all_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as entries: the name's words are first and last name, the brand is the team, the type the position."""
     p = table(spark, sf_dir, "part")
     words = F.split("p_name", " ")
@@ -31,12 +31,8 @@ def all_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries that ``RESOLVE_SQL`` resolves: every fourth one."""
-    return all_entries(spark, sf_dir).where("cast(substr(entry_key, 2) as bigint) % 4 = 1")
-
-
-def all_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as roster rows: a sixth have a suffix, a third another last name, those of large size are of the next season."""
     p = table(spark, sf_dir, "part")
     words = F.split("p_name", " ")
     return p.select(
@@ -44,27 +40,25 @@ def all_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") > 40, 2025).otherwise(2024).alias("season"),
         F.upper("p_brand").alias("team"),
         words[0].alias("first_name"),
-        F.concat(F.element_at(words, -1), F.when(F.col("p_partkey") % 6 == 1, F.lit(" Jr.")).otherwise(F.lit(""))).alias("last_name"),
+        F.when(F.col("p_partkey") % 3 == 0, F.reverse(F.element_at(words, -1)))
+        .otherwise(F.concat(F.element_at(words, -1), F.when(F.col("p_partkey") % 6 == 1, F.lit(" Jr.")).otherwise(F.lit(""))))
+        .alias("last_name"),
         F.element_at(F.split("p_type", " "), -1).alias("position"),
     )
 
 
-def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The roster of ``RESOLVE_SQL``: a third of the rows."""
-    return all_roster(spark, sf_dir).where("cast(player_id as bigint) % 4 in (1, 2) and cast(player_id as bigint) % 3 <> 0")
-
-
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _RATIO = "CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END"
 RESOLVE_SQL = f"""e AS (
   SELECT 'e' || p_partkey AS entry_key, {_NORM.format("string_split(p_name, ' ')[1]")} AS f, {_NORM.format("string_split(p_name, ' ')[-1]")} AS l,
     upper(coalesce(CASE WHEN p_partkey % 13 <> 0 THEN string_split(p_type, ' ')[-1] END, '')) AS g,
     {_NORM.format("coalesce(CASE WHEN p_partkey % 17 <> 0 THEN p_brand END, '')")} AS team
-  FROM part WHERE p_partkey % 4 = 1
+  FROM part
 ), r AS (
   SELECT CAST(p_partkey AS VARCHAR) AS player_id, CASE WHEN p_size > 40 THEN 2025 ELSE 2024 END AS season, {_NORM.format('p_brand')} AS team,
-    {_NORM.format("string_split(p_name, ' ')[1]")} AS f, {_NORM.format("string_split(p_name, ' ')[-1]")} AS l, upper(string_split(p_type, ' ')[-1]) AS g
-  FROM part WHERE p_partkey % 4 IN (1, 2) AND p_partkey % 3 <> 0
+    {_NORM.format("string_split(p_name, ' ')[1]")} AS f,
+    {_NORM.format("CASE WHEN p_partkey % 3 = 0 THEN reverse(string_split(p_name, ' ')[-1]) ELSE string_split(p_name, ' ')[-1] END")} AS l, upper(string_split(p_type, ' ')[-1]) AS g
+  FROM part
 ), years(y) AS (VALUES (2024), (2025)),
 pair AS (
   SELECT y, entry_key, e.f AS ef, e.l AS el, e.g AS eg, r.* FROM e JOIN years ON true JOIN r ON r.team = e.team AND r.season = y WHERE e.team <> ''
@@ -112,7 +106,7 @@ def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r03_resolve")
 def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve(all_entries(spark, sf_dir), all_roster(spark, sf_dir))
+    return resolve.resolve(entries(spark, sf_dir), roster(spark, sf_dir))
 
 
 _STATES = f"""WITH {RESOLVE_SQL}, a AS (SELECT * FROM decided WHERE y = 2024), b AS (SELECT * FROM decided WHERE y = 2025),
@@ -137,7 +131,7 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r04_resolve_fallback_all")
 def fallback_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as an entry, against every part as a roster row."""
-    return resolve.resolve_with_fallback(all_entries(spark, sf_dir), all_roster(spark, sf_dir), edit_ratio)
+    return resolve.resolve_with_fallback(entries(spark, sf_dir), roster(spark, sf_dir), edit_ratio)
 
 
 _ACC = "count(*) AS n, CAST(count(*) FILTER (status = 'resolved') AS BIGINT) AS resolved, CAST(count(*) FILTER (status <> 'resolved') AS BIGINT) AS held_out"
@@ -159,7 +153,7 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUT = "CASE WHEN o_orderkey % 23 = 0 THEN 'uncertain' WHEN o_orderkey % 7 = 0 THEN 'incorrect' ELSE 'Correct' END"
-_LABELS = f"""x AS (SELECT o_orderpriority AS g, lower({_OUT}) AS o FROM orders WHERE o_orderkey % 10 = 0), c AS (
+_LABELS = f"""x AS (SELECT o_orderpriority AS g, lower({_OUT}) AS o FROM orders WHERE o_orderstatus = 'F'), c AS (
   SELECT g, count(*) AS n, count(*) FILTER (o = 'correct') AS c, count(*) FILTER (o = 'incorrect') AS i, count(*) FILTER (o = 'uncertain') AS u FROM x GROUP BY g
 ), p AS (SELECT o_orderpriority AS g, count(*) AS pn FROM orders GROUP BY 1), w AS (
   SELECT CAST(sum(pn) AS DOUBLE) AS pop, sum(pn * (c / n)) / sum(pn) AS s, coalesce(sum(pn * (c / nullif(c + i, 0))), 0) / sum(pn) AS a, sum(pn * ((c + u) / n)) / sum(pn) AS q,
@@ -171,9 +165,10 @@ _HALF = f"{_Z} / (1 + {_Z} * {_Z} / e) * sqrt(s * (1 - s) / e + {_Z} * {_Z} / (4
 
 
 def labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels of finished orders, as an estimate for all orders of their priority."""
     o = table(spark, sf_dir, "orders")
     population = o.groupBy(F.col("o_orderpriority").alias("g")).agg(F.count("*").alias("population_n"))
-    return o.where("o_orderkey % 10 = 0").select(F.col("o_orderpriority").alias("g"), F.expr(_OUT).alias("label_outcome")), population
+    return o.where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("g"), F.expr(_OUT).alias("label_outcome")), population
 
 
 @query(
@@ -190,26 +185,25 @@ def precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a20_e07_combined",
-    f"""WITH {_LABELS}, f AS (SELECT count(*) AS n, count(*) FILTER ({_OUT} = 'Correct') AS c FROM orders WHERE o_orderkey % 10 = 1)
+    f"""WITH {_LABELS}, f AS (SELECT count(*) AS n, count(*) FILTER ({_OUT} = 'Correct') AS c FROM orders WHERE o_orderstatus = 'P')
     SELECT round((pop * s + c) / (pop + n), 9) AS combined_rate, round((pop * greatest(0.0, {_MID} - {_HALF}) + c) / (pop + n), 9) AS combined_low, round(c / n, 9) AS census_rate FROM w, f""",
 )
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, population = labels(spark, sf_dir)
-    census = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 1").select(F.expr(_OUT).alias("label_outcome"))
+    census = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.expr(_OUT).alias("label_outcome"))
     t = audit.combined_precision(audit.weighted_precision(rows, population, "g"), census)
     return t.select(*[F.round(c, 9).alias(c) for c in ("combined_rate", "combined_low", "census_rate")])
 
 
 @query(
     "a21_j09_accuracy",
-    f"""WITH {RESOLVE_SQL}, p AS (SELECT entry_key, coalesce(CASE WHEN status IN ('resolved', 'review') THEN best_id END, '') AS f, substr(entry_key, 2) AS x FROM decided WHERE y = 2024 AND CAST(substr(entry_key, 2) AS BIGINT) % 3 = 0)
+    f"""WITH {RESOLVE_SQL}, p AS (SELECT entry_key, coalesce(CASE WHEN status IN ('resolved', 'review') THEN best_id END, '') AS f, substr(entry_key, 2) AS x FROM decided WHERE y = 2024)
     SELECT count(*) AS labelled, CAST(count(*) FILTER (f = x AND f <> '') AS BIGINT) AS correct, CAST(count(*) FILTER (f <> '' AND f <> x) AS BIGINT) AS false_positive,
     CAST(count(*) FILTER (f = '' AND x <> '') AS BIGINT) AS false_negative, count(*) FILTER (f = x AND f <> '') / count(*) AS accuracy FROM p""",
 )
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entries(spark, sf_dir)
     known = e.withColumn("expected_player_id", F.expr("substr(entry_key, 2)")).withColumn("ordinal", F.lit(1))
-    known = known.where(F.col("expected_player_id").cast("long") % 3 == 0)
     return audit.labelled_accuracy(resolve.resolve(e, roster(spark, sf_dir), edit_ratio), known)
 
 
@@ -386,9 +380,13 @@ def cohort_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHEN pre_anchor IS NULL THEN 'missing_s1_anchor' WHEN v IS NULL THEN 'missing_s2_anchor' END AS exclusion_reason FROM t LEFT JOIN h ON p = player_id AND h.season = t.season AND m = target_metric""",
 )
 def control_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control_rows(spark, sf_dir).select("entry_key", "s2_anchor", "prior_change", "exclusion_reason")
+
+
+def control_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = base.seasons(spark, sf_dir)
     history = s.select(F.col("cust").cast("string").alias("player_id"), "season", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("amt", "cnt")])).alias("h")).select("player_id", "season", "h.metric", "h.value")
-    return cohorts.negative_control(_targets(spark, sf_dir), history, 1998).select("entry_key", "s2_anchor", "prior_change", "exclusion_reason")
+    return cohorts.negative_control(_targets(spark, sf_dir), history, 1998)
 
 
 @query(

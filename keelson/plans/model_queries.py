@@ -9,6 +9,7 @@ from ..operators import backtest as B
 from ..operators import metrics as M
 from ..operators import models
 from . import base
+from .entity_queries import control_rows
 from .registry import query, table
 
 YEARS = [1998, 1999, 2000]
@@ -151,6 +152,18 @@ def wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.wins(rolling_ridge(spark, sf_dir), ["model_group"], "model_mae", "historical_mae")
 
 
+@query(
+    "a28_wins_mean",
+    f"""WITH {_FOLDS}, e AS (SELECT model_group, holdout_year, avg(abs(historical_mean - target)) FILTER (prior IS NOT NULL) AS a, avg(abs(prior - target)) AS b FROM h GROUP BY ALL)
+    SELECT model_group, count(*) AS folds, CAST(count(*) FILTER (a < b) AS BIGINT) AS wins FROM e GROUP BY model_group""",
+)
+def wins_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds in which the historical mean beats the prior value."""
+    folded = B.folds(base.modelling(spark, sf_dir), YEARS)
+    t = B.baseline_metrics(B.baselines(folded, B.fold_status(folded, B.ROLLING), "target", "prior"), "target")
+    return M.wins(t, ["model_group"], "paired_historical_mae", "returning_mae")
+
+
 @query("e01_holdout_ridge")
 def holdout_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One strict holdout year on complete rows, without missing flags."""
@@ -183,27 +196,97 @@ def known_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("entry_key", F.round("signal", 3).alias("signal"))
 
 
+_CONTROL = f"""{base.WIDE_SQL}, h AS (
+  SELECT CAST(cust AS VARCHAR) AS p, season + 2 AS season, 'amt' AS m, amt AS v FROM seasons UNION ALL SELECT CAST(cust AS VARCHAR), season + 2, 'cnt', cnt FROM seasons
+), f AS (
+  SELECT entry_key, model_group, destination AS k, pre_anchor - v AS y, t.season < 2001 AS train
+  FROM t JOIN h ON p = player_id AND h.season = t.season AND m = target_metric WHERE t.season BETWEEN 1998 AND 2001 AND pre_anchor IS NOT NULL
+), g AS (SELECT model_group, avg(y) FILTER (train) AS whole, CAST(count(*) FILTER (train) AS BIGINT) AS train_rows, CAST(count(*) FILTER (NOT train) AS BIGINT) AS holdout_rows FROM f GROUP BY 1)"""
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control_rows(spark, sf_dir).where("exclusion_reason is null")
+
+
+@query(
+    "e03_signal",
+    f"""WITH {_CONTROL}, k AS (SELECT model_group, k, avg(y) AS a FROM f WHERE train GROUP BY ALL)
+    SELECT entry_key, round(coalesce(a, whole), 3) AS signal FROM f JOIN g USING (model_group) LEFT JOIN k USING (model_group, k) WHERE NOT train""",
+)
+def control_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holdout year's destinations, encoded by the changes of earlier years."""
+    t = M.encode_in_folds(B.folds(panel(spark, sf_dir), [2001]), ["holdout_year", "model_group"], "destination", "prior_change")
+    return t.where("part = 'holdout'").select("entry_key", F.round("signal", 3).alias("signal"))
+
+
+@query(
+    "e03_control_baseline",
+    f"""WITH {_CONTROL}, e AS (SELECT model_group, avg(abs(y - whole)) AS mae FROM f JOIN g USING (model_group) WHERE NOT train GROUP BY 1)
+    SELECT model_group, train_rows, holdout_rows, CASE WHEN train_rows >= 40 AND holdout_rows >= 10 THEN 'evaluated' ELSE 'skipped_low_sample' END AS status,
+    CASE WHEN train_rows >= 40 AND holdout_rows >= 10 THEN round(mae, 4) END AS baseline_mae FROM g LEFT JOIN e USING (model_group)""",
+)
+def control_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = negative_control(spark, sf_dir)
+    return t.select("model_group", "train_rows", "holdout_rows", "status", F.round("baseline_mae", 4).alias("baseline_mae"))
+
+
 @query("e03_negative_control")
 def negative_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evaluation with a predictor that can't know the outcome: the encoded segment of earlier rows."""
-    rows = base.modelling(spark, sf_dir).where("prior is not null").withColumn("signal", F.col("rating") % 7)
-    return B.evaluate(B.rolling_ridge(rows, [2000], ["signal", "rating"], "target", "prior", B.CONTROL, flags=False, default=0.1), "target")
+    """Does the destination, known later, predict the change that came before? Encoded anew in every fold."""
+    return B.negative_control(panel(spark, sf_dir), 2001, ["rating"], "destination")[1]
+
+
+def probabilities(spark: SparkSession, sf_dir: str, years: list[int]) -> DataFrame:
+    return B.rolling_logistic(base.modelling(spark, sf_dir), years, COLUMNS, "observed")
+
+
+def _baseline_sql(years: list[int]) -> str:
+    return f"""WITH {base.MODEL_SQL}, y(holdout_year) AS (VALUES {", ".join(f"({y})" for y in years)}), f AS (
+      SELECT *, season < holdout_year AS train FROM m JOIN y ON season <= holdout_year
+    ), st AS (
+      SELECT holdout_year, model_group, CAST(count(*) FILTER (train) AS BIGINT) AS train_rows, CAST(count(*) FILTER (NOT train) AS BIGINT) AS holdout_rows,
+        CAST(count(*) FILTER (train AND observed = 1) AS BIGINT) AS train_positives, CAST(count(*) FILTER (train AND observed = 0) AS BIGINT) AS train_negatives FROM f GROUP BY ALL
+    ), s2 AS (
+      SELECT *, CASE WHEN train_rows < 40 OR holdout_rows < 20 THEN 'skipped_low_sample' WHEN train_positives < 5 OR train_negatives < 5 THEN 'skipped_low_train_class_count' ELSE 'evaluated' END AS status FROM st
+    ), b AS (
+      SELECT holdout_year, model_group, avg(power(observed - train_positives / CAST(train_rows AS DOUBLE), 2)) AS brier FROM f JOIN st USING (holdout_year, model_group) WHERE NOT train GROUP BY ALL
+    )
+    SELECT holdout_year, model_group, train_rows, holdout_rows, train_positives, train_negatives, status,
+      CASE WHEN status = 'evaluated' THEN round(train_positives / CAST(train_rows AS DOUBLE), 8) END AS train_prevalence, CASE WHEN status = 'evaluated' THEN round(brier, 8) END AS baseline_brier
+    FROM s2 LEFT JOIN b USING (holdout_year, model_group)"""
+
+
+def _baseline(t: DataFrame) -> DataFrame:
+    t = t.select("holdout_year", "model_group", "train_rows", "holdout_rows", "train_positives", "train_negatives", "status", "train_prevalence", "baseline_brier")
+    return t.withColumns({c: F.round(c, 8) for c in ("train_prevalence", "baseline_brier")})
 
 
 @query("e04_rolling_logistic")
 def rolling_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = B.rolling_logistic(base.modelling(spark, sf_dir), YEARS, COLUMNS, "observed")
-    model = M.probability(t, ["holdout_year", "model_group"], "observed", "probability")
-    plain = M.probability(t, ["holdout_year", "model_group"], "observed", "prevalence").select("holdout_year", "model_group", F.col("brier").alias("baseline_brier"))
-    t = model.join(plain, ["holdout_year", "model_group"])
-    return t.withColumn("brier_skill", M.skill(F.col("brier"), F.col("baseline_brier")))
+    """Rolling folds: status, counts and all probability metrics, against the prevalence of the training part."""
+    return B.evaluate_probabilities(base.modelling(spark, sf_dir), probabilities(spark, sf_dir, YEARS), YEARS, "observed")
+
+
+@query("e04_baseline", _baseline_sql(YEARS))
+def rolling_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _baseline(rolling_logistic(spark, sf_dir))
+
+
+@query("a27_pooled")
+def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All probability metrics over all folds together, for the model and the prevalence."""
+    return B.pooled_probabilities(probabilities(spark, sf_dir, YEARS), "observed")
 
 
 @query("e05_stress_test")
 def stress_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fold: trained on all earlier years, scored on the last; pooled metrics."""
-    t = B.rolling_logistic(base.modelling(spark, sf_dir), [2000], COLUMNS, "observed")
-    return M.probability(t, [], "observed", "probability")
+    """One fold: trained on all earlier years, scored on the last; a row per group."""
+    return B.evaluate_probabilities(base.modelling(spark, sf_dir), probabilities(spark, sf_dir, [2000]), [2000], "observed")
+
+
+@query("e05_baseline", _baseline_sql([2000]))
+def stress_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _baseline(stress_test(spark, sf_dir))
 
 
 @query("e06_m06_final_fit")

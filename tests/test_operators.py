@@ -475,3 +475,81 @@ def test_presentation(spark):
     assert [r.v for r in present.top(t, "v", 2).collect()] == [3.0, 3.0]
     assert present.filtered(t, {"g": ["a"]}, "Y", ("k",)).count() == 1
     assert [r.g for r in present.in_order(t.select("g").distinct(), "g", ["b"]).collect()] == ["b", "a"]
+
+
+def test_running_sums_cross_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, int(rng.integers(0, 5)), i, int(rng.integers(0, 3))) for g, n in (("a", 200), (None, 30), ("b", 1)) for i in range(n)]
+    t = metrics.running_sums(spark.createDataFrame(rows, "g string, v int, i int, c int"), ["g"], [F.col("v").desc(), F.col("i")], ["c"])
+    got = {(r.g, r.i): r["_sum_c"] for r in t.collect()}
+    assert len(got) == len(rows)
+    for g in ("a", None, "b"):
+        total = 0
+        for _, v, i, c in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])):
+            total += c
+            assert got[(g, i)] == total
+
+
+def test_bundle(spark):
+    """All metrics against whole arrays; groups of one class have no ranks and no calibration; none by name is one group."""
+    rng = np.random.default_rng(6)
+    rows = [(g, i, int(rng.random() < 0.4) if g else 1, float(np.round(rng.random(), 2))) for g, n in ((None, 4), ("x", 120), ("y", 60)) for i in range(n)]
+    rows = [(g, f"{g}{i}", y, p) for g, i, y, p in rows]
+    t = spark.createDataFrame(rows, "g string, k string, y int, p double")
+    got = {r.g: r for r in metrics.bundle(t, ["g"], "y", "p", "k").collect()}
+    assert set(got) == {None, "x", "y"} and got[None].roc_auc is None and got[None].slope is None and got[None].average_precision == 1.0
+    whole = metrics.bundle(t, [], "y", "p", "k").collect()
+    assert len(whole) == 1 and whole[0].n == len(rows)
+    for r, mine in ((got["x"], [x for x in rows if x[0] == "x"]), (got["y"], [x for x in rows if x[0] == "y"]), (whole[0], rows)):
+        y, p = np.array([x[2] for x in mine]), np.clip([x[3] for x in mine], 1e-9, 1 - 1e-9)
+        wins = (p[y == 1][:, None] > p[y == 0]).mean() + 0.5 * (p[y == 1][:, None] == p[y == 0]).mean()
+        order = sorted(range(len(mine)), key=lambda i: (-p[i], mine[i][1]))
+        hits = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+        assert np.isclose(r.roc_auc, wins) and np.isclose(r.average_precision, hits[y[order] == 1].mean()) and np.isclose(r.brier, ((p - y) ** 2).mean())
+        assert np.allclose((r.intercept, r.slope), models.calibration_fit(np.log(p / (1 - p)), y.astype(float)), atol=1e-6)
+    assert metrics.bundle(t.where("false"), [], "y", "p", "k").count() == 0
+
+
+def test_negative_control_encodes_in_every_fold(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for season, n in ((2022, 30), (2023, 30), (2024, 30), (2025, 15)):
+        for i in range(n):
+            d = int(rng.integers(0, 4))
+            rows.append((f"{season}-{i}", season, "WR", " Town%d " % d if i % 2 else "TOWN%d" % d, float(rng.normal(80, 5)), float(rng.normal(50 * d, 10))))
+    rows += [("few-1", 2024, "QB", "x", 1.0, 1.0), ("few-2", 2025, "QB", None, 1.0, 1.0)]
+    rows.append(("new", 2025, "WR", "Elsewhere", 80.0, 75.0))
+    t = spark.createDataFrame(rows, "entry_key string, season int, model_group string, destination string, rating double, prior_change double")
+    predictions, result = backtest.negative_control(t, 2025, ["rating"], "destination")
+
+    def fit(train, held, alpha):
+        of = {}
+        for r in train:
+            of.setdefault(r[3].strip().lower(), []).append(r[5])
+        mean = float(np.mean([r[5] for r in train]))
+        x = [np.array([[np.mean(of.get(r[3].strip().lower(), [mean])), r[4]] for r in part]) for part in (train, held)]
+        x = [np.column_stack([np.ones(len(v)), (v - x[0].mean(0)) / x[0].std(0)]) for v in x]
+        beta = models.ridge_solve(x[0].T @ x[0], x[0].T @ np.array([r[5] for r in train]), alpha)
+        return x[1] @ beta, mean
+
+    mine = [r for r in rows if r[2] == "WR"]
+    errors = {}
+    for a in (0.1, 1.0, 10.0, 100.0, 1000.0):
+        for year in (2023, 2024):
+            held = [r for r in mine if r[1] == year]
+            errors.setdefault(a, []).extend(np.abs(fit([r for r in mine if r[1] < year], held, a)[0] - [r[5] for r in held]))
+    best = min(errors, key=lambda a: (np.mean(errors[a]), a))
+    held = [r for r in mine if r[1] == 2025]
+    want, mean = fit([r for r in mine if r[1] < 2025], held, best)
+    got = {r.entry_key: r for r in predictions.collect()}
+    assert set(got) == {r[0] for r in held} and {r.alpha for r in got.values()} == {best}
+    assert np.allclose([got[r[0]].prediction for r in held], want) and np.isclose(got["new"].historical_mean, mean)
+    by = {r.model_group: r for r in result.collect()}
+    assert by["QB"].status == "skipped_low_sample" and by["QB"].mae is None and by["QB"].signal_detected is None
+    assert by["WR"].signal_detected and np.isclose(by["WR"].mae, np.abs(want - [r[5] for r in held]).mean())
+
+
+def test_skipped_for_one_class(spark):
+    rows = fold_rows(spark, 30, [2021, 2022, 2023]).withColumn("label", F.lit(1))
+    status = {r.holdout_year: r.status for r in backtest.fold_status(backtest.folds(rows, [2022, 2023]), backtest.OBSERVABILITY, "label").collect()}
+    assert status == {2022: "skipped_low_sample", 2023: "skipped_low_train_class_count"}
