@@ -61,3 +61,52 @@ def test_every_sentence_holds_a_trigger():
 
 def test_empty(spark, docs):
     assert licences.scan(docs([])).collect() == []
+
+
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAME = """3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+ISC = """ISC License
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+
+
+def test_notices_as_they_are_printed(spark, docs):
+    texts = [GPL2, GPL3, LGPL, BSD, BSD + NAME, ISC, MPL, "This is free and unencumbered software released into the public domain."]
+    got = scan(docs, list(enumerate(texts)))
+    want = ["GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense"]
+    assert [got[i].licences for i in range(len(texts))] == want
+    assert got[0].sentences == "<gpl-terms><later-2><gpl-warranty><gpl-see><gpl-copy>"
