@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
+HEAVY = 1000  #: links of a node that meet in one task
+
 
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(
@@ -59,8 +61,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # A node without a smaller neighbour has nothing to tell its larger ones: they stay where they are, however many.
         inner = edges.select(F.col("u").alias("_u"))
         back = edges.join(inner, F.col("v") == F.col("_u"), "left_semi").select(F.col("v").alias("u"), F.col("u").alias("v"))
-        met = edges.unionByName(back).repartition("u").mapInArrow(_contract, edges.schema)
-        edges = materialize(met.distinct(), "stars")
+        both = edges.unionByName(back)
+        heavy = both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("low")).where(F.col("n") > HEAVY)
+        heavy = materialize(heavy.select(F.col("u").alias("_u"), F.least("u", "low").alias("low")), "heavy")
+        hung = None
+        if heavy.limit(1).count():
+            hung = both.join(heavy, F.col("u") == F.col("_u")).select(
+                F.explode(F.array(F.struct("v", "low"), F.struct(F.col("u").alias("v"), "low"))).alias("x")
+            )
+            hung = hung.select(F.col("x.v").alias("u"), F.col("x.low").alias("v")).where("u <> v")
+            both = both.join(heavy, F.col("u") == F.col("_u"), "left_anti")
+        met = both.repartition("u").mapInArrow(_contract, edges.schema)
+        edges = materialize((met.unionByName(hung) if hung is not None else met).distinct(), "stars")
         mark, last = _mark(edges), mark
         if mark == last or not mark[0]:
             break
