@@ -8,13 +8,10 @@ fingerprint. Equal sets give equal registers, the registers of a union are the m
 1. sketch every text (one pass, Arrow batches);
 2. collapse equal sets to their smallest id, so copies cost one row however many there are;
 3. band the registers; texts whose bands fall into common buckets get a common region;
-4. pack a region's registers and full shingle sets into blocks of bounded size and compare the texts of each block: pairs
-   that share a band and for which the joint likelihood of both sketches leaves the wanted similarity tenable are
-   confirmed on the sets, unless links already connect them. Only a spanning forest leaves the task;
-5. regions of several blocks are contracted; buckets that still hold several components are open. One text of each
-   component of an open bucket is compared with the bucket's hub, twice with other hubs, and the links are contracted. Only
-   texts whose buckets stay open after that are packed again and compared block by block, and only across components;
-6. contract all links to components.
+4. pack a region's registers and full shingle sets into blocks of bounded size and compare each pair of blocks in a task
+   of its own: pairs that share a band and for which the joint likelihood of both sketches leaves the wanted similarity
+   tenable are confirmed on the sets, unless links already connect them. Only a spanning forest leaves the task;
+5. contract the links to components.
 """
 
 from __future__ import annotations
@@ -24,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +35,7 @@ BASE = 1.001
 RATE = 20.0
 TOP = 65535
 DOUBT = 12.0  #: log-likelihood by which the wanted similarity may fall short of the best one
-BLOCK_BYTES = 1 << 20  #: shingles and registers in a block of the comparisons
-HUB_PAIRS = 256  #: texts that meet one copy of a hub's set
+BLOCK_BYTES = 1 << 20  #: shingles and registers in a block of the last comparison
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -185,14 +181,12 @@ def _set_batches(k: int):
 def _pack(table: pa.Table) -> pa.Table:
     """One row of a block's members."""
     sets = table.column("elements").to_pylist()
-    kind = table.schema.field("id").type
     return pa.table(
         {
             "area": table.column("area").slice(0, 1),
             "blocks": table.column("blocks").slice(0, 1),
             "block": table.column("block").slice(0, 1),
-            "ids": pa.array([table.column("id").to_pylist()], pa.list_(kind)),
-            "groups": pa.array([table.column("component").to_pylist()], pa.list_(kind)),
+            "ids": pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)),
             "sketches": pa.array([b"".join(table.column("sketch").to_pylist())], pa.binary()),
             "ends": pa.array([np.cumsum([len(x) // 8 for x in sets]).astype(np.int64).tobytes()], pa.binary()),
             "elements": pa.array([b"".join(sets)], pa.binary()),
@@ -202,7 +196,7 @@ def _pack(table: pa.Table) -> pa.Table:
 
 class _Block:
     def __init__(self, row: dict):
-        self.ids, self.groups = row["ids"], row["groups"]
+        self.ids = row["ids"]
         self.reg = np.frombuffer(row["sketches"], dtype=np.uint16).reshape(-1, M)
         self.bands = self.reg.view(np.uint64)
         self.end = np.frombuffer(row["ends"], dtype=np.int64)
@@ -213,23 +207,6 @@ class _Block:
         return self.elements[self.end[i] - self.n[i] : self.end[i]]
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of blocks, a row each."""
-    for batch in batches:
-        kind = batch.schema.field("ids").type.value_type
-        for row in batch.to_pylist():
-            block = _Block(row)
-            yield pa.record_batch(
-                [
-                    pa.array([row["area"]] * len(block.ids), pa.string()),
-                    pa.array(block.ids, kind),
-                    pa.array([x.tobytes() for x in block.reg], pa.binary()),
-                    pa.array([block.set_of(i).tobytes() for i in range(len(block.ids))], pa.binary()),
-                ],
-                names=["area", "id", "sketch", "elements"],
-            )
-
-
 def _similar(small: np.ndarray, large: np.ndarray, percent: int) -> bool:
     """The exact test on two sorted sets."""
     if len(small) > len(large):
@@ -240,14 +217,14 @@ def _similar(small: np.ndarray, large: np.ndarray, percent: int) -> bool:
 
 
 def _links(a: _Block, b: _Block, percent: int) -> Iterator[tuple[int, int]]:
-    """Links between two blocks, or within one, across components that nothing connects yet: a spanning forest of them.
+    """Links between two blocks, or within one, between texts that nothing connects yet: a spanning forest of them.
 
     A text meets the texts that share a band, the most similar ones first; those of its own component are left out, so in a
     tight group a text is tested about once.
     """
     number: dict = {}
-    mine = np.array([number.setdefault(x, len(number)) for x in a.groups], dtype=np.int64)
-    other = mine if a is b else np.array([number.setdefault(x, len(number)) for x in b.groups], dtype=np.int64)
+    mine = np.array([number.setdefault(x, len(number)) for x in a.ids], dtype=np.int64)
+    other = mine if a is b else np.array([number.setdefault(x, len(number)) for x in b.ids], dtype=np.int64)
     for u in range(len(a.ids)):
         end = u if a is b else len(b.ids)
         near = np.flatnonzero((b.bands[:end] == a.bands[u]).any(axis=1) & (other[:end] != mine[u]))
@@ -283,83 +260,6 @@ def _compare(percent: int):
     return run
 
 
-def _confirm(percent: int):
-    """Links among pairs of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            reg = [np.frombuffer(b"".join(batch.column(f"{x}_sketch").to_pylist()), dtype=np.uint16).reshape(-1, M) for x in "ab"]
-            sets = [[np.frombuffer(e, dtype=np.uint64) for e in batch.column(f"{x}_elements").to_pylist()] for x in "ab"]
-            n = [np.array([len(e) for e in of]) for of in sets]
-            ok = plausible(*reg, *n, percent / 100)
-            good = [i for i in np.flatnonzero(ok).tolist() if _similar(sets[0][i], sets[1][i], percent)]
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-    return run
-
-
-def _body() -> Column:
-    return F.struct("ids", "groups", "sketches", "ends", "elements")
-
-
-def _open_buckets(buckets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What ``links`` connect, and the rows of the buckets that still hold several components, with those components."""
-    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    now = buckets.select("area", "key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    now = materialize(now.withColumn("component", F.coalesce("component", "id")), "bucket-components")
-    mixed = now.groupBy("area", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = materialize(mixed.where("low <> high").select("area", "key"), "open")
-    left = now.join(mixed, ["area", "key"], "left_semi")
-    return groups.select(F.col("node").alias("a"), F.col("component").alias("b")), materialize(left, "open-buckets")
-
-
-def _across(large: DataFrame, buckets: DataFrame, links: DataFrame, kind: T.DataType, percent: int) -> DataFrame:
-    """Links within regions of several blocks, given those found inside the blocks and the regions' bucket rows."""
-    field = T.StructField
-    pair = T.StructType([field("a", kind), field("b", kind)])
-    member = T.StructType([field("area", T.StringType()), field("id", kind), field("sketch", T.BinaryType()), field("elements", T.BinaryType())])
-    texts = large.mapInArrow(tidy(_unpack), member)
-    for hub in (F.min, F.max):
-        links, buckets = _open_buckets(buckets, links)
-        if not buckets.limit(1).count():
-            return links
-        hubs = buckets.groupBy("area", "key").agg(hub(F.struct("component", "id")).alias("hub"))
-        ones = buckets.groupBy("area", "key", "component").agg(F.min("id").alias("b"))
-        pairs = ones.join(materialize(hubs, "hubs"), ["area", "key"]).where("component <> hub.component")
-        pairs = materialize(pairs.select("area", F.col("hub.id").alias("a"), "b").distinct(), "hub-pairs")
-        # A hub of many texts is copied for every HUB_PAIRS of them, and they are dealt over the copies.
-        dealt = pairs.groupBy("area", "a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts"))
-        dealt = materialize(dealt, "hubs-dealt")
-        left = pairs.join(dealt, ["area", "a"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-        left = left.join(texts.withColumnsRenamed({"id": "b", "sketch": "b_sketch", "elements": "b_elements"}), ["area", "b"])
-        right = texts.withColumnsRenamed({"id": "a", "sketch": "a_sketch", "elements": "a_elements"}).join(dealt, ["area", "a"])
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        met = left.join(right, ["area", "a", "salt"]).select("a", "b", "a_sketch", "b_sketch", "a_elements", "b_elements")
-        links = links.unionByName(materialize(met.mapInArrow(tidy(_confirm(percent)), pair), "hub-links"))
-    links, buckets = _open_buckets(buckets, links)
-    if not buckets.limit(1).count():
-        return links
-    # The rest: texts whose buckets hold components that no hub has joined.
-    rest = buckets.select("area", "id", "component").distinct().join(texts, ["area", "id"])
-    rest = materialize(rest, "rest")
-    cost = F.octet_length("elements").cast("long") + 2 * M
-    size = rest.groupBy("area").agg(F.ceil(F.sum(cost) / BLOCK_BYTES).cast("int").alias("blocks"))
-    rest = rest.join(materialize(size, "rest-sizes"), "area")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    packed = materialize(rest.groupBy("area", "block").applyInArrow(_pack, large.schema), "rest-blocks")
-    one = packed.select(
-        "area", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), _body().alias("one")
-    ).where("i < j")
-    two = packed.select(
-        "area", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), _body().alias("two")
-    ).where("i < j")
-    meetings = one.join(two, ["area", "i", "j"]).select("one", "two")
-    links = links.unionByName(packed.select(_body().alias("one")).mapInArrow(tidy(_compare(percent)), pair))
-    return links.unionByName(meetings.mapInArrow(tidy(_compare(percent)), pair))
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -406,8 +306,8 @@ def near_duplicates(
     cost = 8 * F.col("n") + 2 * M
     regions = members.groupBy("region").agg(F.sum(cost).alias("bytes"))
     regions = materialize(regions.withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")), "region-sizes")
-    small, most = regions.agg(F.sum(F.when(F.col("blocks") == 1, F.col("bytes"))), F.max("blocks")).first()
-    pools = max(1, math.ceil((small or 0) / BLOCK_BYTES))
+    small = regions.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
+    pools = max(1, math.ceil(small / BLOCK_BYTES))
     # Small regions are pooled, large ones cut into blocks.
     pool = F.concat(F.lit("pool "), F.pmod(F.xxhash64("region"), F.lit(pools)).cast("string"))
     place = regions.select(
@@ -419,28 +319,31 @@ def near_duplicates(
     )
     sets = T.StructType([T.StructField("id", kind), T.StructField("elements", T.BinaryType())])
     texts = rows.where("text is not null").join(members.select("id").distinct(), "id", "left_semi").distinct()
-    packed = members.join(texts.mapInArrow(tidy(_set_batches(k)), sets), "id").withColumn("component", F.col("id"))
+    packed = members.join(texts.mapInArrow(tidy(_set_batches(k)), sets), "id")
     row = T.StructType(
         [
             T.StructField("area", T.StringType()),
             T.StructField("blocks", T.IntegerType()),
             T.StructField("block", T.IntegerType()),
             T.StructField("ids", T.ArrayType(kind)),
-            T.StructField("groups", T.ArrayType(kind)),
             T.StructField("sketches", T.BinaryType()),
             T.StructField("ends", T.BinaryType()),
             T.StructField("elements", T.BinaryType()),
         ]
     )
     packed = materialize(packed.groupBy("area", "block").applyInArrow(_pack, row), "blocks")
+    body = F.struct("ids", "sketches", "ends", "elements")
+    large = packed.where("blocks > 1")
+    one = large.select(
+        "area", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), body.alias("one")
+    ).where("i < j")
+    two = large.select(
+        "area", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), body.alias("two")
+    ).where("i < j")
+    meetings = one.join(two, ["area", "i", "j"]).select("one", "two")
     pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    links = packed.where("blocks = 1").select(_body().alias("one")).mapInArrow(tidy(_compare(percent)), pair)
-    if most and most > 1:
-        large = packed.where("blocks > 1")
-        inner = materialize(large.select(_body().alias("one")).mapInArrow(tidy(_compare(percent)), pair), "block-links")
-        wide = place.where("blocks > 1").select("region", "area")
-        wide = buckets.select("key", "id").join(region, "key").join(wide, "region").select("area", "key", "id")
-        links = links.unionByName(_across(large, materialize(wide, "large-buckets"), inner, kind, percent))
+    links = packed.select(body.alias("one")).mapInArrow(tidy(_compare(percent)), pair)
+    links = links.unionByName(meetings.mapInArrow(tidy(_compare(percent)), pair))
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
