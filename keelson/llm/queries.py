@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licences, minhash, repeats, topk, toxicity, vectors, warc
+from . import bpe, chat, licences, minhash, repeats, runs, topk, toxicity, vectors, warc
 from .minhash import near_duplicates
 from .mixing import mix_sources
 
@@ -75,12 +75,52 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``documents`` of which a tenth, by a hash of their ids, repeat a stretch of their words to the end.
+
+    Null ids and texts, and texts without words, are left alone.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def rewritten(words: Column) -> Column:
+        n, g = F.size(words).cast("long"), F.floor(h / 10).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        at = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.transform(at, lambda i: F.get(words, i.cast("int"))), " ")).otherwise(F.lit(""))
+
+    # In an array of one element, as a lambda's variable is computed once.
+    words = F.array(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    text = F.when((h % 10 == 0) & F.col("text").isNotNull(), F.transform(words, rewritten)[0]).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which end in a repeated stretch, and what is left without repeats."""
+    found = runs.periodic_runs(with_periods(_table(spark, sf_dir, "documents")))
+    more = lambda x, best: x["length"] * best["period"] > best["length"] * x["period"]
+    # Runs stand by start, then period: of equal exponents the first stays.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, x: F.when(more(x, b), x).otherwise(b))
+    lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_minhash, op2_topk, op3_mixing, op4_chat, op5_warc, op6_bpe, op7_vectors, op8_toxicity,
-            op9_repeats, op10_licences,
+            op9_repeats, op10_licences, op13_runs,
         )
     }
 
@@ -94,4 +134,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_vectors": vectors.SQL,
         "op9_repeats": repeats.SQL,
         "op10_licences": licences.SQL,
+        "op13_runs": runs.SQL,
     }
