@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licences, minhash, repeats, runs, topk, toxicity, vectors, warc
+from . import bpe, chat, language, licences, minhash, repeats, runs, topk, toxicity, vectors, warc
 from .minhash import near_duplicates
 from .mixing import mix_sources
 
@@ -75,6 +75,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model learnt from rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """``documents`` of which a tenth, by a hash of their ids, repeat a stretch of their words to the end.
 
@@ -120,7 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_minhash, op2_topk, op3_mixing, op4_chat, op5_warc, op6_bpe, op7_vectors, op8_toxicity,
-            op9_repeats, op10_licences, op13_runs,
+            op9_repeats, op10_licences, op11_language, op13_runs,
         )
     }
 
