@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, licences, minhash, repeats, runs, topk, toxicity, vectors, warc
+from . import bpe, chat, language, licences, minhash, repeats, runs, topk, toxicity, trie, vectors, warc
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .scratch import materialize
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -81,6 +82,37 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def shared_beginnings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (as of ``trie.turns``) of conversations that begin like others: the first h of the conversation c - c % 5,
+    then their own turns after the first h, h being crc32(c) % 9. Also every conversation with its number of turns.
+    """
+    c = F.col("conv_id")
+    size = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    size = materialize(size.select("conv_id", "n", (c - c % 5).alias("base"), F.pmod(F.crc32(c.cast("string")), F.lit(9)).alias("h")), "trie-sizes")
+    bases = size.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    size = size.join(bases, "base", "left").withColumn("head", F.least("h", F.coalesce("base_n", F.lit(0))))
+    own = turns.join(size, "conv_id").where("depth > h")
+    own = own.select("conv_id", (F.col("depth") - F.col("h") + F.col("head")).alias("depth"), "turn_key", "n_bytes")
+    # At most eight turns of a conversation go to at most five others.
+    first = turns.where("depth <= 8").withColumnRenamed("conv_id", "base")
+    taken = first.join(size.select("conv_id", "base", "h"), "base").where("depth <= h").select("conv_id", "depth", "turn_key", "n_bytes")
+    n_turns = F.col("head") + F.greatest(F.col("n") - F.col("h"), F.lit(0))
+    return own.unionByName(taken), size.select("conv_id", n_turns.alias("n_turns"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, some of which begin alike, with the ids that end at each node."""
+    rows, members = shared_beginnings(materialize(trie.turns(_table(spark, sf_dir, "conversations")), "trie-own"))
+    rows, members = trie.prefixes(rows), materialize(members, "trie-members")
+    nodes = trie.prefix_trie(rows, members)
+    digests = trie.ends_digest(trie.ends(rows, members))
+    out = nodes.join(digests, ["depth", "p1", "p2"], "left")
+    return out.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """``documents`` of which a tenth, by a hash of their ids, repeat a stretch of their words to the end.
 
@@ -126,7 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_minhash, op2_topk, op3_mixing, op4_chat, op5_warc, op6_bpe, op7_vectors, op8_toxicity,
-            op9_repeats, op10_licences, op11_language, op13_runs,
+            op9_repeats, op10_licences, op11_language, op12_trie, op13_runs,
         )
     }
 
@@ -140,5 +172,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_vectors": vectors.SQL,
         "op9_repeats": repeats.SQL,
         "op10_licences": licences.SQL,
+        "op12_trie": trie.SQL,
         "op13_runs": runs.SQL,
     }
