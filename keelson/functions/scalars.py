@@ -1,62 +1,90 @@
-"""Scalar functions on columns: names, codes, numbers and keys. All stay in the JVM but for ``similarity`` and
-``fold_any``, which Spark has no function for."""
+"""Scalar functions on columns: names, codes, numbers and keys. All stay in the JVM but for ``similarity``, which Spark has
+no function for."""
 
 from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .constants import NICKNAMES, POSITION_GROUPS, PROBABILITY_FLOOR, SUFFIXES
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is named, and computed, once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _without_marks(x: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
 
 
-def _ranges(codes: list[int]) -> str:
-    """A character class of code points."""
+def _tables() -> tuple[dict[str, str], str, dict[str, str]]:
+    """Characters that compatibility decomposition makes one other character, none (marks), or several, marks left out.
+    Hangul syllables follow from a rule and are in none of them."""
+    one, several, none = {}, {}, []
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000 or _HANGUL <= code < _HANGUL + 11172:
+            continue
+        c = chr(code)
+        if (x := _without_marks(c)) == "":
+            none.append(c)
+        elif len(x) > 1:
+            several[c] = x
+        elif x != c:
+            one[c] = x
+    return one, "".join(none), several
+
+
+def _ranges(chars: list[str], gap: int = 256) -> str:
+    """A character class that holds at least these characters; from U+0500 on, up to ``gap`` others in between too."""
     runs: list[list[int]] = []
-    for c in codes:
-        if runs and runs[-1][1] == c - 1:
+    for c in sorted(map(ord, chars)):
+        if runs and c - runs[-1][1] <= (gap if c > 0x500 else 1):
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
 
 
-_CODES = [c for c in range(0x80, 0x1E000) if not 0xD800 <= c < 0xE000]
-#: Characters whose compatibility decomposition is one letter or digit of a-z, A-Z, 0-9 once marks are gone.
-_ONE = {chr(c): x for c in _CODES if len(x := _without_marks(chr(c))) == 1 and x.isascii() and x.isalnum()}
-#: Ligatures and other letters that stand for several.
-_SEVERAL = {chr(c): x for c in _CODES if chr(c).isalpha() and len(x := _without_marks(chr(c)).casefold()) > 1 and x.isascii() and x.isalpha()}
-_MARKS = _ranges([c for c in _CODES if unicodedata.combining(chr(c))])
+_HANGUL = 0xAC00
+_ONE, _NONE, _SEVERAL = _tables()
+#: ASCII is told by the first test of the class.
+_RARE = f"[\\x{{80}}-\\x{{10ffff}}&&[{_ranges([*_SEVERAL, chr(_HANGUL), chr(_HANGUL + 11171)], 12000)}]]"
+_LEAD, _VOWEL, _TAIL = ("".join(chr(a + i) for i in range(n)) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
 
-def fold(c: Column) -> Column:
-    """Letters without their marks, composed or not; ligatures as the letters they stand for. Texts of ASCII only, told by
-    their length in bytes, are left alone. Characters that are several but no letters (fractions) stay: ``fold_any``."""
-    several = c
-    for x, letters in _SEVERAL.items():
-        several = F.replace(several, F.lit(x), F.lit(letters))
-    whole = F.when(c.rlike("[" + "".join(_SEVERAL) + "]"), several).otherwise(c)
-    plain = F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), _MARKS, "")
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(plain)
+def _character(x: Column) -> Column:
+    """What one character that may stand for several decomposes to."""
+    at = F.instr(F.lit("".join(_SEVERAL)), x)
+    listed = F.get(F.split(F.lit("\x00".join(_SEVERAL.values())), "\x00"), at - 1)
+    syllable = F.ascii(x) - _HANGUL
+    tail = F.when(syllable % 28 > 0, F.substring(F.lit(_TAIL), syllable % 28, F.lit(1))).otherwise(F.lit(""))
+    lead = F.substring(F.lit(_LEAD), F.floor(syllable / 588).cast("int") + 1, F.lit(1))
+    vowel = F.substring(F.lit(_VOWEL), F.floor(syllable % 588 / 28).cast("int") + 1, F.lit(1))
+    hangul = (syllable >= 0) & (syllable < 11172)
+    return F.when(F.octet_length(x) == 1, x).when(hangul, F.concat(lead, vowel, tail)).when(at > 0, listed).otherwise(x)
 
 
-@F.pandas_udf(T.StringType())
-def fold_any(s: pd.Series) -> pd.Series:
-    """Any text without combining marks (compatibility decomposition)."""
-    return s.map(lambda x: None if x is None else _without_marks(x))
+def fold(c: Column) -> Column:
+    """Compatibility decomposition without marks, of all of Unicode (NFKD less its combining characters).
+
+    Texts of ASCII only, told by their length in bytes, are left alone. One ``translate`` covers all characters that become
+    one other or none. Only texts that may hold a character that becomes several are looked at one by one before.
+    """
+    each = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), _character), "")
+    whole = F.when(c.rlike(_RARE), each).otherwise(c)
+    plain = F.translate(whole, "".join(_ONE) + _NONE, "".join(_ONE.values()))
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(plain)
 
 
 def normalize_token(c: Column) -> Column:
-    """Folded, lower case, runs of anything but a-z and 0-9 one blank; null gives an empty text."""
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(fold(c)), "[^a-z0-9]+", " ")), F.lit(""))
+    """Folded, lower case, a sharp s as two, runs of anything but a-z and 0-9 one blank; null gives an empty text."""
+    return F.coalesce(F.trim(F.regexp_replace(F.replace(F.lower(fold(c)), F.lit("ß"), F.lit("ss")), "[^a-z0-9]+", " ")), F.lit(""))
 
 
 normalize_team = normalize_token
@@ -74,9 +102,12 @@ def _nickname_group(c: Column) -> Column:
 
 def first_name_alias(a: Column, b: Column) -> Column:
     """Equal or of one nickname group, on normalised names; empty names match nothing."""
-    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    same = F.coalesce(_nickname_group(a) == _nickname_group(b), F.lit(False))
-    return (a != "") & (b != "") & ((a == b) | same)
+
+    def match(p: Column) -> Column:
+        same = F.coalesce(_nickname_group(p["a"]) == _nickname_group(p["b"]), F.lit(False))
+        return (p["a"] != "") & (p["b"] != "") & ((p["a"] == p["b"]) | same)
+
+    return let(F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")), match)
 
 
 def _code(c: Column) -> Column:
@@ -84,18 +115,21 @@ def _code(c: Column) -> Column:
     return F.upper(F.replace(normalize_token(c), F.lit(" "), F.lit("")))
 
 
-def position_group(c: Column) -> Column:
-    """The group of a raw code; unknown codes are their own group."""
-    raw = _code(c)
+def _group(raw: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in POSITION_GROUPS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, raw), raw)
 
 
+def position_group(c: Column) -> Column:
+    """The group of a raw code; unknown codes are their own group."""
+    return let(_code(c), _group)
+
+
 def model_position_group(c: Column) -> Column:
     """Like ``position_group``, with kickers, punters and snappers apart; an empty code is OTHER."""
-    raw = _code(c)
-    return (
-        F.when(raw.isin("K", "PK"), F.lit("K")).when(raw.isin("P", "LS"), raw).when(raw == "", F.lit("OTHER")).otherwise(position_group(c))
+    return let(
+        _code(c),
+        lambda raw: F.when(raw.isin("K", "PK"), F.lit("K")).when(raw.isin("P", "LS"), raw).when(raw == "", F.lit("OTHER")).otherwise(_group(raw)),
     )
 
 

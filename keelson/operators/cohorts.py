@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.scalars import boolean, model_position_group
+from ..functions.scalars import boolean, let, model_position_group
 
 
 def first_reason(reasons: list[tuple[str, Column]]) -> Column:
@@ -20,23 +20,26 @@ def first_reason(reasons: list[tuple[str, Column]]) -> Column:
 
 def by_group(group: Column, columns: dict[str, str], prefix: str, have: list[str]) -> Column:
     """The value of the column that a row's group names; null for other groups and absent columns."""
-    c = F.lit(None).cast("double")
-    for g, name in columns.items():
-        if f"{prefix}{name}" in have:
-            c = F.when(group == g, F.col(f"{prefix}{name}").cast("double")).otherwise(c)
-    return c
+
+    def chosen(named: Column) -> Column:
+        c = F.lit(None).cast("double")
+        for g, name in columns.items():
+            if f"{prefix}{name}" in have:
+                c = F.when(named == g, F.col(f"{prefix}{name}").cast("double")).otherwise(c)
+        return c
+
+    return let(group, chosen)
 
 
 def with_targets(rows: DataFrame, position: str, targets: dict[str, str] = C.TARGETS) -> DataFrame:
     """Group, target metric, and the anchors before and after that the group's target names."""
-    group = model_position_group(F.col(position))
-    metric = F.lit(None).cast("string")
-    for g, t in targets.items():
-        metric = F.when(group == g, F.lit(t)).otherwise(metric)
+    # A column of its own, so that codes are folded once; each further column names it once.
+    rows = rows.withColumn("model_group", model_position_group(F.col(position)))
+    group = F.col("model_group")
+    table = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
     return rows.withColumns(
         {
-            "model_group": group,
-            "target_metric": metric,
+            "target_metric": F.try_element_at(table, group),
             "pre_anchor": by_group(group, targets, "pre_", rows.columns),
             "post_anchor": by_group(group, targets, "post_", rows.columns),
         }

@@ -99,6 +99,19 @@ def marked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", S.normalize_token(marked).alias("name"))
 
 
+_WIDE = {"a": ("½", "1⁄2"), "s": ("Ⅷ", "VIII"), "o": ("№", "No"), "e": ("㎏", "kg"), "i": ("⑩", "10"), "u": ("한", "\u1112\u1161\u11ab"), "d": ("ẞ", "ss")}
+_DECOMPOSED = "p_name"
+for _c, (_, _x) in _WIDE.items():
+    _DECOMPOSED = f"replace({_DECOMPOSED}, '{_c}', '{_x.upper()}')"
+
+
+@query("n01_n02_n05_compatibility", f"SELECT p_partkey, {NORM.format(_DECOMPOSED)} AS name, trim(regexp_replace({NORM.format(_DECOMPOSED)}, '(^| )(jr|sr|ii|iii|iv|v)$', '')) AS last_name FROM part")
+def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with characters that compatibility decomposition makes several."""
+    wide = F.translate("p_name", "".join(_WIDE), "".join(x for x, _ in _WIDE.values()))
+    return table(spark, sf_dir, "part").select("p_partkey", S.normalize_team(wide).alias("name"), S.normalize_last_name(wide).alias("last_name"))
+
+
 @query(
     "n06_n07_marked_codes",
     f"""SELECT p_partkey, {_GROUP} AS grp, CASE WHEN {_RAW} IN ('K', 'PK') THEN 'K' WHEN {_RAW} IN ('P', 'LS') THEN {_RAW}

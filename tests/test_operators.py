@@ -38,6 +38,16 @@ def test_alias(spark, a, b, want):
     assert one(spark, S.first_name_alias(F.lit(a), F.lit(b))) is want
 
 
+def test_all_of_unicode_folds_as_by_decomposition(spark):
+    """Every code point between two letters: all that Unicode decomposes, marks and Hangul included."""
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    got = spark.createDataFrame([(f"a{c}b",) for c in chars], "c string").select("c", S.fold(F.col("c")).alias("f")).toPandas()
+    want = ["".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in got["c"]]
+    assert len(want) == len(chars) and got["f"].tolist() == want
+
+
 @pytest.mark.parametrize("code, group, model", [("fb", "RB", "RB"), ("PK", "PK", "K"), ("K", "ST", "K"), ("LS", "ST", "LS"), ("", "", "OTHER"), ("Q B", "QB", "QB"), ("XX", "XX", "XX")])
 def test_groups(spark, code, group, model):
     assert one(spark, S.position_group(F.lit(code))) == group
@@ -67,7 +77,7 @@ def test_other_parsers(spark):
     with pytest.raises(Exception, match="empty part"):
         one(spark, S.feature_name(F.lit("pre"), F.lit("--")))
     assert one(spark, S.similarity(F.lit("abcd"), F.lit("bcde"))) == 0.75 and one(spark, S.similarity(F.lit(""), F.lit("a"))) == 0.0
-    assert one(spark, S.fold_any(F.lit("ﬁn é"))) == "fin e"
+    assert one(spark, S.fold(F.lit("ﬁn é ½"))) == "fin e 1⁄2"
     assert one(spark, S.sigmoid(F.lit(-1000.0))) == 1e-9 and one(spark, S.sigmoid(F.lit(0.0))) == 0.5
 
 
