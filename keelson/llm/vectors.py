@@ -14,15 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .graph import components
 from .scratch import materialize
 
 UNIT = 2048  #: vectors that a unit owns, about
 PIVOTS = 1024  #: at most; more cells than that are units of the same pivot
+MEETINGS = 1 << 20  #: pairs of a vector and a unit that are looked at at once
 SLACK = 1e-7  #: of distances and of cosines that are computed again one by one
 
 
@@ -42,43 +44,56 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
 
 
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each length of vector."""
+    lengths = np.diff(np.frombuffer(batch.column("v").buffers()[1], dtype=np.int32)[batch.column("v").offset :][: batch.num_rows + 1]) // 8
+    for length in np.unique(lengths).tolist():
+        yield length, batch.take(pa.array(np.flatnonzero(lengths == length)))
+
+
 def _assign(pivots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pivots.value
         for batch in batches:
-            if batch.num_rows:
-                cell = (_matrix(batch.column("v")) @ p.T).argmax(axis=1)
-                yield pa.record_batch([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
+            for length, part in _by_length(batch):
+                first, p = pivots.value[length]
+                cell = first + (_matrix(part.column("v")) @ p.T).argmax(axis=1)
+                yield pa.record_batch([*part.columns, pa.array(cell, pa.int32())], names=[*part.schema.names, "cell"])
 
     return run
 
 
 def _replicate(pivots, units, reach: float):
-    """Rows of each unit's own vectors and of the vectors that it may find outside, in cyclic order of units."""
+    """Rows of each unit's own vectors and of the vectors that it may find outside, in cyclic order of the units of
+    vectors of the same length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, (first, of) = pivots.value, units.value
-        n = len(of)
-        half = n // 2
+        first, of = units.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column("v"))
-            cell, key = batch.column("cell").to_numpy(), batch.column("id").to_numpy()
-            d = np.sqrt(np.maximum(2 - 2 * (v @ p.T), 0))
-            own = first[cell] + (key.view(np.uint64) >> np.uint64(7)).astype(np.int64) % np.diff(np.append(first, n))[cell]
-            near = (d <= d[np.arange(len(v)), cell][:, None] + 2 * reach + SLACK)[:, of]
-            ahead = (np.arange(n)[None, :] - own[:, None]) % n
-            # Of two units the one up to half a turn ahead meets the other's vectors; opposite ones are told apart by number.
-            meets = (ahead > 0) & ((ahead < (n + 1) // 2) | ((n % 2 == 0) & (ahead == half) & (own[:, None] < half)))
-            row, unit = np.nonzero(near & meets)
-            for take, to, guest in ((np.arange(len(v)), own, False), (row, unit, True)):
-                for a in range(0, len(take), 4096):
-                    part = batch.select(["id", "n", "v"]).take(pa.array(take[a : a + 4096]))
-                    yield pa.record_batch(
-                        [*part.columns, pa.array(to[a : a + 4096], pa.int32()), pa.array(np.full(part.num_rows, guest))],
-                        names=["id", "n", "v", "unit", "guest"],
-                    )
+            for length, same in _by_length(batch):
+                cells, p = pivots.value[length]
+                begin, end = (int(np.searchsorted(of, c)) for c in (cells, cells + len(p)))
+                n = end - begin
+                # So many rows at once that a table of rows and units stays small.
+                step = max(1, MEETINGS // n)
+                for at in range(0, same.num_rows, step):
+                    some = same.slice(at, step)
+                    v = _matrix(some.column("v"))
+                    cell, key = some.column("cell").to_numpy() - cells, some.column("id").to_numpy()
+                    d = np.sqrt(np.maximum(2 - 2 * (v @ p.T), 0))
+                    local = first[cells : cells + len(p)] - begin
+                    own = local[cell] + (key.view(np.uint64) >> np.uint64(7)).astype(np.int64) % np.diff(np.append(local, n))[cell]
+                    near = (d <= d[np.arange(len(v)), cell][:, None] + 2 * reach + SLACK)[:, of[begin:end] - cells]
+                    ahead = (np.arange(n)[None, :] - own[:, None]) % n
+                    # Of two units the one up to half a turn ahead meets the other's vectors; opposite ones are told apart by number.
+                    meets = (ahead > 0) & ((ahead < (n + 1) // 2) | ((n % 2 == 0) & (ahead == n // 2) & (own[:, None] < n // 2)))
+                    row, unit = np.nonzero(near & meets)
+                    for take, to, guest in ((np.arange(len(v)), own, False), (row, unit, True)):
+                        for a in range(0, len(take), 4096):
+                            part = some.select(["id", "n", "v"]).take(pa.array(take[a : a + 4096]))
+                            yield pa.record_batch(
+                                [*part.columns, pa.array(begin + to[a : a + 4096], pa.int32()), pa.array(np.full(part.num_rows, guest))],
+                                names=["id", "n", "v", "unit", "guest"],
+                            )
 
     return run
 
@@ -179,6 +194,12 @@ def _join(cosine: float):
     return run
 
 
+def _within(cells: dict[int, int], length: Column, turn: Column) -> Column:
+    if not cells:
+        return F.lit(False)
+    return turn <= F.create_map(*[F.lit(x) for pair in cells.items() for x in pair])[length.cast("int")]
+
+
 def similar_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, seed: int = 3
 ) -> DataFrame:
@@ -186,8 +207,8 @@ def similar_vectors(
     reachable over links, itself included) and ``kept``.
 
     Rows of one direction are collapsed first, so copies cost one vector however many there are. Vectors that are null,
-    empty, zero or hold null or non-finite components link with nothing; all others must have one length. Rows with a
-    null id count as neighbours but have a null component and are kept. Rows of the same id are separate rows of one
+    empty, zero or hold null or non-finite components link with nothing; others only with vectors of their own length,
+    which have pivots and cells of their own (at least one for each length that occurs). Rows with a null id count as neighbours but have a null component and are kept. Rows of the same id are separate rows of one
     node. An empty table gives an empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -204,20 +225,25 @@ def similar_vectors(
         .select(F.col("hi").alias("id"), "lo", "n", "first", "v")
     )
     classes = materialize(classes, "directions")
-    total = classes.count()
-    cells = min(PIVOTS, max(1, math.ceil(total / UNIT)))
-    picked = classes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(cells).select("v").collect()
-    if not picked:
-        picked_matrix = np.zeros((1, 1))
-    else:
-        picked_matrix = np.stack([np.frombuffer(bytes(r.v), dtype=np.float64) for r in picked])
-    pivots = spark.sparkContext.broadcast(picked_matrix)
+    sizes = dict(classes.groupBy((F.octet_length("v") / 8).cast("int").alias("length")).count().collect())
+    total = sum(sizes.values())
+    # Cells in proportion to the vectors of each length.
+    cells = {k: max(1, min(PIVOTS * n // total, math.ceil(n / UNIT))) for k, n in sorted(sizes.items())}
+    length = F.octet_length("v") / 8
+    turn = F.row_number().over(Window.partitionBy(length).orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
+    picked = classes.select("v", turn.alias("turn")).where(F.col("turn") <= PIVOTS).where(_within(cells, length, F.col("turn"))).collect()
+    table, first = {}, 0
+    for k, n in cells.items():
+        rows_of = sorted((r.turn, bytes(r.v)) for r in picked if len(r.v) == 8 * k)
+        table[k] = (first, np.stack([np.frombuffer(v, dtype=np.float64) for _, v in rows_of]))
+        first += n
+    pivots = spark.sparkContext.broadcast(table)
     placed = T.StructType([*classes.select("id", "n", "v").schema.fields, T.StructField("cell", T.IntegerType())])
     placed = materialize(classes.select("id", "n", "v").mapInArrow(_assign(pivots), placed), "cells")
-    counts = dict(placed.groupBy("cell").count().collect())  # a row for each of the at most PIVOTS cells
-    parts = [max(1, math.ceil(counts.get(c, 0) / UNIT)) for c in range(len(picked_matrix))]
+    counts = dict(placed.groupBy("cell").count().collect())  # a row for each cell
+    parts = [max(1, math.ceil(counts.get(c, 0) / UNIT)) for c in range(first)]
     of = np.repeat(np.arange(len(parts)), parts)
-    units = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(parts)[:-1]]), of))
+    units = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(parts)[:-1]]).astype(np.int64), of))
     sent = T.StructType(
         [
             *classes.select("id", "n", "v").schema.fields,

@@ -81,7 +81,7 @@ def link_brute(rows, cosine):
 
     for a in ok:
         for b in ok:
-            if a < b and ok[a] @ ok[b] >= cosine:
+            if a < b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= cosine:
                 n[a] += 1
                 n[b] += 1
                 groups[find(a)] = find(b)
@@ -102,6 +102,22 @@ def test_links_and_components(spark, monkeypatch, unit):
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("unit, meetings", [(2048, 1 << 20), (7, 5)])
+def test_vectors_of_unequal_length(spark, monkeypatch, unit, meetings):
+    """Lengths that average to another one, a length of a single row, and more units than are looked at at once."""
+    monkeypatch.setattr(vectors, "UNIT", unit)
+    monkeypatch.setattr(vectors, "MEETINGS", meetings)
+    rng = np.random.default_rng(4)
+    rows = []
+    for length in (2, 3, 4, 5):
+        for _ in range(30):
+            x = rng.normal(size=length)
+            rows += [(len(rows), x.tolist()), (len(rows) + 1, (x + rng.normal(size=length) * 0.1).tolist())]
+    rows += [(len(rows), [1.0]), (len(rows) + 1, [3.0] * 7), *ODD]
+    got = vectors.similar_vectors(frame(spark, rows), cosine=0.9).collect()
+    assert sorted((repr(r.vec_id), r.n_links, r.component_id) for r in got) == link_brute(rows, 0.9)
+
+
 def test_no_vectors(spark):
     assert vectors.similar_vectors(frame(spark, [])).collect() == []
     got = vectors.similar_vectors(frame(spark, ODD)).collect()
