@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.constants import PROBABILITY_FLOOR
 from ..sources.scratch import materialize
 from . import models
+from .medians import medians
 
 
 def regression(rows: DataFrame, by: list[str], actual: str, predicted: str) -> DataFrame:
@@ -142,10 +143,13 @@ def wins(rows: DataFrame, by: list[str], model: str, baseline: str) -> DataFrame
 def preprocess(rows: DataFrame, train: DataFrame, by: list[str], columns: list[str], flags: bool = True) -> DataFrame:
     """Median-imputed, standardised features (and missing flags) from statistics of the training rows only.
 
-    Medians are exact, 0 where all are missing; deviations are of the population, 1 where they vanish. Statistics are one
-    row per group, joined to the rows.
+    Medians are exact in groups of any size (``medians``), 0 where all are missing; deviations are of the population, 1
+    where they vanish. Statistics are one row per group, joined to the rows.
     """
-    med = train.groupBy(*by).agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"_m_{c}") for c in columns])
+    # Written, as each round of the medians reads it.
+    train = materialize(train.select(*by, *columns), "train")
+    med = medians(train, by, columns)
+    med = materialize(med.withColumns({f"_m_{c}": F.coalesce(f"_m_{c}", F.lit(0.0)) for c in columns}), "medians")
     full = train.join(med, by)
     stats = full.groupBy(*by).agg(
         *[F.avg(F.coalesce(c, f"_m_{c}")).alias(f"_a_{c}") for c in columns],
