@@ -1,7 +1,8 @@
 """Rolling-origin evaluation: folds are rows, not loops.
 
-A fold trains on all seasons before its holdout year. Folds come from a join with a short table of years; inner validation
-years and the grid of penalties are further short tables, so that all fits of an evaluation are one Spark job.
+A fold trains on all seasons before its holdout year. Ridge fits of all folds, inner validation years and penalties come
+from sums over seasons (``windows``). Where a fit needs the rows themselves (logistic models, predictors that are encoded in
+each fold), folds come from a join with a short table of years; inner years and penalties are further short tables.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..functions import constants as C
 from ..sources.scratch import materialize
 from . import metrics as M
 from . import models
+from . import windows as W
 
 
 @dataclass(frozen=True)
@@ -90,11 +92,46 @@ def _vectors(folded: DataFrame, keys: list[str], columns: list[str], flags: bool
 Prepare = Callable[[DataFrame, list[str]], DataFrame]
 
 
-def choose_alpha(rows: DataFrame, years: list[int], columns: list[str], target: str, gates: Gates, flags: bool = True,
-                 grid: tuple[float, ...] = C.RIDGE_GRID, default: float = C.RIDGE_DEFAULT, keys: tuple[str, ...] = ("model_group",),
-                 prepare: Prepare | None = None) -> DataFrame:
+def seasons_of(rows: DataFrame) -> list[int]:
+    """All seasons of the rows, in order: as many numbers as there are calendar years."""
+    return sorted(r[0] for r in rows.select(F.col("season").cast("int")).where("season is not null").distinct().collect())
+
+
+def _chosen_by_windows(rows: DataFrame, inner: list[int], outer: DataFrame, years: list[int], columns: W.Predictors, target: str, gates: Gates,
+                       flags: bool, grid: tuple[float, ...], default: float) -> DataFrame:
+    """The fit of each row of ``outer`` (``model_group``, ``year``): ``train_rows``, ``shift``, ``alpha`` and ``model``."""
+    fitted = materialize(W.fit(rows, sorted({*inner, *years}), columns, target, grid, flags), "window-fits")
+    found = W.errors(rows, fitted.where(F.col("year").isin(inner)), columns, target, grid)
+    alpha = W.choose(found, outer, grid, default, gates.inner_train, gates.inner_valid)
+    best = F.filter("models", lambda m: m["alpha"] == F.col("alpha"))[0]
+    return fitted.join(alpha, ["model_group", "year"]).select("model_group", "year", "train_rows", "shift", "alpha", best.alias("model"))
+
+
+def rolling_ridge(rows: DataFrame, years: list[int], columns: W.Predictors, target: str, prior: str | None, gates: Gates = ROLLING,
+                  flags: bool = True, grid: tuple[float, ...] = C.RIDGE_GRID, default: float = C.RIDGE_DEFAULT) -> DataFrame:
+    """Predictions of holdout rows of evaluated folds with both baselines.
+
+    For each outer year the penalty is chosen on all earlier seasons of the data. ``columns`` are predictors of all groups
+    or of each group by name. Fits come from sums over seasons (``windows``): no row is copied for a fold or a penalty.
+    """
+    rows = materialize(rows, "fold-rows")
+    folded = folds(rows, years)
+    status = fold_status(folded, gates)
+    held = baselines(folded, status, target, prior)
+    outer = status.where("status = 'evaluated'").select(F.col("model_group").cast("string"), F.col("holdout_year").cast("int").alias("year"))
+    outer = materialize(outer, "evaluated")
+    inner = [y for y in seasons_of(rows) if y < max(years)]
+    fit = _chosen_by_windows(rows, inner, outer, years, columns, target, gates, flags, grid, default)
+    fit = fit.select(F.col("model_group"), F.col("year").alias("holdout_year"), "shift", "alpha", "model")
+    hold = held.withColumn("_x", W.vector(columns)).join(fit, ["holdout_year", "model_group"])
+    prediction = W.predict(F.col("_x"), F.col("shift"), F.col("model"), W.width(columns))
+    return hold.select("entry_key", "holdout_year", "model_group", target, "historical_mean", "returning", "alpha", prediction.alias("prediction"))
+
+
+def _choose_alpha_prepared(past: DataFrame, years: list[int], columns: list[str], target: str, gates: Gates, flags: bool, grid: tuple[float, ...],
+                           default: float, keys: tuple[str, ...], prepare: Prepare) -> DataFrame:
     """The penalty of lowest pooled MAE over expanding inner years, per key; the default where no inner year qualifies."""
-    inner = folds(rows, years)
+    inner = folds(past, years)
     group = [*keys, "holdout_year"]
     counts = inner.groupBy(*group).agg(
         F.sum((F.col("part") == "train").cast("long")).alias("t"), F.sum((F.col("part") == "holdout").cast("long")).alias("v")
@@ -102,7 +139,7 @@ def choose_alpha(rows: DataFrame, years: list[int], columns: list[str], target:
     good = counts.where((F.col("t") >= gates.inner_train) & (F.col("v") >= gates.inner_valid)).select(*group)
     inner = inner.join(good, group, "left_semi")
     # Folds and vectors are written: the statistics, the fits and the scores each read them again.
-    inner = materialize(prepare(inner, group) if prepare else inner, "inner-folds")
+    inner = materialize(prepare(inner, group), "inner-folds")
     inner = materialize(_vectors(inner, group, columns, flags).select(*group, "part", "x", target), "inner-vectors")
     tried = inner.where("part = 'train'").withColumn("_try", F.explode(F.array(*[F.lit(a) for a in grid])))
     beta = models.fit_ridge(tried, group, "x", target, F.col("_try"))
@@ -110,17 +147,14 @@ def choose_alpha(rows: DataFrame, years: list[int], columns: list[str], target:
     error = F.abs(models.dot(F.col("x"), F.col("beta")) - F.col(target))
     pooled = scored.groupBy(*keys, "alpha").agg(F.avg(error).alias("mae"))
     best = M.best_of_grid(pooled, list(keys), "alpha", "mae")
-    everyone = rows.select(*keys).distinct()
+    everyone = past.select(*keys).distinct()
     return everyone.join(best, list(keys), "left").withColumn("alpha", F.coalesce("alpha", F.lit(default)))
 
 
-def rolling_ridge(rows: DataFrame, years: list[int], columns: list[str], target: str, prior: str | None, gates: Gates = ROLLING,
-                  flags: bool = True, default: float = C.RIDGE_DEFAULT, prepare: Prepare | None = None) -> DataFrame:
-    """Predictions of holdout rows of evaluated folds with both baselines.
-
-    For each outer year the penalty is chosen on earlier seasons only. ``prepare`` is applied to every fold anew, inner ones
-    included.
-    """
+def rolling_ridge_prepared(rows: DataFrame, years: list[int], columns: list[str], target: str, prior: str | None, prepare: Prepare, gates: Gates = ROLLING,
+                           flags: bool = True, grid: tuple[float, ...] = C.RIDGE_GRID, default: float = C.RIDGE_DEFAULT) -> DataFrame:
+    """As ``rolling_ridge``, for predictors that ``prepare`` learns from every fold's training rows anew, inner folds
+    included. Such predictors differ from fold to fold, so here folds are rows."""
     rows = materialize(rows, "fold-rows")
     folded = folds(rows, years)
     status = fold_status(folded, gates)
@@ -129,10 +163,10 @@ def rolling_ridge(rows: DataFrame, years: list[int], columns: list[str], target:
     folded = folded.join(good, ["holdout_year", "model_group"], "left_semi")
     outer = ["holdout_year", "model_group"]
     past = folded.where("part = 'train'").withColumnRenamed("holdout_year", "outer_year").drop("part")
-    seasons = [y for y in range(min(years) - 10, max(years))]
-    alpha = choose_alpha(past, seasons, columns, target, gates, flags, default=default, keys=("outer_year", "model_group"), prepare=prepare)
+    seasons = [y for y in seasons_of(rows) if y < max(years)]
+    alpha = _choose_alpha_prepared(past, seasons, columns, target, gates, flags, grid, default, ("outer_year", "model_group"), prepare)
     alpha = alpha.select(F.col("outer_year").alias("holdout_year"), "model_group", "alpha")
-    folded = materialize(prepare(folded, outer) if prepare else folded, "folds")
+    folded = materialize(prepare(folded, outer), "folds")
     vectors = materialize(_vectors(folded, outer, columns, flags).select("entry_key", *outer, "part", "x", target), "vectors")
     alpha = materialize(alpha, "alpha")
     train = vectors.where("part = 'train'").join(alpha.withColumnRenamed("alpha", "_try"), outer)
@@ -176,7 +210,7 @@ def negative_control(panel: DataFrame, year: int, columns: list[str], key: str,
     outer = ["holdout_year", "model_group"]
     columns = ["signal", *columns]
     panel = materialize(panel, "panel")
-    predictions = rolling_ridge(panel, [year], columns, target, None, gates, flags=False, default=min(C.RIDGE_GRID), prepare=encode)
+    predictions = rolling_ridge_prepared(panel, [year], columns, target, None, encode, gates, flags=False, default=min(C.RIDGE_GRID))
     predictions = materialize(predictions.drop("returning"), "control")
     model = M.regression(predictions, outer, target, "prediction")
     mean = M.regression(predictions, outer, target, "historical_mean").select(*outer, F.col("mae").alias("baseline_mae"))
@@ -193,11 +227,11 @@ def rolling_logistic(rows: DataFrame, years: list[int], columns: list[str], labe
     outer = ["holdout_year", "model_group"]
     rows = materialize(rows, "fold-rows")
     folded = folds(rows, years)
-    good = fold_status(folded, gates, label).where("status = 'evaluated'").select(*outer)
+    good = materialize(fold_status(folded, gates, label).where("status = 'evaluated'").select(*outer), "evaluated")
     folded = folded.join(good, outer, "left_semi")
-    past = folded.where("part = 'train'").withColumnRenamed("holdout_year", "outer_year").drop("part")
-    inner = folds(past, [y for y in range(min(years) - 10, max(years))])
-    group = ["outer_year", "model_group", "holdout_year"]
+    # An inner year trains on all seasons before it, whichever outer year it is for: inner folds are shared.
+    inner = folds(rows, [y for y in seasons_of(rows) if y < max(years)])
+    group = ["model_group", "holdout_year"]
     train = (F.col("part") == "train").cast("long")
     counts = inner.groupBy(*group).agg(
         F.sum(train).alias("t"), F.sum(1 - train).alias("v"), F.sum(train * F.col(label)).alias("p"), F.sum(train * (1 - F.col(label))).alias("q")
@@ -210,8 +244,10 @@ def rolling_logistic(rows: DataFrame, years: list[int], columns: list[str], labe
     beta = _fit_grid(tried, group, label)
     scored = inner.where("part = 'holdout'").join(beta, group)
     p = M.clamp(1 / (1 + F.exp(-models.dot(F.col("x"), F.col("beta")))))
-    pooled = scored.groupBy("outer_year", "model_group", "l2").agg(F.avg((p - F.col(label)) * (p - F.col(label))).alias("brier"))
-    best = M.best_of_grid(pooled, ["outer_year", "model_group"], "l2", "brier").withColumnRenamed("outer_year", "holdout_year")
+    scored = scored.groupBy("model_group", F.col("holdout_year").alias("_inner"), "l2").agg(F.sum((p - F.col(label)) * (p - F.col(label))).alias("_s"), F.count("*").alias("_n"))
+    pooled = good.join(scored, "model_group").where(F.col("_inner") < F.col("holdout_year"))
+    pooled = pooled.groupBy(*outer, "l2").agg((F.sum("_s") / F.sum("_n")).alias("brier"))
+    best = M.best_of_grid(pooled, outer, "l2", "brier")
     vectors = materialize(_vectors(materialize(folded, "folds"), outer, columns, True), "vectors")
     best = materialize(best, "penalties")
     train = vectors.where("part = 'train'").join(best.select(*outer, "l2"), outer, "left").withColumn("l2", F.coalesce("l2", F.lit(default)))
@@ -247,12 +283,15 @@ def _fit_grid(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     return models.fit_logistic(t, [*by, "l2"], "x", label, "_l2")
 
 
-def final_fit(train: DataFrame, score: DataFrame, years: list[int], columns: list[str], target: str, gates: Gates = ROLLING) -> DataFrame:
+def final_fit(train: DataFrame, score: DataFrame, years: list[int], columns: W.Predictors, target: str, gates: Gates = ROLLING,
+              grid: tuple[float, ...] = C.RIDGE_GRID, default: float = C.RIDGE_DEFAULT) -> DataFrame:
     """Fit each group on all training rows, with a penalty chosen on expanding years, and score other rows; groups without
-    training rows are absent."""
-    alpha = choose_alpha(train, years, columns, target, gates).select("model_group", F.col("alpha").alias("_try"))
-    both = train.withColumn("part", F.lit("train")).unionByName(score.withColumn("part", F.lit("holdout")), allowMissingColumns=True)
-    vectors = _vectors(both, ["model_group"], columns, True)
-    beta = models.fit_ridge(vectors.where("part = 'train'").join(alpha, "model_group"), ["model_group"], "x", target, F.col("_try"))
-    rows = vectors.where("part = 'holdout'").join(beta, "model_group")
-    return rows.select("entry_key", "season", "model_group", "alpha", "train_rows", models.dot(F.col("x"), F.col("beta")).alias("prediction"))
+    training rows are absent. ``columns`` are predictors of all groups or of each group by name."""
+    train = materialize(train, "final-train")
+    last = max([*seasons_of(train), *years], default=0) + 1
+    outer = train.select(F.col("model_group").cast("string")).distinct().withColumn("year", F.lit(last))
+    fit = _chosen_by_windows(train, years, outer, [last], columns, target, gates, True, grid, default)
+    fit = fit.select("model_group", "train_rows", "shift", "alpha", "model")
+    rows = score.withColumn("_x", W.vector(columns)).join(fit, "model_group")
+    prediction = W.predict(F.col("_x"), F.col("shift"), F.col("model"), W.width(columns))
+    return rows.select("entry_key", "season", "model_group", "alpha", "train_rows", prediction.alias("prediction"))

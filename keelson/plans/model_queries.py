@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import backtest as B
 from ..operators import metrics as M
 from ..operators import models
+from ..operators import windows as W
+from ..operators.medians import expanding_medians
 from . import base
 from .entity_queries import control_rows
 from .registry import query, table
 
 YEARS = [1998, 1999, 2000]
 COLUMNS = ["pre_amt", "pre_cnt", "rating"]
+#: Predictors of each group, of different number and order.
+OWN = {"BUILDING": ["pre_amt", "rating"], "AUTOMOBILE": ["pre_cnt"], "MACHINERY": ["rating", "pre_cnt", "pre_amt"], "HOUSEHOLD": ["pre_cnt", "pre_amt"]}
 
 _PROB = """s AS (
   SELECT d.doc_id, d.lang, l.quality AS y, round(1 / (1 + exp(-(d.n_chars - 2000) / 1500.0)), 3) AS p FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL
@@ -147,6 +151,72 @@ def rolling_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.evaluate(B.rolling_ridge(base.modelling(spark, sf_dir), YEARS, COLUMNS, "target", "prior"), "target")
 
 
+_SEASONS = ", ".join(f"({y})" for y in range(1992, 2004))
+
+
+@query(
+    "a08_m01_window_medians",
+    f"""WITH {base.MODEL_SQL}, y(year) AS (VALUES {_SEASONS}) SELECT model_group, year, {', '.join(f'round(median({c}), 6) AS {c}' for c in COLUMNS)}
+    FROM m JOIN y ON season < year GROUP BY ALL""",
+)
+def window_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of all expanding windows of each group, from counts that the windows share."""
+    t = expanding_medians(base.modelling(spark, sf_dir), ["model_group"], [F.col(c) for c in COLUMNS], "season", list(range(1992, 2004)))
+    return t.select("model_group", "year", *[F.round(F.get("medians", F.lit(i)), 6).alias(c) for i, c in enumerate(COLUMNS)])
+
+
+@query(
+    "e02_own_vectors",
+    f"""WITH {base.MODEL_SQL} SELECT entry_key, CASE model_group {' '.join(f"WHEN '{g}' THEN [{', '.join(f'CAST({c} AS DOUBLE)' for c in cs)}]" for g, cs in OWN.items())} END AS x FROM m""",
+)
+def own_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group's own predictors in its own order, missing ones as null."""
+    return base.modelling(spark, sf_dir).select("entry_key", W.vector(OWN).alias("x"))
+
+
+@query(
+    "e02_own_moments",
+    f"""WITH {base.MODEL_SQL}, x AS (
+      SELECT *, CASE model_group WHEN 'BUILDING' THEN pre_amt WHEN 'AUTOMOBILE' THEN pre_cnt WHEN 'MACHINERY' THEN rating ELSE pre_cnt END AS p FROM m
+    ) SELECT model_group, season, count(*) AS n, round(sum(coalesce(p, 0) - CASE WHEN p IS NULL THEN 0 ELSE 10 END), 2) AS sum_v, round(min(p) - 10, 2) AS low, round(max(p) - 10, 2) AS high
+    FROM x GROUP BY ALL""",
+)
+def own_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each group and season that all windows are made of; here the first predictor's, shifted by 10."""
+    rows = base.modelling(spark, sf_dir)
+    shifts = rows.select("model_group").distinct().withColumn("shift", F.array(*[F.lit(10.0)] * W.width(OWN)))
+    t = W.moments(rows, shifts, OWN, "target")
+    one = lambda c, i: F.round(F.get(c, F.lit(i)), 2)
+    return t.select("model_group", "season", "n", one("products", 1).alias("sum_v"), one("low", 0).alias("low"), one("high", 0).alias("high"))
+
+
+@query("e02_own_predictors")
+def own_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``e02_rolling_ridge`` with each group's own predictors, all groups in one plan."""
+    return B.evaluate(B.rolling_ridge(base.modelling(spark, sf_dir), YEARS, OWN, "target", "prior"), "target")
+
+
+_ONE = {"BUILDING": "pre_amt", "AUTOMOBILE": "rating", "MACHINERY": "pre_cnt", "HOUSEHOLD": "rating"}
+
+
+@query(
+    "e02_m03_one_predictor",
+    f"""WITH {_FOLDS}, x AS (
+      SELECT f.*, CASE model_group {' '.join(f"WHEN '{g}' THEN {c}" for g, c in _ONE.items())} END AS p FROM f JOIN st2 USING (holdout_year, model_group) WHERE status = 'evaluated'
+    ), d AS (SELECT holdout_year, model_group, coalesce(median(p), 0) AS med FROM x WHERE train GROUP BY ALL),
+    i AS (SELECT x.*, coalesce(p, med) AS v FROM x JOIN d USING (holdout_year, model_group)),
+    s AS (SELECT holdout_year, model_group, avg(v) AS a, CASE WHEN stddev_pop(v) < 1e-12 THEN 1 ELSE stddev_pop(v) END AS sd, avg(target) AS ty, count(*) AS n FROM i WHERE train GROUP BY ALL),
+    b AS (SELECT holdout_year, model_group, sum((v - a) / sd * target) / (sum(power((v - a) / sd, 2)) + 10) AS beta FROM i JOIN s USING (holdout_year, model_group) WHERE train GROUP BY ALL)
+    SELECT i.entry_key, i.holdout_year, i.model_group, round(ty + beta * (v - a) / sd, 4) AS prediction
+    FROM i JOIN s USING (holdout_year, model_group) JOIN b USING (holdout_year, model_group) WHERE NOT train""",
+)
+def one_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ridge fit of one predictor for each group, another for each, which has a closed form in SQL."""
+    own = {g: [c] for g, c in _ONE.items()}
+    t = B.rolling_ridge(base.modelling(spark, sf_dir), YEARS, own, "target", "prior", flags=False, grid=(10.0,))
+    return t.select("entry_key", "holdout_year", "model_group", F.round("prediction", 4).alias("prediction"))
+
+
 @query("a28_wins")
 def wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.wins(rolling_ridge(spark, sf_dir), ["model_group"], "model_mae", "historical_mae")
@@ -171,6 +241,20 @@ def holdout_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.evaluate(B.rolling_ridge(rows, [2000], COLUMNS, "target", "prior", B.HOLDOUT, flags=False), "target")
 
 
+@query(
+    "e01_baseline",
+    f"""WITH {base.MODEL_SQL}, g AS (
+      SELECT model_group, avg(target) FILTER (season < 2000) AS a, count(*) FILTER (season < 2000) AS t, count(*) FILTER (season = 2000) AS v FROM m WHERE prior IS NOT NULL GROUP BY 1
+    ) SELECT 2000 AS holdout_year, model_group, count(*) AS n, round(avg(abs(a - target)), 4) AS historical_mae, round(avg(abs(prior - target)), 4) AS returning_mae
+    FROM m JOIN g USING (model_group) WHERE season = 2000 AND prior IS NOT NULL AND t >= 50 AND v >= 10 GROUP BY 2""",
+)
+def holdout_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the strict holdout year is measured against: the training mean and the prior value."""
+    folded = B.folds(base.modelling(spark, sf_dir).where("prior is not null"), [2000])
+    t = B.baseline_metrics(B.baselines(folded, B.fold_status(folded, B.HOLDOUT), "target", "prior"), "target")
+    return t.select("holdout_year", "model_group", "n", *[F.round(c, 4).alias(c) for c in ("historical_mae", "returning_mae")])
+
+
 @query(
     "a10_j08_target_encoding",
     f"""WITH {base.MODEL_SQL}, tr AS (SELECT * FROM m WHERE season < 1999), k AS (SELECT rating > 5000 AS r, season % 2 AS s2, avg(target) AS a FROM tr GROUP BY ALL)
@@ -284,6 +368,12 @@ def stress_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.evaluate_probabilities(base.modelling(spark, sf_dir), probabilities(spark, sf_dir, [2000]), [2000], "observed")
 
 
+@query("e05_overall")
+def stress_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All probability metrics of the stress test over all groups together, next to ``e05_stress_test``'s rows per group."""
+    return B.pooled_probabilities(probabilities(spark, sf_dir, [2000]), "observed")
+
+
 @query("e05_baseline", _baseline_sql([2000]))
 def stress_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _baseline(stress_test(spark, sf_dir))
