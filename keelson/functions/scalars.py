@@ -133,6 +133,26 @@ def model_position_group(c: Column) -> Column:
     )
 
 
+def ascii_json(c: Column) -> Column:
+    """JSON text with every character beyond ASCII as an escape (two for those beyond U+FFFF)."""
+
+    def unit(x: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+
+    def escaped(x: Column) -> Column:
+        high = F.ascii(x) - 0x10000
+        pair = F.concat(unit(0xD800 + F.floor(high / 1024).cast("int")), unit(0xDC00 + high % 1024))
+        return F.when(F.ascii(x) < 0x80, x).when(high < 0, unit(F.ascii(x))).otherwise(pair)
+
+    each = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(each)
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON text with keys in order and without blanks, nested values included; texts that are no JSON are errors."""
+    return ascii_json(F.to_json(F.parse_json(c)))
+
+
 def first_present(columns: list[str], *names: str) -> Column:
     """The first of the columns that a table has, even if its value is null (a choice on the schema, not a coalesce)."""
     return next((F.col(n) for n in names if n in columns), F.lit(None).cast("string"))
@@ -152,7 +172,7 @@ def identity_key(fields: dict[str, Column], numbers: tuple[str, ...] = ()) -> Co
             parts += [F.lit(("{" if i == 0 else ",") + f'"{name}":'), F.coalesce(fields[name].cast("string"), F.lit("0"))]
             continue
         value = F.coalesce(fields[name].cast("string"), F.lit(""))
-        value = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        value = ascii_json(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')))
         parts += [F.lit(("{" if i == 0 else ",") + f'"{name}":"'), value, F.lit('"')]
     return F.sha2(F.concat(*parts, F.lit("}")), 256)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import scalars as S
 from ..functions.constants import NICKNAMES, POSITION_GROUPS
 from ..operators import audit, gates, present
 from ..sources import archive
+from ..sources.scratch import shared_dir
+from ..streaming import log as download_log
 from .registry import query, table
 
 NORM = "trim(regexp_replace(lower(replace(strip_accents({}), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
@@ -182,6 +186,39 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.with_ids(t, ["ts", "event_id"]).select("endpoint", F.col("id").cast("int").alias("id"), "event_id").orderBy("id")
 
 
+_SENT = """'{"z": [1, {"y": null, "b": "é"}], "k": ' || event_id || '}'"""
+
+
+@query(
+    "s05_append",
+    """WITH e AS (SELECT *, row_number() OVER (ORDER BY user_id % 3, ts, event_id) AS id, user_id % 3 AS batch, sha256(props) AS h FROM events)
+    SELECT id, event_type AS endpoint, CAST(year(ts) AS INTEGER) AS season, '{"k":' || event_id || ',"z":[1,{"b":"\\u00e9","y":null}]}' AS params_json, h AS sha256,
+      CAST(strlen(props) AS BIGINT) AS byte_count, 'objects/' || substr(h, 1, 2) || '/' || h || '.json' AS object_path, 'e' || event_id AS etag, NULL::VARCHAR AS last_modified,
+      CASE WHEN event_id % 2 = 0 THEN 'r' || event_id END AS request_id, batch, id - min(id) OVER (PARTITION BY batch) AS "offset" FROM e""",
+)
+def append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of downloads appended to the log, the last one twice."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        F.col("event_type").alias("endpoint"), F.year("ts").alias("season"), F.expr(_SENT).alias("params"),
+        # Milliseconds and the id, so that rows have one order.
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lpad("event_id", 12, "0")).alias("requested_at"), F.lit(None).cast("string").alias("received_at"),
+        F.col("props").cast("binary").alias("content"), F.lit(200).alias("http_status"), F.lit("").alias("source_url"),
+        F.create_map(F.lit("eTAG"), F.concat(F.lit("e"), "event_id"), F.when(F.col("event_id") % 2 == 0, F.lit("X-REQUEST-id")).otherwise(F.lit("x-other")), F.concat(F.lit("r"), "event_id")).alias("headers"),
+        F.pmod("user_id", F.lit(3)).alias("part"),
+    )
+    root = f"{shared_dir(spark)}/keelson/log-{uuid.uuid4().hex}"
+    for batch in (0, 1, 2, 2):
+        download_log.append(rows.where(F.col("part") == batch), batch, root, order=("requested_at",))
+    t = download_log.read_log(spark, root)
+    return t.select("id", "endpoint", "season", "params_json", "sha256", "byte_count", "object_path", "etag", "last_modified", "request_id", "batch", "offset")
+
+
+@query("n24_utc_millis", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS t FROM events")
+def utc_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", download_log.utc_millis(F.col("ts")).alias("t"))
+
+
 @query("s05_s07_log_all", "SELECT event_type AS endpoint, row_number() OVER (ORDER BY ts, event_id) AS id, event_id FROM events")
 def log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log, numbered."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,15 +130,38 @@ def ingest(spark: SparkSession, endpoint: str, fetch: Callable[[str, dict], byte
     return addressed(spark.createDataFrame(row, "endpoint string, season int, params_json string, content binary"), "content")
 
 
+def ingest_all(requests: DataFrame, fetch: Callable[[str, dict], bytes]) -> DataFrame:
+    """Fetch one payload for each row of ``endpoint``, ``season``, ``params_json`` (JSON text or null), in tasks: payloads
+    never pass through the driver, and a lost task fetches its own again. ``fetch`` (the transport is the caller's) gets
+    the endpoint and its parameters. Unknown endpoints and payloads whose root is neither list nor object fail the job.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["endpoint"] not in ENDPOINTS:
+                    raise ValueError(f"unknown endpoint: {row['endpoint']}")
+                asked = {"year": row["season"], **json.loads(row["params_json"] or "{}")}
+                row["params_json"] = canonical_params(asked)
+                row["content"] = bytes(fetch(row["endpoint"], {k: v for k, v in asked.items() if v is not None}))
+                if not isinstance(json.loads(row["content"]), list | dict):
+                    raise ValueError("the payload's root is neither a list nor an object")
+                # A payload at a time, as each may be large.
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("endpoint", pa.string()), ("season", pa.int32()), ("params_json", pa.string()), ("content", pa.binary())]))
+
+    rows = requests.select("endpoint", F.col("season").cast("int"), "params_json")
+    return addressed(rows.mapInArrow(run, "endpoint string, season int, params_json string, content binary"), "content")
+
+
 def ingest_seasons(spark: SparkSession, endpoint: str, fetch: Callable[[str, dict], bytes], start: int, end: int, params: Mapping[str, object] | None = None) -> DataFrame:
-    """One payload for each season of a range; a range that ends before it starts is refused."""
+    """One payload for each season of a range, each fetched in a task of its own (``ingest_all``); a range that ends before it
+    starts, and unknown endpoints, are refused."""
+    if endpoint not in ENDPOINTS:
+        raise ValueError(f"unknown endpoint: {endpoint}")
     if end < start:
         raise ValueError("the last season is before the first")
-    frames = [ingest(spark, endpoint, fetch, y, params) for y in range(start, end + 1)]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    years = spark.range(start, end + 1, 1, end + 1 - start).select(F.lit(endpoint).alias("endpoint"), F.col("id").cast("int").alias("season"), F.lit(canonical_params(params)).alias("params_json"))
+    return ingest_all(years, fetch)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
