@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.constants import NICKNAMES, POSITION_GROUPS
 from ..operators import audit, gates, present
-from ..sources import archive
+from ..sources import archive, publish
 from ..sources.scratch import shared_dir
 from ..streaming import log as download_log
 from .registry import query, table
@@ -219,6 +219,55 @@ def utc_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", download_log.utc_millis(F.col("ts")).alias("t"))
 
 
+_SHA = "sha256(concat(" + ", ".join(f"'{c}=', coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("c_custkey", "c_nationkey", "c_seg")) + "))"
+
+
+@query(
+    "g05_fingerprint",
+    f"""WITH t AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_seg FROM customer), h AS (SELECT {_SHA} AS h FROM t)
+    SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_a, CAST(sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)) AS VARCHAR) AS sum_b FROM h""",
+)
+def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's fingerprint, whatever the order of its rows and columns."""
+    t = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("c_seg"), "c_nationkey", "c_custkey")
+    return publish.fingerprint(t.repartition(7, "c_nationkey"))
+
+
+@query(
+    "g02_g06_a24_observed",
+    """SELECT * FROM (SELECT 'n_rows' AS metric, count(*) AS n FROM orders UNION ALL SELECT 'null_keys', count(*) - count(o_orderkey) FROM orders
+    UNION ALL SELECT 'broken_price', count(*) FILTER (NOT coalesce(o_totalprice > 1000, false)) FROM orders UNION ALL SELECT 'broken_status', count(*) FILTER (NOT coalesce(o_orderstatus IN ('F', 'O'), false)) FROM orders
+    UNION ALL SELECT 'group_F', count(*) FILTER (o_orderstatus = 'F') FROM orders UNION ALL SELECT 'group_X', 0 UNION ALL SELECT 'group_others', count(*) FILTER (o_orderstatus IS NULL OR o_orderstatus <> 'F') FROM orders)""",
+)
+def observed_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gates count while a table is written."""
+    o = table(spark, sf_dir, "orders")
+    conditions = {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("F", "O")}
+    found = publish.write_observed(o, f"{shared_dir(spark)}/keelson/observed-{uuid.uuid4().hex}", conditions, ("o_orderstatus", ["F", "X"]), "o_orderkey")
+    rows = [(k, v) for k, v in found.items() if not k.startswith("sum_")]
+    return spark.createDataFrame(rows, "metric string, n long")
+
+
+_NESTED = """'{"k": ' || event_id || ', "a": {"list": [1.5, null, "x", {"deep": true}], "none": null}, "props": ' || props || '}'"""
+
+
+@query(
+    "s08_s09_variant",
+    f"""WITH j AS (SELECT event_id AS id, CAST({_NESTED} AS JSON) AS j FROM events)
+    SELECT id, CAST(j->>'$.k' AS BIGINT) AS k, CAST(j->>'$.props.k' AS INTEGER) AS props_k, CAST(j->>'$.a.list[0]' AS DOUBLE) AS number, j->>'$.a.list[2]' AS word,
+      true AS none, CAST(j->>'$.a.list[3].deep' AS BOOLEAN) AS deep, '{{"a":{{"list":[1.5,null,"x",{{"deep":true}}],"none":null}},"k":' || id || ',"props":' || replace(CAST(j->'props' AS VARCHAR), ' ', '') || '}}' AS json FROM j""",
+)
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of any shape: numbers, nested values and nulls come back as they went in."""
+    t = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(_NESTED).alias("params_json"))
+    p = archive.parsed_params(t, "variant")
+    get = lambda path, kind: F.variant_get("params", path, kind)
+    return p.select(
+        "id", get("$.k", "long").alias("k"), get("$.props.k", "int").alias("props_k"), get("$.a.list[0]", "double").alias("number"), get("$.a.list[2]", "string").alias("word"),
+        F.is_variant_null(get("$.a.none", "variant")).alias("none"), get("$.a.list[3].deep", "boolean").alias("deep"), F.to_json("params").alias("json"),
+    )
+
+
 @query("s05_s07_log_all", "SELECT event_type AS endpoint, row_number() OVER (ORDER BY ts, event_id) AS id, event_id FROM events")
 def log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log, numbered."""

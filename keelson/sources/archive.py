@@ -108,8 +108,10 @@ def with_ids(entries: DataFrame, order: list[str], first: int = 1) -> DataFrame:
 
 
 def parsed_params(log: DataFrame, schema: str = "map<string,string>") -> DataFrame:
-    """``params_json`` as a nested column ``params``, in log order."""
-    return log.withColumn("params", F.from_json("params_json", schema)).drop("params_json").orderBy("id")
+    """``params_json`` as a nested column ``params``, in log order. As ``variant`` it needs no schema: numbers, nested values
+    and nulls stay what they are, and are read with ``F.variant_get``."""
+    value = F.parse_json("params_json") if schema == "variant" else F.from_json("params_json", schema)
+    return log.withColumn("params", value).drop("params_json").orderBy("id")
 
 
 def valid_root(payload: Column) -> Column:

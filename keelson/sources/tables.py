@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -11,6 +12,11 @@ def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files of unknown shape: one column ``payload`` of variants, a row for each file."""
+    return spark.read.option("multiLine", True).option("singleVariantColumn", "payload").json(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One object per line, keys sorted, nulls written."""
     df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -28,6 +34,16 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -
     return t.select(*columns) if columns else t
 
 
+def read_typed_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Columns with types: those of ``schema``, matched by the header, or else inferred from all rows. A cell that isn't of
+    its type is an error; empty cells are null."""
+    if not schema:
+        return spark.read.option("header", True).option("inferSchema", True).option("mode", "FAILFAST").csv(path)
+    t = read_csv(spark, path)
+    fields = T.StructType.fromDDL(schema).fields
+    return t.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Exactly these columns; further ones are an error."""
     if extra := set(df.columns) - set(columns):
