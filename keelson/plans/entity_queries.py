@@ -109,6 +109,12 @@ def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(entries(spark, sf_dir), roster(spark, sf_dir))
 
 
+@query("r01_j01_verified")
+def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names per team, and those that the bound leaves for the real ratio."""
+    return resolve.verified(entries(spark, sf_dir), roster(spark, sf_dir))
+
+
 _STATES = f"""WITH {RESOLVE_SQL}, a AS (SELECT * FROM decided WHERE y = 2024), b AS (SELECT * FROM decided WHERE y = 2025),
 s AS (
   SELECT a.entry_key, a.status AS same_season_status, a.reason AS same_season_reason, a.status = 'unresolved' AND a.reason <> 'no_destination' AS retry,
