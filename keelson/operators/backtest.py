@@ -1,8 +1,8 @@
 """Rolling-origin evaluation: folds are rows, not loops.
 
-A fold trains on all seasons before its holdout year. Ridge fits of all folds, inner validation years and penalties come
-from sums over seasons (``windows``). Where a fit needs the rows themselves (logistic models, predictors that are encoded in
-each fold), folds come from a join with a short table of years; inner years and penalties are further short tables.
+A fold trains on all seasons before its holdout year. Ridge and logistic fits of all folds, inner validation years and
+penalties share the rows (``windows``). Where predictors are encoded in each fold, folds come from a join with a short table
+of years; inner years and penalties are further short tables.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -82,10 +82,20 @@ def baseline_metrics(held: DataFrame, target: str) -> DataFrame:
     )
 
 
-def _vectors(folded: DataFrame, keys: list[str], columns: list[str], flags: bool) -> DataFrame:
-    train = folded.where("part = 'train'")
-    t = M.preprocess(folded, train, keys, columns, flags)
-    return t.withColumn("x", models.vector(columns, flags))
+def _vectors(folded: DataFrame, keys: list[str], columns: W.Predictors, flags: bool) -> DataFrame:
+    """Adds ``x``: a row's own preprocessed predictors; a group that isn't named has none."""
+    train, every = folded.where("part = 'train'"), W.names(columns)
+    t = M.preprocess(folded, train, keys, every, flags)
+    if not isinstance(columns, dict):
+        return t.withColumn("x", models.vector(columns, flags))
+    x = models.vector([], flags)
+    for g, mine in columns.items():
+        x = F.when(F.col("model_group") == g, models.vector(list(mine), flags)).otherwise(x)
+    return t.withColumn("x", x)
+
+
+def _size(columns: W.Predictors, flags: bool) -> int:
+    return 1 + W.width(columns) * (2 if flags else 1)
 
 
 #: Adds predictors to folded rows of given keys that are learnt from a fold's training rows.
@@ -128,7 +138,7 @@ def rolling_ridge(rows: DataFrame, years: list[int], columns: W.Predictors, targ
     return hold.select("entry_key", "holdout_year", "model_group", target, "historical_mean", "returning", "alpha", prediction.alias("prediction"))
 
 
-def _choose_alpha_prepared(past: DataFrame, years: list[int], columns: list[str], target: str, gates: Gates, flags: bool, grid: tuple[float, ...],
+def _choose_alpha_prepared(past: DataFrame, years: list[int], columns: W.Predictors, target: str, gates: Gates, flags: bool, grid: tuple[float, ...],
                            default: float, keys: tuple[str, ...], prepare: Prepare) -> DataFrame:
     """The penalty of lowest pooled MAE over expanding inner years, per key; the default where no inner year qualifies."""
     inner = folds(past, years)
@@ -142,7 +152,7 @@ def _choose_alpha_prepared(past: DataFrame, years: list[int], columns: list[str]
     inner = materialize(prepare(inner, group), "inner-folds")
     inner = materialize(_vectors(inner, group, columns, flags).select(*group, "part", "x", target), "inner-vectors")
     tried = inner.where("part = 'train'").withColumn("_try", F.explode(F.array(*[F.lit(a) for a in grid])))
-    beta = models.fit_ridge(tried, group, "x", target, F.col("_try"))
+    beta = models.fit_ridge(tried, group, "x", target, F.col("_try"), _size(columns, flags))
     scored = inner.where("part = 'holdout'").join(beta, group)
     error = F.abs(models.dot(F.col("x"), F.col("beta")) - F.col(target))
     pooled = scored.groupBy(*keys, "alpha").agg(F.avg(error).alias("mae"))
@@ -151,7 +161,7 @@ def _choose_alpha_prepared(past: DataFrame, years: list[int], columns: list[str]
     return everyone.join(best, list(keys), "left").withColumn("alpha", F.coalesce("alpha", F.lit(default)))
 
 
-def rolling_ridge_prepared(rows: DataFrame, years: list[int], columns: list[str], target: str, prior: str | None, prepare: Prepare, gates: Gates = ROLLING,
+def rolling_ridge_prepared(rows: DataFrame, years: list[int], columns: W.Predictors, target: str, prior: str | None, prepare: Prepare, gates: Gates = ROLLING,
                            flags: bool = True, grid: tuple[float, ...] = C.RIDGE_GRID, default: float = C.RIDGE_DEFAULT) -> DataFrame:
     """As ``rolling_ridge``, for predictors that ``prepare`` learns from every fold's training rows anew, inner folds
     included. Such predictors differ from fold to fold, so here folds are rows."""
@@ -170,7 +180,7 @@ def rolling_ridge_prepared(rows: DataFrame, years: list[int], columns: list[str]
     vectors = materialize(_vectors(folded, outer, columns, flags).select("entry_key", *outer, "part", "x", target), "vectors")
     alpha = materialize(alpha, "alpha")
     train = vectors.where("part = 'train'").join(alpha.withColumnRenamed("alpha", "_try"), outer)
-    beta = models.fit_ridge(train, outer, "x", target, F.col("_try"))
+    beta = models.fit_ridge(train, outer, "x", target, F.col("_try"), _size(columns, flags))
     hold = vectors.where("part = 'holdout'").join(beta, outer)
     hold = hold.select("entry_key", *outer, "alpha", models.dot(F.col("x"), F.col("beta")).alias("prediction"))
     return held.select("entry_key", *outer, target, "historical_mean", "returning").join(hold, ["entry_key", *outer])
@@ -196,19 +206,23 @@ def evaluate(predictions: DataFrame, target: str) -> DataFrame:
     )
 
 
-def negative_control(panel: DataFrame, year: int, columns: list[str], key: str, target: str = "prior_change", gates: Gates = CONTROL) -> tuple[DataFrame, DataFrame]:
+def negative_control(panel: DataFrame, year: int, columns: W.Predictors, key: str, target: str = "prior_change", gates: Gates = CONTROL) -> tuple[DataFrame, DataFrame]:
     """Whether what is only known later predicts a change that came before: predictions and one row per group.
 
     ``panel`` has the kept rows of ``cohorts.negative_control``. Predictors are ``signal``, the mean change of the rows of the
-    same ``key`` (encoded from each fold's training rows alone, inner folds included), and ``columns``. A group shows a
-    signal if the model's error is below that of the training mean and its R2 above 0; skipped groups stay, without figures.
+    same ``key`` (encoded from each fold's training rows alone, inner folds included), and ``columns``, of all groups or of
+    each group by name (a group that isn't named has only the signal). A group shows a signal if the model's error is below that of the training mean and its R2 above 0; skipped groups stay, without figures.
     """
 
     def encode(folded: DataFrame, by: list[str]) -> DataFrame:
         return M.encode_in_folds(folded, by, key, target)
 
     outer = ["holdout_year", "model_group"]
-    columns = ["signal", *columns]
+    if isinstance(columns, dict):
+        groups = [r[0] for r in panel.select(F.col("model_group").cast("string")).where("model_group is not null").distinct().collect()]
+        columns = {g: ["signal", *columns.get(g, ())] for g in groups}
+    else:
+        columns = ["signal", *columns]
     panel = materialize(panel, "panel")
     predictions = rolling_ridge_prepared(panel, [year], columns, target, None, encode, gates, flags=False, default=min(C.RIDGE_GRID))
     predictions = materialize(predictions.drop("returning"), "control")
@@ -220,43 +234,36 @@ def negative_control(panel: DataFrame, year: int, columns: list[str], key: str,
     return predictions, result.withColumns({"mae_skill": M.skill(F.col("mae"), F.col("baseline_mae")), "signal_detected": found})
 
 
-def rolling_logistic(rows: DataFrame, years: list[int], columns: list[str], label: str, gates: Gates = OBSERVABILITY,
+def _brier(odds: Column, y: Column) -> Column:
+    p = M.clamp(1 / (1 + F.exp(-odds)))
+    return (p - y) * (p - y)
+
+
+def rolling_logistic(rows: DataFrame, years: list[int], columns: W.Predictors, label: str, gates: Gates = OBSERVABILITY,
                      grid: tuple[float, ...] = C.LOGIT_GRID, default: float = C.LOGIT_DEFAULT) -> DataFrame:
     """Probabilities of holdout rows of evaluated folds with the training prevalence; the penalty of lowest pooled Brier
-    score on expanding inner years of the training part, the default where none qualifies."""
-    outer = ["holdout_year", "model_group"]
+    score on expanding inner years of the training part, the default where none qualifies. ``columns`` are predictors of all
+    groups or of each group by name. Labels must be there; a fold of one class has no model.
+
+    A window's fits serve as an inner and as an outer fold alike: all take their Newton steps together (``windows``).
+    """
     rows = materialize(rows, "fold-rows")
-    folded = folds(rows, years)
-    good = materialize(fold_status(folded, gates, label).where("status = 'evaluated'").select(*outer), "evaluated")
-    folded = folded.join(good, outer, "left_semi")
-    # An inner year trains on all seasons before it, whichever outer year it is for: inner folds are shared.
-    inner = folds(rows, [y for y in seasons_of(rows) if y < max(years)])
-    group = ["model_group", "holdout_year"]
-    train = (F.col("part") == "train").cast("long")
-    counts = inner.groupBy(*group).agg(
-        F.sum(train).alias("t"), F.sum(1 - train).alias("v"), F.sum(train * F.col(label)).alias("p"), F.sum(train * (1 - F.col(label))).alias("q")
-    )
-    enough = counts.where(
-        (F.col("t") >= gates.inner_train) & (F.col("v") >= gates.inner_valid) & (F.col("p") >= gates.inner_class) & (F.col("q") >= gates.inner_class)
-    )
-    inner = materialize(_vectors(materialize(inner.join(enough.select(*group), group, "left_semi"), "inner-folds"), group, columns, True), "inner-vectors")
-    tried = inner.where("part = 'train'").withColumn("l2", F.explode(F.array(*[F.lit(a) for a in grid])))
-    beta = _fit_grid(tried, group, label)
-    scored = inner.where("part = 'holdout'").join(beta, group)
-    p = M.clamp(1 / (1 + F.exp(-models.dot(F.col("x"), F.col("beta")))))
-    scored = scored.groupBy("model_group", F.col("holdout_year").alias("_inner"), "l2").agg(F.sum((p - F.col(label)) * (p - F.col(label))).alias("_s"), F.count("*").alias("_n"))
-    pooled = good.join(scored, "model_group").where(F.col("_inner") < F.col("holdout_year"))
-    pooled = pooled.groupBy(*outer, "l2").agg((F.sum("_s") / F.sum("_n")).alias("brier"))
-    best = M.best_of_grid(pooled, outer, "l2", "brier")
-    vectors = materialize(_vectors(materialize(folded, "folds"), outer, columns, True), "vectors")
-    best = materialize(best, "penalties")
-    train = vectors.where("part = 'train'").join(best.select(*outer, "l2"), outer, "left").withColumn("l2", F.coalesce("l2", F.lit(default)))
-    prevalence = train.groupBy(*outer).agg(F.avg(F.col(label).cast("double")).alias("prevalence"), F.first("l2").alias("l2"))
-    beta = _fit_grid(train, outer, label).drop("l2", "train_rows")
-    hold = vectors.where("part = 'holdout'").join(beta, outer).join(prevalence, outer)
-    return hold.select(
-        "entry_key", *outer, label, "l2", "prevalence", M.clamp(1 / (1 + F.exp(-models.dot(F.col("x"), F.col("beta"))))).alias("probability")
+    status = fold_status(folds(rows, years), gates, label)
+    outer = status.where("status = 'evaluated'").select(F.col("model_group").cast("string"), F.col("holdout_year").cast("int").alias("year"))
+    outer = materialize(outer, "evaluated")
+    inner = [y for y in seasons_of(rows) if y < max(years)]
+    tried = (*grid, *(() if default in grid else (default,)))
+    fitted = materialize(W.fit_logistic(rows, sorted({*inner, *years}), columns, label, tried), "window-logits")
+    enough = (F.col("train_positives") >= gates.inner_class) & (F.col("train_rows") - F.col("train_positives") >= gates.inner_class)
+    found = W.errors(rows, fitted.where(F.col("year").isin(inner) & enough), columns, label, grid, _brier)
+    alpha = W.choose(found, outer, grid, default, gates.inner_train, gates.inner_valid)
+    best = F.filter("models", lambda m: m["alpha"] == F.col("alpha"))[0]
+    fit = fitted.join(alpha, ["model_group", "year"]).select(
+        "model_group", F.col("year").alias("holdout_year"), "shift", F.col("alpha").alias("l2"), best.alias("model"), (F.col("train_positives") / F.col("train_rows")).alias("prevalence")
     )
+    hold = folds(rows, years).where("part = 'holdout'").withColumn("_x", W.vector(columns)).join(fit, ["holdout_year", "model_group"])
+    odds = W.predict(F.col("_x"), F.col("shift"), F.col("model"), W.width(columns))
+    return hold.select("entry_key", "holdout_year", "model_group", label, "l2", "prevalence", M.clamp(1 / (1 + F.exp(-odds))).alias("probability"))
 
 
 def evaluate_probabilities(rows: DataFrame, predictions: DataFrame, years: list[int], label: str, gates: Gates = OBSERVABILITY) -> DataFrame:
@@ -278,11 +285,6 @@ def pooled_probabilities(predictions: DataFrame, label: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-def _fit_grid(rows: DataFrame, by: list[str], label: str) -> DataFrame:
-    t = rows.withColumn("_l2", F.col("l2"))
-    return models.fit_logistic(t, [*by, "l2"], "x", label, "_l2")
-
-
 def final_fit(train: DataFrame, score: DataFrame, years: list[int], columns: W.Predictors, target: str, gates: Gates = ROLLING,
               grid: tuple[float, ...] = C.RIDGE_GRID, default: float = C.RIDGE_DEFAULT) -> DataFrame:
     """Fit each group on all training rows, with a penalty chosen on expanding years, and score other rows; groups without

@@ -16,6 +16,10 @@ from ..functions.constants import PROBABILITY_FLOOR
 from ..sources.scratch import materialize
 
 
+#: Numbers that the state of all groups of a fit may have; it comes to the driver and goes back to each task.
+MAX_STATE = 1 << 22
+
+
 def vector(columns: list[str], flags: bool) -> Column:
     """[1, z1, miss1, z2, ...] of preprocessed columns; without flags [1, z1, z2, ...]."""
     parts = [F.lit(1.0)]
@@ -33,21 +37,27 @@ def ridge_solve(xx: np.ndarray, xy: np.ndarray, alpha: float) -> np.ndarray:
     return np.linalg.solve(xx + penalty, xy)
 
 
-def fit_ridge(rows: DataFrame, by: list[str], x: str, y: str, alpha: float | Column) -> DataFrame:
-    """``beta`` per group from summed moments. ``x`` is an array column; ``alpha`` a number or a column of the group."""
-    n = rows.select(F.size(x)).first()
-    p = n[0] if n else 1
-    xx = [F.sum(F.col(x)[i] * F.col(x)[j]) for i in range(p) for j in range(p)]
-    xy = [F.sum(F.col(x)[i] * F.col(y)) for i in range(p)]
+def fit_ridge(rows: DataFrame, by: list[str], x: str, y: str, alpha: float | Column, size: int | None = None) -> DataFrame:
+    """``beta`` per group from summed moments, half of the square. ``x`` is an array column, of one length in a group, at most
+    ``size`` (found by a job where it isn't told); ``alpha`` a number or a column of the group."""
+    p = size if size is not None else rows.agg(F.max(F.size(x))).first()[0] or 1
+    # Columns of the half square by their larger index, so that shorter vectors use the first ones.
+    xx = [F.sum(F.get(x, F.lit(i)) * F.get(x, F.lit(j))) for j in range(p) for i in range(j + 1)]
+    xy = [F.sum(F.get(x, F.lit(i)) * F.col(y)) for i in range(p)]
     group = [*by, "_alpha"]
     t = rows.withColumn("_alpha", F.lit(alpha) if not isinstance(alpha, Column) else alpha)
-    t = t.groupBy(*group).agg(F.count("*").alias("train_rows"), F.array(*xx).alias("xx"), F.array(*xy).alias("xy"))
+    t = t.groupBy(*group).agg(F.count("*").alias("train_rows"), F.max(F.size(x)).alias("_p"), F.array(*xx).alias("xx"), F.array(*xy).alias("xy"))
 
     @F.pandas_udf("array<double>")
-    def solve(a: pd.Series, b: pd.Series, alpha_: pd.Series) -> pd.Series:
-        return pd.Series([ridge_solve(np.reshape(m, (p, p)), np.asarray(v), float(r)).tolist() for m, v, r in zip(a, b, alpha_, strict=True)])
+    def solve(a: pd.Series, b: pd.Series, alpha_: pd.Series, size_: pd.Series) -> pd.Series:
+        out = []
+        for m, v, r, n in zip(a, b, alpha_, size_, strict=True):
+            lower = np.zeros((n, n))
+            lower[np.tril_indices(n)] = m[: n * (n + 1) // 2]
+            out.append(ridge_solve(lower + np.tril(lower, -1).T, np.asarray(v[:n], dtype=np.float64), float(r)).tolist())
+        return pd.Series(out)
 
-    return t.select(*by, F.col("_alpha").alias("alpha"), "train_rows", solve("xx", "xy", "_alpha").alias("beta"))
+    return t.select(*by, F.col("_alpha").alias("alpha"), "train_rows", solve("xx", "xy", "_alpha", "_p").alias("beta"))
 
 
 def dot(x: Column, beta: Column) -> Column:
@@ -55,6 +65,11 @@ def dot(x: Column, beta: Column) -> Column:
     return F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
+def probability_of(odds: np.ndarray) -> np.ndarray:
+    """Probabilities of log-odds, kept from 0 and 1."""
+    return np.clip(1 / (1 + np.exp(-np.clip(odds, -700, 700))), PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR)
+
+
 def logistic_newton(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 50, tol: float = 1e-7) -> np.ndarray:
     """Penalised maximum likelihood by Newton steps, intercept (column 0) unpenalised; a single class is an error."""
     if y.min() == y.max():
@@ -63,7 +78,7 @@ def logistic_newton(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 50, to
     penalty[0] = 0.0
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -700, 700))), PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR)
+        p = probability_of(x @ beta)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * beta)
         beta = beta + step
         if np.abs(step).max() < tol:
@@ -89,6 +104,8 @@ def _newton(rows: DataFrame, state: list[dict], by: list[str], x: str, y: str, s
     if not state:
         return state
     size = len(state[0]["beta"])
+    if len(state) * size * size > MAX_STATE:
+        raise ValueError(f"{len(state)} groups are too many fits for one state: fit them in parts")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
     upper = np.triu_indices(size)
     live = {tuple(s[c] for c in by): s for s in state}
@@ -143,7 +160,7 @@ def calibration_fit(logit: np.ndarray, y: np.ndarray, steps: int = 40, tol: floa
         return None, None
     x, beta = np.column_stack([np.ones(len(y)), logit]), np.array([0.0, 1.0])
     for _ in range(steps):
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -700, 700))), PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR)
+        p = probability_of(x @ beta)
         try:
             step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (y - p))
         except np.linalg.LinAlgError:
