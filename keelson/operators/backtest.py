@@ -206,7 +206,8 @@ def evaluate(predictions: DataFrame, target: str) -> DataFrame:
     )
 
 
-def negative_control(panel: DataFrame, year: int, columns: W.Predictors, key: str, target: str = "prior_change", gates: Gates = CONTROL) -> tuple[DataFrame, DataFrame]:
+def negative_control(panel: DataFrame, year: int, columns: W.Predictors, key: str, target: str = "prior_change", gates: Gates = CONTROL,
+                     grid: tuple[float, ...] = C.RIDGE_GRID) -> tuple[DataFrame, DataFrame]:
     """Whether what is only known later predicts a change that came before: predictions and one row per group.
 
     ``panel`` has the kept rows of ``cohorts.negative_control``. Predictors are ``signal``, the mean change of the rows of the
@@ -224,7 +225,7 @@ def negative_control(panel: DataFrame, year: int, columns: W.Predictors, key: st
     else:
         columns = ["signal", *columns]
     panel = materialize(panel, "panel")
-    predictions = rolling_ridge_prepared(panel, [year], columns, target, None, encode, gates, flags=False, default=min(C.RIDGE_GRID))
+    predictions = rolling_ridge_prepared(panel, [year], columns, target, None, encode, gates, flags=False, grid=grid, default=min(grid))
     predictions = materialize(predictions.drop("returning"), "control")
     model = M.regression(predictions, outer, target, "prediction")
     mean = M.regression(predictions, outer, target, "historical_mean").select(*outer, F.col("mae").alias("baseline_mae"))

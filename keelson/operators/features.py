@@ -36,10 +36,12 @@ def pivot(values: DataFrame, key: str, features: list[str], fail: bool = True) -
 
 
 def matrix(bridge: DataFrame, values: DataFrame, features: list[str], key: str = "entry_key") -> DataFrame:
-    """Every bridge row with its features (null where none) and the eligibility flag of a complete pair."""
-    wide = pivot(values, key, features)
+    """Every bridge row with its features (null where none), ``has_features`` (whether its key has any value at all) and the
+    eligibility flag of a complete pair."""
+    wide = pivot(values, key, features).withColumn("_any", F.lit(True))
     eligible = F.col("complete_pre_post") & ~F.col("post_outcome_right_censored")
-    return bridge.join(wide, key, "left").withColumn("eligible", eligible)
+    rows = bridge.join(wide, key, "left").withColumn("has_features", F.coalesce("_any", F.lit(False))).drop("_any")
+    return rows.withColumn("eligible", eligible)
 
 
 def orphans(values: DataFrame, bridge: DataFrame, key: str = "entry_key") -> DataFrame:

@@ -73,9 +73,16 @@ def reconcile(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float
     return t.where(F.col("only_left") | F.col("only_right") | differs)
 
 
+def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys (null among them) that only one side has, and which: ``only_left``. Both sides are one pre-aggregated grouping, so
+    a key that fills a side is a row a task."""
+    x, y = a.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r")), b.select(F.col(key), F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    t = x.unionByName(y).groupBy(key).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    return t.where(F.col("_l") != F.col("_r")).select(key, (F.col("_l") == 1).alias("only_left"))
+
+
 def same_keys(a: DataFrame, b: DataFrame, key: str) -> bool:
-    x, y = a.select(key).distinct(), b.select(key).distinct()
-    return not x.exceptAll(y).limit(1).count() and not y.exceptAll(x).limit(1).count()
+    return not key_differences(a, b, key).limit(1).count()
 
 
 def nested_values(df: DataFrame, paths: dict[str, str], checks: dict[str, Callable]) -> dict:

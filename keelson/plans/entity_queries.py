@@ -332,6 +332,17 @@ def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("entry_key", *[f for f in _FEATURES if f.endswith("_amt")])
 
 
+@query(
+    "j06_has_features",
+    f"WITH {_LONG}, p AS (SELECT DISTINCT entry_key FROM j) SELECT l.entry_key, p.entry_key IS NOT NULL AS has_features, CASE WHEN p.entry_key IS NULL THEN 'missing_feature_row' END AS reason FROM links l LEFT JOIN p USING (entry_key)",
+)
+def has_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which bridge rows have any feature; the others are excluded with a reason."""
+    t = features.matrix(bridge.season_bridge(links(spark, sf_dir), stats(spark, sf_dir)), features.named_values(long_stats(spark, sf_dir)), _FEATURES)
+    t = t.withColumns({"match_strategy": F.lit("same_season"), "model_group": F.lit("QB"), "season": F.lit(2021), "post_anchor": F.lit(None).cast("double"), "post_outcome_right_censored": F.lit(False)})
+    return cohorts.observability(t).select("entry_key", "has_features", F.col("exclusion_reason").alias("reason"))
+
+
 @query("a07_conflicts", "SELECT l_orderkey, l_linenumber, min(l_quantity) AS least, max(l_quantity) AS most, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING min(l_quantity) <> max(l_quantity)")
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.conflicts(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_quantity")

@@ -314,6 +314,26 @@ def control_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("model_group", "train_rows", "holdout_rows", "status", F.round("baseline_mae", 4).alias("baseline_mae"))
 
 
+@query(
+    "e03_signal_fit",
+    f"""WITH {_CONTROL}, k AS (SELECT model_group, k, avg(y) AS a FROM f WHERE train AND trim(k) <> '' GROUP BY ALL),
+    x AS (SELECT f.*, coalesce(k.a, whole) AS v FROM f JOIN g USING (model_group) LEFT JOIN k USING (model_group, k) WHERE train_rows >= 40 AND holdout_rows >= 10),
+    s AS (SELECT model_group, avg(v) AS a, CASE WHEN stddev_pop(v) < 1e-12 THEN 1 ELSE stddev_pop(v) END AS sd, avg(y) AS ty FROM x WHERE train GROUP BY 1),
+    b AS (SELECT model_group, sum((v - a) / sd * y) / (sum(power((v - a) / sd, 2)) + 10) AS beta FROM x JOIN s USING (model_group) WHERE train GROUP BY 1)
+    SELECT entry_key, model_group, round(ty + beta * (v - a) / sd, 3) AS prediction FROM x JOIN s USING (model_group) JOIN b USING (model_group) WHERE NOT train""",
+)
+def control_signal_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The control's model on the signal alone with one penalty, which has a closed form in SQL."""
+    t = B.negative_control(panel(spark, sf_dir), 2001, [], "destination", grid=(10.0,))[0]
+    return t.select("entry_key", "model_group", F.round("prediction", 3).alias("prediction"))
+
+
+@query("e03_own_predictors")
+def own_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``e03_negative_control`` with each group's own predictors next to the signal."""
+    return B.negative_control(panel(spark, sf_dir), 2001, {g: cs for g, cs in OWN.items() if g != "HOUSEHOLD"}, "destination")[1]
+
+
 @query("e03_negative_control")
 def negative_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does the destination, known later, predict the change that came before? Encoded anew in every fold."""
@@ -356,6 +376,43 @@ def rolling_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _baseline(rolling_logistic(spark, sf_dir))
 
 
+@query("e04_own_predictors")
+def own_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``e04_rolling_logistic`` with each group's own predictors, all groups, windows and penalties in the same steps."""
+    rows = base.modelling(spark, sf_dir)
+    return B.evaluate_probabilities(rows, B.rolling_logistic(rows, YEARS, OWN, "observed"), YEARS, "observed")
+
+
+#: One predictor that is never missing, or none.
+_RATED = {"BUILDING": ["rating"], "AUTOMOBILE": [], "MACHINERY": ["rating"], "HOUSEHOLD": []}
+
+
+@query(
+    "e04_m07_one_predictor",
+    f"""WITH RECURSIVE {base.MODEL_SQL}, y(holdout_year) AS (VALUES (1998), (1999), (2000)), f AS (
+      SELECT entry_key, holdout_year, model_group, season < holdout_year AS train, observed, CASE WHEN model_group IN ('BUILDING', 'MACHINERY') THEN CAST(rating AS DOUBLE) ELSE 0 END AS v
+      FROM m JOIN y ON season <= holdout_year
+    ), g AS (
+      SELECT holdout_year, model_group, avg(v) FILTER (train) AS a, stddev_pop(v) FILTER (train) AS sd, avg(observed) FILTER (train) AS prevalence FROM f GROUP BY ALL
+      HAVING count(*) FILTER (train) >= 40 AND count(*) FILTER (NOT train) >= 20 AND sum(observed) FILTER (train) >= 5 AND sum(1 - observed) FILTER (train) >= 5
+    ), x AS (SELECT f.*, (v - a) / CASE WHEN sd < 1e-12 THEN 1 ELSE sd END AS z FROM f JOIN g USING (holdout_year, model_group)),
+    b AS (
+      SELECT 0 AS step, holdout_year, model_group, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM g
+      UNION ALL
+      SELECT step + 1, holdout_year, model_group, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+        SELECT step, holdout_year, model_group, b0, b1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * z) AS h01, sum(p * (1 - p) * z * z) + 10 AS h11, sum(observed - p) AS g0, sum(z * (observed - p)) - 10 * b1 AS g1
+        FROM (SELECT step, holdout_year, model_group, b0, b1, z, observed, 1 / (1 + exp(-b0 - b1 * z)) AS p FROM b JOIN x USING (holdout_year, model_group) WHERE train AND step < 12) GROUP BY step, holdout_year, model_group, b0, b1
+      )
+    )
+    SELECT entry_key, holdout_year, model_group, round(prevalence, 8) AS prevalence, round(1 / (1 + exp(-b0 - b1 * z)), 6) AS probability
+    FROM x JOIN g USING (holdout_year, model_group) JOIN b USING (holdout_year, model_group) WHERE NOT train AND step = 12""",
+)
+def one_logistic_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic fit of one predictor or none for each group, next to twelve Newton steps in SQL."""
+    t = B.rolling_logistic(base.modelling(spark, sf_dir), YEARS, _RATED, "observed", grid=(10.0,))
+    return t.select("entry_key", "holdout_year", "model_group", F.round("prevalence", 8).alias("prevalence"), F.round("probability", 6).alias("probability"))
+
+
 @query("a27_pooled")
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All probability metrics over all folds together, for the model and the prevalence."""
@@ -383,3 +440,25 @@ def stress_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = base.modelling(spark, sf_dir)
     return B.final_fit(m.where("season < 2000"), m.where("season = 2000"), YEARS[:2], COLUMNS, "target")
+
+
+@query(
+    "e06_m06_one_predictor",
+    f"""WITH {base.MODEL_SQL}, x AS (
+      SELECT m.*, season < 2000 AS train, CASE model_group {' '.join(f"WHEN '{g}' THEN {c}" for g, c in _ONE.items())} END AS p FROM m WHERE season <= 2000
+    ), d AS (SELECT model_group, coalesce(median(p), 0) AS med, count(*) AS train_rows FROM x WHERE train GROUP BY 1),
+    i AS (SELECT x.*, coalesce(p, med) AS v, CAST(p IS NULL AS DOUBLE) AS gone, train_rows FROM x JOIN d USING (model_group)),
+    s AS (
+      SELECT model_group, avg(v) AS a, CASE WHEN stddev_pop(v) < 1e-12 THEN 1 ELSE stddev_pop(v) END AS sd, avg(target) AS ty, avg(gone) AS ag FROM i WHERE train GROUP BY 1
+    ), q AS (
+      SELECT model_group, sum(power((v - a) / sd, 2)) + 10 AS zz, sum((v - a) / sd * (gone - ag)) AS zg, sum(power(gone - ag, 2)) + 10 AS gg,
+        sum((v - a) / sd * (target - ty)) AS zy, sum((gone - ag) * (target - ty)) AS gy FROM i JOIN s USING (model_group) WHERE train GROUP BY 1
+    )
+    SELECT entry_key, season, model_group, train_rows, round(ty + (gg * zy - zg * gy) / (zz * gg - zg * zg) * (v - a) / sd + (zz * gy - zg * zy) / (zz * gg - zg * zg) * (gone - ag), 3) AS prediction
+    FROM i JOIN s USING (model_group) JOIN q USING (model_group) WHERE NOT train""",
+)
+def final_fit_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final fit on one predictor of each group and its missing flag with one penalty, solved by hand in SQL."""
+    m, own = base.modelling(spark, sf_dir), {g: [c] for g, c in _ONE.items()}
+    t = B.final_fit(m.where("season < 2000"), m.where("season = 2000"), YEARS[:2], own, "target", grid=(10.0,))
+    return t.select("entry_key", "season", "model_group", "train_rows", F.round("prediction", 3).alias("prediction"))

@@ -397,3 +397,14 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     return r.select("r_regionkey").exceptAll(n.where("n_nationkey < 3").select("n_regionkey").distinct())
+
+
+@query(
+    "u04_key_differences",
+    """SELECT k, true AS only_left FROM (SELECT c_custkey AS k FROM customer WHERE c_nationkey > 4 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+    UNION ALL SELECT k, false FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey > 4)""",
+)
+def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps the customers of some nations and those with finished orders from being the same set."""
+    c = table(spark, sf_dir, "customer").where("c_nationkey > 4").select(F.col("c_custkey").alias("k"))
+    return gates.key_differences(c, table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), "k")

@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: list[list[str]] = []  #: tables of the workspaces that are open, the innermost last
+#: Tables of the workspaces that are open, the innermost last. A thread has workspaces of its own.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("workspaces", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,20 +35,23 @@ def materialize(df: DataFrame, name: str, owned: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keelson/{name}-{uuid.uuid4().hex}"
-    if _OPEN and owned:
-        _OPEN[-1].append(path)
+    if owned and (mine := _OPEN.get()):
+        mine[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end all tables that were materialised in it. What is still lazy then must have been written."""
-    _OPEN.append([])
+    """Deletes at its end all tables that its thread materialised in it. What is still lazy then must have been written.
+    Threads that are started in it own nothing of it."""
+    mine: list[str] = []
+    before = _OPEN.set((*_OPEN.get(), mine))
     try:
         yield
     finally:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _OPEN.pop():
+        _OPEN.reset(before)
+        for path in mine:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
