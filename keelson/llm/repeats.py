@@ -5,15 +5,19 @@ alone selects (the one of smallest fingerprint), so documents that share a windo
 
 1. one pass names each text's word sequence and gathers the phrases its windows select; equal sequences become one;
 2. phrases of several documents recur; the first document that has one is its owner and gives the phrase's words;
-3. phrases are dealt to shards by owner, and each shard's phrases are compiled into an Aho-Corasick automaton;
-4. documents that hold recurring phrases (no other can hold a recurring window) stream through their shards' automata,
-   which confirm every phrase on its words and give all its places;
-5. the windows that a place can vouch for are looked up: all documents of a window meet in one shard. A shard with much
-   text is split over tasks, which exchange each window's first document in between.
+3. phrases are dealt to shards by themselves, and each shard's phrases are compiled into an Aho-Corasick automaton;
+4. every text is streamed once more and cut into the pieces whose windows select recurring phrases (no other window can
+   recur); a piece goes to the shard of its phrases, whose automaton confirms them on their words and gives all places;
+5. the windows that a place vouches for are compared word by word: all documents of a window meet in one shard. A shard
+   with much text is split over tasks, which exchange each window's first document, by SHA-256, in between.
+
+So a shard is bounded in phrases and a task in text, however long a document and however often it recurs, and of a text
+that recurs whole only the overlaps of its pieces are shipped more than once.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -32,6 +36,9 @@ from .words import Words, chunks, mix, tidy, windows
 WINDOW, PHRASE = 50, 16
 SHARD_PHRASES = 2048
 SHARD_BYTES = 6 << 20
+HIT_BYTES = 400
+#: Windows of a piece. Longer stretches are cut, so that one long document is spread over tasks.
+PIECE_WINDOWS = 1 << 16
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SALT = np.uint64(0xA24BAED4963EE407)
 
@@ -105,36 +112,64 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names candidate texts and takes the words of the phrases that they own."""
-    for batch in batches:
-        for a, b, data, offsets in chunks(batch.column("text")):
-            w = Words(data, offsets)
-            h = w.hashes()
-            lo, hi = _names(h, w.first)
-            own, phrases = batch.column("own").slice(a, b - a), []
-            for i, (n, wanted) in enumerate(zip(w.count.tolist(), own, strict=True)):
-                first = int(w.first[i])
-                g = windows(h[first : first + n], PHRASE)
-                wanted = wanted.values.to_numpy().view(np.uint64) if wanted.is_valid else np.zeros(0, dtype=np.uint64)
-                place = np.flatnonzero(np.isin(g, wanted))
-                found = []
-                for p in place[np.unique(g[place], return_index=True)[1]].tolist():
-                    s, e = w.start[first + p : first + p + PHRASE], w.end[first + p : first + p + PHRASE]
-                    found.append(" ".join(data[x:y].tobytes().decode() for x, y in zip(s.tolist(), e.tolist(), strict=True)))
-                phrases.append(found)
-            part = batch.slice(a, b - a)
-            yield pa.record_batch(
-                [
-                    part.column("id"),
-                    pa.array(lo),
-                    pa.array(hi),
-                    part.column("text"),
-                    part.column("owners"),
-                    pa.array(phrases, pa.list_(pa.string())),
-                ],
-                names=["id", "lo", "hi", "text", "owners", "phrases"],
-            )
+def _shard(prints: np.ndarray, shards: int) -> np.ndarray:
+    """The shards of phrases. Selected fingerprints are small, hence the mixing."""
+    return (mix(prints ^ _SALT) % np.uint64(shards)).astype(np.int64)
+
+
+_KINDS = [
+    ("id", None), ("lo", pa.int64()), ("hi", pa.int64()), ("text", pa.string()), ("shard", pa.int32()), ("at", pa.int64()),
+    ("words", pa.string()), ("phrase", pa.string()),
+]
+
+
+def _candidates(shards: int):
+    """Rows of three kinds: named candidate texts, their pieces, and the words of the phrases that they own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column("id").type
+            for a, b, data, offsets in chunks(batch.column("text")):
+                w = Words(data, offsets)
+                h = w.hashes()
+                lo, hi = _names(h, w.first)
+                part = batch.slice(a, b - a)
+                rows: list[tuple] = []
+                columns = part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("wanted"), part.column("own")
+                for i, (key, text, wanted, own) in enumerate(zip(*columns, strict=True)):
+                    first, n, name = int(w.first[i]), int(w.count[i]), int(lo[i])
+                    rows.append((key, name, int(hi[i]), text, None, None, None, None))
+                    if n < WINDOW:
+                        continue
+                    start, end = w.start[first : first + n], w.end[first : first + n]
+
+                    def cut(x: int, y: int, start: np.ndarray = start, end: np.ndarray = end, data: np.ndarray = data) -> str:
+                        return data[start[x] : end[y - 1]].tobytes().decode()
+
+                    best = _selected(h[first : first + n])
+                    at = np.flatnonzero(np.isin(best, wanted.values.to_numpy().view(np.uint64)))
+                    shard = _shard(best[at], shards)
+                    order = np.lexsort((at, shard))
+                    at, shard = at[order], shard[order]
+                    # Windows of one shard that overlap make one piece.
+                    new = (np.diff(shard) > 0) | (np.diff(at) >= WINDOW) | (np.diff(at // PIECE_WINDOWS) > 0)
+                    edge = np.concatenate([[0], np.flatnonzero(new) + 1, [len(at)]]) if len(at) else np.zeros(1, dtype=np.int64)
+                    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                        p, q = int(at[x]), int(at[y - 1]) + WINDOW
+                        rows.append((key, name, None, None, int(shard[x]), p, cut(p, q), None))
+                    g = windows(h[first : first + n], PHRASE)
+                    place = np.flatnonzero(np.isin(g, own.values.to_numpy().view(np.uint64)))
+                    place = place[np.unique(g[place], return_index=True)[1]]
+                    for p, k in zip(place.tolist(), _shard(g[place], shards).tolist(), strict=True):
+                        phrase = " ".join(_WORD.findall(cut(p, p + PHRASE)))
+                        rows.append((None, None, None, None, k, None, None, phrase))
+                for x in range(0, len(rows), 1 << 14):
+                    columns = zip(*rows[x : x + (1 << 14)], strict=True)
+                    yield pa.record_batch(
+                        [pa.array(c, t or kind) for c, (_, t) in zip(columns, _KINDS, strict=True)], names=[c for c, _ in _KINDS]
+                    )
+
+    return run
 
 
 def _spans(mask: np.ndarray) -> np.ndarray:
@@ -143,74 +178,80 @@ def _spans(mask: np.ndarray) -> np.ndarray:
     return edge.astype(np.int64)
 
 
+def _same(codes: np.ndarray, size: int) -> np.ndarray:
+    """For each run of ``WINDOW`` codes its first one's number among equal runs, told apart by the codes themselves: runs
+    of 1, 2, 4, ... codes are numbered by the pairs of their halves."""
+    length = 1
+    while length < WINDOW:
+        step = min(length, WINDOW - length)
+        pairs = codes[:-step] * size + codes[step:]
+        uniq, codes = np.unique(pairs, return_inverse=True)
+        size, length = len(uniq), length + step
+    return codes
+
+
 def _locate(id_type: pa.DataType):
     def run(key: tuple, docs: pa.Table, other: pa.Table) -> pa.Table:
+        """Covered words of a shard's pieces, or each window's first document where the shard is split and not yet known."""
         out: dict[str, list] = {c: [] for c in ("id", "lo", "spans", "shard", "salt", "hash", "first")}
 
         def put(**row: object) -> None:
             for c in out:
                 out[c].append(row.get(c))
 
-        if docs.num_rows and other.num_rows:
-            automaton = ahocorasick.Automaton()
-            for p in other.column("phrase").drop_null().to_pylist():
-                automaton.add_word(f" {p} ", len(p) + 2)
-            firsts = other.filter(pa.compute.is_valid(other.column("hash")))
-            shared = docs.column("salts")[0].as_py() > 1
-            second = firsts.num_rows > 0
+        automaton = ahocorasick.Automaton()
+        for p in other.column("phrase").drop_null().to_pylist():
+            automaton.add_word(f" {p} ", len(p) + 2)
+        if docs.num_rows and len(automaton):
+            automaton.make_automaton()
+            known = {x: y for x, y in zip(other.column("hash").to_pylist(), other.column("first").to_pylist(), strict=True) if x is not None}
+            split = docs.column("salts")[0].as_py() > 1
             ids = docs.column("id").to_pylist()
-            number = {v: i for i, v in enumerate(sorted(set(ids)))}
-            values = list(number)
-            hashes, owner, place, lengths = [], [], [], []
-            if len(automaton):
-                automaton.make_automaton()
-                for d, text in enumerate(docs.column("text").to_pylist()):
-                    ws = _WORD.findall(text)
-                    lengths.append(len(ws))
-                    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in ws])])
-                    ends = [(e, size) for e, size in automaton.iter(f" {' '.join(ws)} ")]
-                    if not ends or len(ws) < WINDOW:
-                        continue
-                    # A phrase that ends at character e begins with the blank before its first word.
-                    p = np.searchsorted(starts, np.array([e - size + 1 for e, size in ends]))
-                    ramp = np.zeros(len(ws) + 1, dtype=np.int64)
-                    np.add.at(ramp, np.maximum(p + PHRASE - WINDOW, 0), 1)
-                    np.add.at(ramp, np.minimum(p, len(ws) - WINDOW) + 1, -1)
-                    begin = np.flatnonzero(np.cumsum(ramp)[: len(ws) - WINDOW + 1] > 0)
-                    raw = " ".join(ws).encode()
-                    h = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])).hashes()
-                    hashes.append(windows(h, WINDOW)[begin])
-                    owner.append(np.full(len(begin), d))
-                    place.append(begin)
-            if hashes:
-                h, d, at = np.concatenate(hashes).view(np.int64), np.concatenate(owner), np.concatenate(place)
-                code = np.array([number[x] for x in ids])[d]
-                uniq, inverse = np.unique(h, return_inverse=True)
-                least = np.full(len(uniq), len(values))
-                np.minimum.at(least, inverse, code)
-                if shared and not second:
-                    for x, i in zip(uniq.tolist(), least.tolist(), strict=True):
-                        put(shard=key[0].as_py(), salt=key[1].as_py(), hash=x, first=values[i])
-                else:
-                    earlier = least[inverse] < code
-                    if second:
-                        fh = firsts.column("hash").to_numpy()
-                        order = np.argsort(fh)
-                        fv = firsts.column("first").to_pylist()
-                        near = np.minimum(np.searchsorted(fh[order], uniq), len(fh) - 1)
-                        known = [fv[order[i]] if fh[order[i]] == x else None for i, x in zip(near, uniq, strict=True)]
-                        low = np.array([-1 if k is None else np.searchsorted(values, k) for k in known])
-                        # The number of this task's ids below the window's first document.
-                        earlier |= (low[inverse] >= 0) & (low[inverse] <= code)
-                        same = np.array([k is not None and low[i] < len(values) and values[low[i]] == k for i, k in enumerate(known)])
-                        earlier &= ~(same[inverse] & (low[inverse] == code))
-                    names = docs.column("lo").to_pylist()
-                    for x in np.unique(d[earlier]).tolist():
-                        begin = at[earlier & (d == x)]
-                        ramp = np.zeros(lengths[x] + 1, dtype=np.int64)
-                        np.add.at(ramp, begin, 1)
-                        np.add.at(ramp, np.minimum(begin + WINDOW, lengths[x]), -1)
-                        put(id=ids[x], lo=names[x], spans=_spans(np.cumsum(ramp)[: lengths[x]] > 0).tobytes())
+            values = sorted(set(ids))
+            number = {v: i for i, v in enumerate(values)}
+            vocabulary: dict[str, int] = {}
+            texts, codes, begins, piece, bounds = [], [], [], [], [0]
+            for d, text in enumerate(docs.column("words").to_pylist()):
+                ws = _WORD.findall(text)
+                starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in ws])])
+                line = f" {' '.join(ws)} "
+                # A phrase that ends at character e begins with the blank before its first word.
+                p = np.searchsorted(starts, np.array([e - size + 1 for e, size in automaton.iter(line)], dtype=np.int64))
+                ramp = np.zeros(len(ws) + 1, dtype=np.int64)
+                np.add.at(ramp, np.maximum(p + PHRASE - WINDOW, 0), 1)
+                np.add.at(ramp, np.minimum(p, len(ws) - WINDOW) + 1, -1)
+                begin = np.flatnonzero(np.cumsum(ramp)[: len(ws) - WINDOW + 1] > 0)
+                texts.append((line, starts) if split else None)
+                codes.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in ws], dtype=np.int64))
+                begins.append(begin)
+                piece.append(np.full(len(begin), d))
+                bounds.append(bounds[-1] + len(ws))
+            at, d = np.concatenate(begins), np.concatenate(piece)
+            same = _same(np.concatenate(codes), len(vocabulary))[at + np.array(bounds)[d]]
+            code = np.array([number[x] for x in ids])[d]
+            uniq, sample, inverse = np.unique(same, return_index=True, return_inverse=True)
+            least = np.full(len(uniq), len(values))
+            np.minimum.at(least, inverse, code)
+            digests = []
+            if split:
+                for i in sample.tolist():
+                    line, starts = texts[d[i]]
+                    digests.append(hashlib.sha256(line[starts[at[i]] + 1 : starts[at[i] + WINDOW]].encode()).digest())
+            if split and not known:
+                for x, i in zip(digests, least.tolist(), strict=True):
+                    put(shard=key[0].as_py(), salt=key[1].as_py(), hash=x, first=values[i])
+            else:
+                if split:
+                    # The first of this task's ids that are above the window's first document.
+                    least = np.array([bisect.bisect_right(values, known[x]) for x in digests], dtype=np.int64) - 1
+                earlier = least[inverse] < code
+                names, offset = docs.column("lo").to_pylist(), docs.column("at").to_pylist()
+                for x in np.unique(d[earlier]).tolist():
+                    begin = at[earlier & (d == x)]
+                    ramp = np.zeros(len(codes[x]) + 1, dtype=np.int64)
+                    np.add.at(ramp, begin, 1)
+                    np.add.at(ramp, begin + WINDOW, -1)
+                    put(id=ids[x], lo=names[x], spans=(_spans(np.cumsum(ramp)[:-1] > 0) + offset[x]).tobytes())
         return pa.table(
             {
                 "id": pa.array(out["id"], id_type),
@@ -218,7 +259,7 @@ def _locate(id_type: pa.DataType):
                 "spans": pa.array(out["spans"], pa.binary()),
                 "shard": pa.array(out["shard"], pa.int32()),
                 "salt": pa.array(out["salt"], pa.int32()),
-                "hash": pa.array(out["hash"], pa.int64()),
+                "hash": pa.array(out["hash"], pa.binary()),
                 "first": pa.array(out["first"], id_type),
             }
         )
@@ -271,45 +312,41 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     classes = live.groupBy("lo", "hi").agg(F.min("id").alias("first"))
     firsts = live.join(classes.select("lo", "hi", F.col("first").alias("id")), ["lo", "hi", "id"], "left_semi")
     prints = materialize(firsts.select("id", F.explode("prints").alias("print")).distinct(), "prints")
-    recurring = prints.groupBy("print").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner <> last")
-    hits = prints.join(recurring.select("print", "owner"), "print")
-    hits = hits.groupBy("id").agg(
-        F.collect_set("owner").alias("owners"), F.collect_list(F.when(F.col("owner") == F.col("id"), F.col("print"))).alias("own")
+    recurring = prints.groupBy("print").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("docs"))
+    recurring = materialize(recurring.where("owner <> last").select("print", "owner", "docs"), "recurring")
+    n_phrases, n_hits = recurring.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    # A hit ships the windows around it, some hundreds of bytes.
+    shards = max(1, math.ceil(n_phrases / SHARD_PHRASES), math.ceil(n_hits * HIT_BYTES / SHARD_BYTES))
+    hits = prints.join(recurring.select("print", "owner"), "print").groupBy("id").agg(
+        F.collect_list("print").alias("wanted"), F.collect_list(F.when(F.col("owner") == F.col("id"), F.col("print"))).alias("own")
     )
     schema = T.StructType(
         [
             field("id", kind), field("lo", T.LongType()), field("hi", T.LongType()), field("text", T.StringType()),
-            field("owners", T.ArrayType(kind)), field("phrases", T.ArrayType(T.StringType())),
+            field("shard", T.IntegerType()), field("at", T.LongType()), field("words", T.StringType()), field("phrase", T.StringType()),
         ]
     )
-    texts = rows.where("text is not null and id is not null").join(hits, "id").select("id", "text", "owners", "own")
-    texts = materialize(texts.mapInArrow(tidy(_candidates), schema), "candidates")
-    n_phrases, n_bytes = texts.agg(
-        F.coalesce(F.sum(F.size("phrases")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text").cast("long") * F.size("owners")), F.lit(0))
-    ).first()
-    shards = max(1, math.ceil(n_phrases / SHARD_PHRASES), math.ceil(n_bytes / SHARD_BYTES))
-
-    def shard(owner):
-        return F.pmod(F.xxhash64(owner), F.lit(shards)).cast("int")
-
-    routed = texts.select("id", "lo", "text", F.explode(F.array_distinct(F.transform("owners", shard))).alias("shard"))
+    held = rows.where("text is not null and id is not null").join(hits, "id").select("id", "text", "wanted", "own")
+    held = materialize(held.mapInArrow(tidy(_candidates(shards)), schema), "candidates")
+    texts, pieces = held.where("text is not null"), held.where("words is not null").select("id", "lo", "shard", "at", "words")
     salts = (
-        routed.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"))
+        pieces.groupBy("shard").agg(F.sum(F.octet_length("words")).alias("b"))
         .select("shard", F.ceil(F.col("b") / (2 * SHARD_BYTES)).cast("int").alias("salts"))
     )
     salts = materialize(salts, "shards")
-    routed = routed.join(salts, "shard").select(
-        "id", "lo", "text", "shard", "salts", F.pmod(F.xxhash64("id", "lo"), F.col("salts")).cast("int").alias("salt")
+    routed = pieces.join(salts, "shard").select(
+        "id", "lo", "at", "words", "shard", "salts", F.pmod(F.xxhash64("id", "lo", "at"), F.col("salts")).cast("int").alias("salt")
     )
-    phrases = texts.select(shard(F.col("id")).alias("shard"), F.explode("phrases").alias("phrase")).distinct()
-    phrases = phrases.join(salts, "shard").select(
+    # Columns of their own, as both sides of the grouping below come from one table.
+    phrases = held.where("phrase is not null").select(F.col("shard").alias("shard"), F.col("phrase").alias("phrase")).distinct()
+    phrases = phrases.join(salts.select(F.col("shard").alias("shard"), F.col("salts").alias("salts")), "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "phrase"
     )
-    nothing = [F.lit(None).cast("long").alias("hash"), F.lit(None).cast(kind).alias("first")]
+    nothing = [F.lit(None).cast("binary").alias("hash"), F.lit(None).cast(kind).alias("first")]
     schema = T.StructType(
         [
             field("id", kind), field("lo", T.LongType()), field("spans", T.BinaryType()), field("shard", T.IntegerType()),
-            field("salt", T.IntegerType()), field("hash", T.LongType()), field("first", kind),
+            field("salt", T.IntegerType()), field("hash", T.BinaryType()), field("first", kind),
         ]
     )
 

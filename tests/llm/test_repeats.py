@@ -58,6 +58,29 @@ def test_split_shards_agree(spark, docs, monkeypatch):
     assert digest(repeats.removed_words(docs(rows))) == brute(rows)
 
 
+def test_long_recurring_document_is_cut_into_pieces(spark, docs, monkeypatch):
+    """A document that owns all its phrases goes to many shards, in pieces, none of which is long."""
+    monkeypatch.setattr(repeats, "SHARD_PHRASES", 40)
+    monkeypatch.setattr(repeats, "PIECE_WINDOWS", 64)
+    long = sentence(7, 4000)
+    rows = [(1, " ".join(long)), (2, " ".join(["more"] + long[100:3900])), (3, "\t".join(long[2000:2300] + sentence(8, 60)))]
+    rows += [(4, " ".join(long[40:89])), (5, " ".join(long[40:90])), (2, " ".join(long[:3000] + ["end"]))]
+    assert digest(repeats.removed_words(docs(rows))) == brute(rows)
+
+
+def test_windows_are_compared_by_words():
+    """Equal runs of words get one number, others different ones."""
+    r = np.random.default_rng(3)
+    codes = np.concatenate([r.integers(0, 2, 200), np.zeros(120, dtype=np.int64), r.integers(0, 2, 80)])
+    codes = np.concatenate([codes, codes[20:180]])
+    got = repeats._same(codes, 2)
+    runs = [tuple(codes[i : i + repeats.WINDOW].tolist()) for i in range(len(codes) - repeats.WINDOW + 1)]
+    first = {}
+    assert len(got) == len(runs)
+    assert all(first.setdefault(x, y) == y for x, y in zip(runs, got.tolist(), strict=True))
+    assert len(first) == len(set(got.tolist()))
+
+
 def test_empty_table(spark, docs):
     assert repeats.removed_words(docs([])).collect() == []
 
