@@ -14,6 +14,8 @@ from ..sources.archive import with_ids
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: How a mark within a text or a name begins, and what it is written as, so that no message can forge a turn.
 MARK, ESCAPED = "<|im_", "<\\|im_"
+#: Messages of a row of ``dialogues``.
+MAX_MESSAGES = 4096
 
 
 def _plain(c: Column) -> Column:
@@ -68,7 +70,7 @@ def rotate(
     )
 
 
-def dialogues(segments: DataFrame, max_messages: int = 4096) -> DataFrame:
+def dialogues(segments: DataFrame, max_messages: int = MAX_MESSAGES) -> DataFrame:
     """Whole dialogues from ``rotate``: ``conv_id``, ``perspective``, ``part``, ``text`` and ``mask``, an array of character
     spans of the text.
 
@@ -117,3 +119,20 @@ SELECT conv_id, perspective, turn, role, name, head || text || '{CLOSE.strip()}'
   CASE WHEN role = 'assistant' THEN length(head) + length(text) END AS mask_end
 FROM h
 """
+
+#: Dialogues of ``dialogues`` with their masks as ``start-end`` pairs, joined by commas.
+DIALOGUES_SQL = f"""
+WITH s AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, segment NULLS FIRST, mask_start NULLS FIRST
+  ) - 1 AS k FROM ({SQL})
+), o AS (
+  SELECT *, k // {MAX_MESSAGES} AS part,
+    sum(length(segment)) OVER (PARTITION BY conv_id, perspective, k // {MAX_MESSAGES} ORDER BY k) - length(segment) AS base
+  FROM s
+)
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, string_agg(segment, '' ORDER BY k) AS text,
+  coalesce(string_agg(CAST(base + mask_start AS BIGINT) || '-' || CAST(base + mask_end AS BIGINT), ',' ORDER BY k)
+    FILTER (WHERE mask_start IS NOT NULL), '') AS mask
+FROM o GROUP BY conv_id, perspective, part
+"""

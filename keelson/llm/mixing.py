@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.metrics import running_sums
+from ..sources.archive import with_ids
 from .names import every, fresh
 from .scratch import materialize
 
@@ -37,25 +39,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     its source, the excess dealt again by weight among the others.
 
     Sources come in code point order, null last, and take the weights in turn. Sorted by how soon they are full, the
-    first source that its deal does not fill tells what one unit of weight gets.
+    first source that its deal does not fill tells what one unit of weight gets. Both orders are numbered and summed in
+    sorted ranges, so any number of sources is spread over tasks. No sources give no targets.
     """
     n = len(weights)
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % n
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int"))
-    rows = sizes.withColumn("w", w).withColumn("full", cap * F.col("source_size")).withColumn("level", F.col("full") / F.col("w"))
-    order = Window.orderBy("level", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn(
-        "unit",
-        (share * F.sum("source_size").over(whole) - F.coalesce(F.sum("full").over(before), F.lit(0.0)))
-        / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))),
-    )
-    fits = F.when(F.col("unit") <= F.col("level"), F.struct("level", "source", "unit"))
-    rows = rows.withColumn("deal", F.min(fits).over(whole)["unit"])
-    return rows.select(
-        "source", "source_size", F.coalesce(F.least(F.col("full"), F.col("deal") * F.col("w")), F.col("full")).alias("target")
-    )
+    rows = with_ids(sizes.select("source", "source_size", F.col("source").isNull().alias("_none")), ["_none", "source"])
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("id") - 1) % n + 1).cast("int"))
+    rows = rows.select("source", "source_size", "id", w.alias("w"), (cap * F.col("source_size")).alias("full"))
+    rows = running_sums(rows.withColumn("level", F.col("full") / F.col("w")), [], [F.col("level"), F.col("id")], ["full", "w"])
+    total = rows.agg(F.sum("source_size").alias("words"), F.sum("w").alias("w")).first()
+    unit = (share * (total.words or 0) - (F.col("_sum_full") - F.col("full"))) / (F.lit(total.w or 0.0) - (F.col("_sum_w") - F.col("w")))
+    deal = rows.withColumn("unit", unit).where("unit <= level").agg(F.min(F.struct("level", "id", "unit")).alias("d")).first().d
+    dealt = F.col("full") if deal is None else F.least(F.col("full"), F.lit(deal.unit) * F.col("w"))
+    return rows.select("source", "source_size", dealt.alias("target"))
 
 
 def _by_source(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -43,6 +43,13 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def chat_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as training text, once per speaker, with the spans that are trained on."""
+    rows = chat.dialogues(chat.rotate(_table(spark, sf_dir, "conversations")))
+    spans = F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
+    return rows.withColumn("mask", F.array_join(spans, ","))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of ``pages`` hold, read back from the compressed archives."""
     records = warc.read(warc.archive(_table(spark, sf_dir, "pages")))
@@ -158,7 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_minhash, op2_topk, op3_mixing, op4_chat, op5_warc, op6_bpe, op7_vectors, op8_toxicity,
-            op9_repeats, op10_licences, op11_language, op12_trie, op13_runs,
+            op9_repeats, op10_licences, op11_language, op12_trie, op13_runs, chat_dialogues,
         )
     }
 
@@ -168,6 +175,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash": minhash.SQL,
         "op2_topk": topk.SQL,
         "op4_chat": chat.SQL,
+        "chat_dialogues": chat.DIALOGUES_SQL,
         "op5_warc": warc.SQL,
         "op7_vectors": vectors.SQL,
         "op9_repeats": repeats.SQL,
