@@ -247,7 +247,8 @@ def _locate(id_type: pa.DataType):
                 earlier = least[inverse] < code
                 names, offset = docs.column("lo").to_pylist(), docs.column("at").to_pylist()
                 for x in np.unique(d[earlier]).tolist():
-                    begin = at[earlier & (d == x)]
+                    here = slice(*np.searchsorted(d, [x, x + 1]))  # windows stand in the order of their pieces
+                    begin = at[here][earlier[here]]
                     ramp = np.zeros(len(codes[x]) + 1, dtype=np.int64)
                     np.add.at(ramp, begin, 1)
                     np.add.at(ramp, begin + WINDOW, -1)
