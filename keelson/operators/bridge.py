@@ -77,15 +77,14 @@ def season_bridge(links: DataFrame, stats: DataFrame) -> DataFrame:
 
 def linked_stats(links: DataFrame, stats: DataFrame) -> DataFrame:
     """Long stat rows of the expected team only, ``phase`` pre or post."""
-    columns = ["entry_key", "player_id", "category", "stat_type", "stat"]
-    out = []
-    for phase, shift, team in (("pre", 1, "origin"), ("post", 0, "destination")):
-        side = links.select(
-            "entry_key", "player_id", (F.col("season") - shift).alias("season"), normalize_team(F.col(team)).alias("_team")
-        )
-        both = stats.join(side, ["player_id", "season"]).where(normalize_team(F.col("team")) == F.col("_team"))
-        out.append(both.select(*columns, "season", "team", F.lit(phase).alias("phase")))
-    return out[0].unionByName(out[1])
+    sides = [
+        F.struct(F.lit(phase).alias("phase"), (F.col("season") - shift).alias("season"), normalize_team(F.col(team)).alias("_team"))
+        for phase, shift, team in (("pre", 1, "origin"), ("post", 0, "destination"))
+    ]
+    expected = links.select("entry_key", "player_id", F.explode(F.array(*sides)).alias("_side")).select("entry_key", "player_id", "_side.*")
+    # A column before the join: as an expression in its condition, teams would be normalised for every comparison of a sort.
+    both = stats.withColumn("_team", normalize_team(F.col("team"))).join(expected, ["player_id", "season", "_team"])
+    return both.select("entry_key", "player_id", "category", "stat_type", "stat", "season", "team", "phase")
 
 
 def summary(bridge: DataFrame) -> DataFrame:
