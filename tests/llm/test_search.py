@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -118,6 +119,38 @@ def test_vectors_of_unequal_length(spark, monkeypatch, unit, meetings):
     assert sorted((repr(r.vec_id), r.n_links, r.component_id) for r in got) == link_brute(rows, 0.9)
 
 
+def test_shuffled_bytes_grow_with_the_table(spark, monkeypatch):
+    """Vectors without clusters, each of which has to meet all units: they go there without being shuffled."""
+    monkeypatch.setattr(vectors, "UNIT", 16)
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled(n):
+        table = frame(spark, [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(n).normal(size=(n, 64)))])
+        marks = []
+        for run in (lambda: None, lambda: vectors.similar_vectors(table).collect()):
+            run()
+            time.sleep(0.5)
+            spark.range(2).collect()  # its tasks bring the totals up to date
+            bus.waitUntilEmpty()
+            marks.append(store.executorList(True).head().totalShuffleWrite())
+        return marks[1] - marks[0]
+
+    assert 0 < shuffled(800) < 8 * shuffled(200)
+
+
+@pytest.mark.parametrize("unit", [2048, 40])
+def test_dense_links(spark, monkeypatch, unit):
+    """Many links, most of them within trees that others have joined; two groups that one vector joins."""
+    monkeypatch.setattr(vectors, "UNIT", unit)
+    rng = np.random.default_rng(6)
+    a, b = np.eye(8)[0], np.eye(8)[0] * math.cos(0.8) + np.eye(8)[1] * math.sin(0.8)
+    x = [*(a + rng.normal(0, 0.02, (150, 8))), *(b + rng.normal(0, 0.02, (150, 8))), a + b, *rng.normal(size=(60, 8))]
+    rows = [(1000 - i, v.tolist()) for i, v in enumerate(x)]
+    got = vectors.similar_vectors(frame(spark, rows)).collect()
+    assert sorted((repr(r.vec_id), r.n_links, r.component_id) for r in got) == link_brute([(i, np.float32(v).tolist()) for i, v in rows], 0.9)
+    assert max(r.n_links for r in got) > 290
+
+
 def test_no_vectors(spark):
     assert vectors.similar_vectors(frame(spark, [])).collect() == []
     got = vectors.similar_vectors(frame(spark, ODD)).collect()
