@@ -78,13 +78,15 @@ def season_bridge(links: DataFrame, stats: DataFrame) -> DataFrame:
 def linked_stats(links: DataFrame, stats: DataFrame) -> DataFrame:
     """Long stat rows of the expected team only, ``phase`` pre or post."""
     sides = [
-        F.struct(F.lit(phase).alias("phase"), (F.col("season") - shift).alias("season"), normalize_team(F.col(team)).alias("_team"))
+        F.struct("player_id", F.lit(shift == 1).alias("_pre"), (F.col("season") - shift).alias("season"), normalize_team(F.col(team)).alias("_team"))
         for phase, shift, team in (("pre", 1, "origin"), ("post", 0, "destination"))
     ]
-    expected = links.select("entry_key", "player_id", F.explode(F.array(*sides)).alias("_side")).select("entry_key", "player_id", "_side.*")
+    # Keys come out of the explode, so null ones are dropped behind it: a shuffle that makes the links serves the bridge too.
+    expected = links.select("entry_key", F.explode(F.array(*sides)).alias("_side")).select("entry_key", "_side.*")
     # A column before the join: as an expression in its condition, teams would be normalised for every comparison of a sort.
     both = stats.withColumn("_team", normalize_team(F.col("team"))).join(expected, ["player_id", "season", "_team"])
-    return both.select("entry_key", "player_id", "category", "stat_type", "stat", "season", "team", "phase")
+    phase = F.when(F.col("_pre"), F.lit("pre")).otherwise(F.lit("post"))
+    return both.select("entry_key", "player_id", "category", "stat_type", "stat", "season", "team", phase.alias("phase"))
 
 
 def summary(bridge: DataFrame) -> DataFrame:

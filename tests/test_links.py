@@ -1,8 +1,9 @@
 import random
+import re
 
 import pytest
 
-from keelson.operators import bridge
+from keelson.operators import bridge, features
 from keelson.plans import entity_queries
 
 LINKS = "entry_key string, player_id string, season int, origin string, destination string"
@@ -37,3 +38,63 @@ def test_no_join_is_by_an_expression(spark, query):
     plan = t._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [x for x in plan if "Join " in x]
     assert joins and not [x for x in joins if "regexp_replace" in x]
+
+
+def exchanges(t):
+    """Shuffles of a plan by their keys, as planned before any runs; a shuffle that is used again counts once."""
+    spark, held = t.sparkSession, {}
+    for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        held[k] = spark.conf.get(k)
+        spark.conf.set(k, v)
+    try:
+        plan = t.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"(?<!Reused)Exchange hashpartitioning\((.*?), \d+\)", plan)]
+
+
+def test_null_keys_are_dropped_behind_what_makes_the_links(spark, tmp_path):
+    rows = [("e1", "1", 2024, "a", "b"), ("e1", "1", 2024, "a", "b"), ("e2", None, 2024, "a", "b"), ("e3", "3", None, "a", "b")]
+    spark.createDataFrame(rows, LINKS).write.parquet(f"{tmp_path}/links")
+    links = spark.read.parquet(f"{tmp_path}/links").distinct()
+    stats = spark.createDataFrame([("1", 2023, "A", "passing", "YDS", "7"), (None, 2023, "a", "passing", "YDS", "8"), ("3", None, "b", "passing", "YDS", "9")], STATS)
+    linked = bridge.linked_stats(links, stats).select("entry_key", "stat", "phase")
+    assert [tuple(r) for r in linked.collect()] == [("e1", "7", "pre")]
+    # What makes the links isn't filtered for one of their readers, so its shuffle is one for all of them.
+    plan = linked._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [plan[i + 1] for i, x in enumerate(plan) if "Aggregate [" in x]
+    assert len(below) == 1 and "Relation [" in below[0], below
+
+
+VALUES = "entry_key string, feature string, value double"
+
+
+@pytest.mark.parametrize(
+    "rows, clash",
+    [
+        ([("a", "x", 1.0), ("a", "y", 1.0), ("a", "y", 2.0)], "a y"),
+        ([("a", "x", 1.0), ("a", "z", 1.0), ("a", "z", 2.0)], "a z"),
+        ([("a", "x", 1.0), ("a", None, 1.0), ("a", None, 2.0)], "a"),
+        ([(None, "x", 1.0), (None, "x", 2.0)], "x"),
+        ([("a", "x", 1.0), ("a", "x", float("nan"))], "a x"),
+    ],
+)
+def test_any_clash_is_an_error_when_a_column_is_read(spark, rows, clash):
+    t = features.pivot(spark.createDataFrame(rows, VALUES), "entry_key", ["x", "y"])
+    with pytest.raises(Exception, match=f"conflicting values for {clash}"):
+        t.select("entry_key", "x").collect()
+    assert t.select("entry_key").count() == 1
+
+
+def test_pivot_of_odd_rows_in_a_row_for_each_key(spark):
+    """Null keys, features and values, equal rows, features that aren't listed; a key's features meet in one row before the shuffle."""
+    nan = float("nan")
+    rows = [("a", "x", 1.0), ("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", None), ("b", "x", 0.0), ("b", "x", -0.0), ("c", "z", 5.0), ("c", "w", 6.0), ("d", None, None), (None, "y", 3.0), (None, "z", 4.0), ("e", "y", nan), ("e", "y", nan)]
+    t = features.pivot(spark.createDataFrame(rows, VALUES), "entry_key", ["x", "y"])
+    assert t.columns == ["entry_key", "x", "y"] and dict(t.dtypes)["x"] == "double"
+    want = [("a", 1.0, 2.0), ("b", 0.0, None), ("c", None, None), ("d", None, None), ("e", None, nan), (None, None, 3.0)]
+    got = [(r[0], r[1] if r[1] is None else abs(r[1]), r[2]) for r in t.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert features.pivot(spark.createDataFrame([], VALUES), "entry_key", ["x"]).count() == 0
+    assert len(exchanges(t)) == 2 and not [x for x in exchanges(t) if "feature" in x]
