@@ -14,7 +14,9 @@ def resolved_only(rows: DataFrame) -> DataFrame:
 
 def needed_stats(links: DataFrame, stats: DataFrame) -> DataFrame:
     """The stat rows of the linked players in the seasons before and of their links: a semi-join reduction."""
-    needed = links.select("player_id", F.explode(F.array(F.col("season") - 1, F.col("season"))).alias("season")).distinct()
+    # As in ``linked_stats``, null keys are dropped behind the explode.
+    sides = [F.struct("player_id", (F.col("season") - shift).alias("season")) for shift in (1, 0)]
+    needed = links.select(F.explode(F.array(*sides)).alias("_side")).select("_side.*").distinct()
     return stats.join(needed, ["player_id", "season"], "left_semi")
 
 
@@ -42,10 +44,12 @@ def season_bridge(links: DataFrame, stats: DataFrame) -> DataFrame:
     """
     have = stats.select("season").distinct()
     rows = links.withColumn("pre_season", F.col("season") - 1)
-    pre, post = _side(needed_stats(links, stats), "pre"), _side(needed_stats(links, stats), "post")
-    rows = rows.join(pre, (F.col("player_id") == F.col("pre_id")) & (F.col("pre_season") == F.col("pre_season_key")), "left")
-    rows = rows.join(post, (F.col("player_id") == F.col("post_id")) & (F.col("season") == F.col("post_season_key")), "left")
+    first = [*rows.columns, "pre_stat_row_count", "pre_stat_teams", "post_stat_row_count", "post_stat_teams"]
+    needed = needed_stats(links, stats)
+    # What a side tells is counted right after its join, so that no list of teams goes on to the shuffle of the next.
     for side, season in (("pre", "pre_season"), ("post", "season")):
+        same = (F.col("player_id") == F.col(f"{side}_id")) & (F.col(season) == F.col(f"{side}_season_key"))
+        rows = rows.join(_side(needed, side), same, "left")
         seen = have.select(F.col("season").alias("_s"), F.lit(True).alias(f"{side}_source_available"))
         rows = rows.join(seen, F.col(season) == F.col("_s"), "left").drop("_s")
         team = normalize_team(F.col("origin" if side == "pre" else "destination"))
@@ -65,14 +69,14 @@ def season_bridge(links: DataFrame, stats: DataFrame) -> DataFrame:
                 f"{side}_has_expected_stats": F.col(f"{side}_expected_row_count") > 0,
                 f"{side}_team_mismatch": (F.col(f"{side}_stat_row_count") > 0) & (F.col(f"{side}_expected_row_count") == 0),
             }
-        )
+        ).drop(f"{side}_id", f"{side}_season_key", f"_{side}")
     rows = rows.withColumns(
         {
             "complete_pre_post": F.col("pre_has_expected_stats") & F.col("post_has_expected_stats"),
             "post_outcome_right_censored": ~F.col("post_source_available"),
         }
     )
-    return rows.drop("pre_id", "pre_season_key", "post_id", "post_season_key", "_pre", "_post")
+    return rows.select(*[F.col(f"`{c}`") for c in (*first, *(c for c in rows.columns if c not in first))])
 
 
 def linked_stats(links: DataFrame, stats: DataFrame) -> DataFrame:

@@ -98,3 +98,52 @@ def test_pivot_of_odd_rows_in_a_row_for_each_key(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert features.pivot(spark.createDataFrame([], VALUES), "entry_key", ["x"]).count() == 0
     assert len(exchanges(t)) == 2 and not [x for x in exchanges(t) if "feature" in x]
+
+
+def test_bridge_equals_all_pairs(spark):
+    """Null players, seasons and teams, blanks around teams, several links of a player and season, equal rows."""
+    rng = random.Random(7)
+    team = lambda: rng.choice(["Rice", " rice ", "RICE", "Navy", "", None])
+    player = lambda: rng.choice(["1", "2", "3", None])
+    links = [(f"e{i // 2}", player(), rng.choice([2023, 2024, 2026, None]), team(), team()) for i in range(60)]
+    stats = [(player(), rng.choice([2022, 2023, 2024, None]), team(), "passing", "YDS", str(i)) for i in range(24)]
+    links, stats = [*links, *links[:4]], [*stats, *stats[:4]]
+    plain = lambda x: (x or "").strip().lower()
+    want = []
+    for e, p, s, *of in links:
+        row = [e, p, s]
+        for shift, expected in ((1, of[0]), (0, of[1])):
+            mine = [t for q, season, t, *_ in stats if None not in (p, s, season) and q == p and season == s - shift]
+            there = sum(plain(t) == plain(expected) for t in mine)
+            names = sorted({t.strip() for t in mine if (t or "").strip()})
+            row += [s is not None and s - shift in {x[1] for x in stats}, len(mine), names, there, bool(mine) and not there]
+        want.append((*row, not row[8]))
+    t = bridge.season_bridge(spark.createDataFrame(links, LINKS), spark.createDataFrame(stats, STATS))
+    sides = [f"{side}_{c}" for side in ("pre", "post") for c in ("source_available", "stat_row_count", "stat_teams", "expected_row_count", "team_mismatch")]
+    got = t.select("entry_key", "player_id", "season", *sides, "post_outcome_right_censored").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    each = ["source_available", "expected_row_count", "has_stats", "has_expected_stats", "team_mismatch"]
+    counted = ["pre_stat_row_count", "pre_stat_teams", "post_stat_row_count", "post_stat_teams"]
+    flags = [f"{side}_{c}" for side in ("pre", "post") for c in each]
+    assert t.columns == ["entry_key", "player_id", "season", "origin", "destination", "pre_season", *counted, *flags, "complete_pre_post", "post_outcome_right_censored"]
+
+
+def joins(node):
+    below = [x for i in range(node.children().size()) for x in joins(node.children().apply(i))]
+    return [node, *below] if node.nodeName() == "Join" else below
+
+
+def test_lists_of_a_side_end_with_its_join(spark, tmp_path):
+    """The second join shuffles the links again: with counts of the first side, not with its teams."""
+    spark.createDataFrame([("e1", "1", 2024, "a", "b"), ("e1", "1", 2024, "a", "b")], LINKS).write.parquet(f"{tmp_path}/links")
+    links = spark.read.parquet(f"{tmp_path}/links").distinct()
+    stats = spark.createDataFrame([("1", 2023, "A", "passing", "YDS", "7"), ("1", 2024, "B", "passing", "YDS", "8")], STATS)
+    t = bridge.summary(bridge.season_bridge(links, stats))
+    assert (t.first().n, t.first().complete_pre_post) == (1, 1)
+    plan = t._jdf.queryExecution().optimizedPlan()
+    second = [j.left().output().mkString(" ") for j in joins(plan) if "post_id" in j.condition().toString()]
+    assert len(second) == 1 and "pre_has_expected_stats#" in second[0] and "_pre#" not in second[0], second
+    # Both readers of the distinct links read the same rows, so their shuffle is one.
+    lines = plan.toString().splitlines()
+    below = [lines[i + 1] for i, x in enumerate(lines) if "Aggregate [" in x and "destination" in x]
+    assert below and not [x for x in below if "Filter" in x], below
