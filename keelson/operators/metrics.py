@@ -192,8 +192,10 @@ def encode_in_folds(folded: DataFrame, by: list[str], key: str, target: str) ->
     Means are pre-aggregated per key, so a hot key is one row of the join. A group without training rows gets null.
     """
     named = folded.withColumn("_key", F.lower(F.trim(F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    sums = named.where("part = 'train'").groupBy(*by, "_key").agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
-    means = sums.where("_key <> ''").select(*by, "_key", (F.col("_s") / F.col("_n")).alias("_mean"))
+    # Rows without a value add nothing to a mean. Both readers of the sums read all of them, so their shuffle is one.
+    train = named.where((F.col("part") == "train") & F.col(target).isNotNull())
+    sums = train.groupBy(*by, "_key").agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    means = sums.select(*by, "_key", F.when(F.col("_key") != "", F.col("_s") / F.col("_n")).alias("_mean"))
     whole = sums.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("_whole"))
     t = named.join(means, [*by, "_key"], "left").join(whole, by, "left")
     return t.withColumn("signal", F.coalesce("_mean", "_whole")).drop("_key", "_mean", "_whole")
